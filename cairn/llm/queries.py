@@ -25,5 +25,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.common import written
+    from cairn.llm.simhash_dedup import dedup, fingerprints
+
+    prints = written(fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
+    groups = dedup(prints, distance=2)
+    return prints.join(groups, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cairn.llm.packing import packed
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_packing": op10_packing,
+}
 ORACLE: dict[str, str] = {}
