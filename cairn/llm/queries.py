@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm import quality_rules
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +27,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.common import written
+    from cairn.llm.quality_rules import BASE, judge, measured
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return judge(written(measured(docs), "measured")).select("doc_id", *BASE, "base_failed", "kept")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.common import written
     from cairn.llm.simhash_dedup import dedup, fingerprints
@@ -45,7 +55,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality_rules": op2_quality_rules,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
