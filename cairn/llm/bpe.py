@@ -41,6 +41,7 @@ class Codec:
         self.ranks, self.matches = ranks, regex.compile(pattern).findall
         self.table = {i: b for b, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
+        self.known: dict[str, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The plain merge loop: always the lowest rank, leftmost first."""
@@ -107,9 +108,16 @@ class Codec:
 
     def match_ids(self, match: str) -> list[int]:
         """A match that is a token is that token, else its bytes are merged."""
-        data = match.encode()
-        rank = self.ranks.get(data)
-        return [rank] if rank is not None else self.bytes_ids(data)
+        ids = self.known.get(match)
+        if ids is None:
+            data = match.encode()
+            rank = self.ranks.get(data)
+            ids = [rank] if rank is not None else self.bytes_ids(data)
+            if len(match) <= 48:
+                if len(self.known) >= CACHE_ENTRIES:
+                    self.known.clear()
+                self.known[match] = ids
+        return ids
 
     def chunk(self, text: str) -> bytes:
         ids = self.cache.get(text)

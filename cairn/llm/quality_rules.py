@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!"
 WHITE = " \t\n\x0b\x0c\r"
 #: Rate -> the least distance from lower quartile to median that counts: a group of equal values still allows some spread.
-RATES = {"symbols": 5, "dup_lines": 50, "repeats": 20, "shouts": 8, "word_length": 4}
+RATES = {"symbols": 5, "dup_lines": 50, "repeats": 26, "shouts": 8, "word_length": 6}
 #: A rate may lie so many times that distance above the median.
 SPREAD = 8
 #: Groups with fewer texts use the sketch of their language.
@@ -142,7 +142,7 @@ merged AS (
   FROM (SELECT *, sum(n) OVER (PARTITION BY lang, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, rate) AS texts FROM (SELECT lang, rate, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
 tops AS (
   SELECT o.lang, o.source, o.rate, (CASE WHEN o.texts < 200 THEN m.middle ELSE o.middle END)
-    + 8 * greatest((CASE WHEN o.texts < 200 THEN m.middle - m.low ELSE o.middle - o.low END), [5, 50, 20, 8, 4][o.rate + 1]) AS top
+    + 8 * greatest((CASE WHEN o.texts < 200 THEN m.middle - m.low ELSE o.middle - o.low END), [5, 50, 26, 8, 6][o.rate + 1]) AS top
   FROM own o JOIN merged m ON o.lang IS NOT DISTINCT FROM m.lang AND o.rate = m.rate),
 wide AS (SELECT lang, source, max(top) FILTER (rate = 0) AS t0, max(top) FILTER (rate = 1) AS t1, max(top) FILTER (rate = 2) AS t2, max(top) FILTER (rate = 3) AS t3, max(top) FILTER (rate = 4) AS t4 FROM tops GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

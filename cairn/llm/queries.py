@@ -44,6 +44,15 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(groups, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm import pii
+    from cairn.llm.common import written
+
+    table = written(pii.found(_table(spark, sf_dir, "documents").select("doc_id", "text")), "candidates")
+    of = lambda k: F.size(F.filter("base", lambda c: c.kind == k)).cast("long").alias(f"n_{list(pii.BASE)[k]}")
+    return pii.spans(table).select("doc_id", *[of(k) for k in range(len(pii.BASE))], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +66,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
