@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cairn.llm.common import WHITE, small_batches, text_or_empty
+from cairn.llm.common import WHITE, Memo, small_batches, text_or_empty
 
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 LEAF_CHARS = 4096
 LEAF_BYTES = 48
 LEAF_IDS = 4096
+#: For each of two generations of chunks and of matches, in each Python worker.
 CACHE_ENTRIES = 300_000
 
 
@@ -40,8 +41,7 @@ class Codec:
 
         self.ranks, self.matches = ranks, regex.compile(pattern).findall
         self.table = {i: b for b, i in ranks.items()}
-        self.cache: dict[str, bytes] = {}
-        self.known: dict[str, list[int]] = {}
+        self.cache, self.known = Memo(self.chunk, CACHE_ENTRIES), Memo(self.match_ids, CACHE_ENTRIES)
 
     def merge(self, data: bytes) -> list[int]:
         """The plain merge loop: always the lowest rank, leftmost first."""
@@ -106,34 +106,17 @@ class Codec:
         cut = len(data) // 2
         return self.joined(self.bytes_ids(data[:cut]), self.bytes_ids(data[cut:]))
 
-    def match_ids(self, match: str) -> list[int]:
+    def match_ids(self, match: str) -> bytes:
         """A match that is a token is that token, else its bytes are merged."""
-        ids = self.known.get(match)
-        if ids is None:
-            data = match.encode()
-            rank = self.ranks.get(data)
-            ids = [rank] if rank is not None else self.bytes_ids(data)
-            if len(match) <= 48:
-                if len(self.known) >= CACHE_ENTRIES:
-                    self.known.clear()
-                self.known[match] = ids
-        return ids
+        data = match.encode()
+        rank = self.ranks.get(data)
+        return array("I", [rank] if rank is not None else self.bytes_ids(data)).tobytes()
 
     def chunk(self, text: str) -> bytes:
-        ids = self.cache.get(text)
-        if ids is None:
-            ids = array("I", [i for m in self.matches(text) for i in self.match_ids(m)]).tobytes()
-            if len(text) <= 48:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[text] = ids
-        return ids
+        return b"".join(map(self.known.__getitem__, self.matches(text)))
 
     def chunks(self, parts: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.cache.__getitem__, parts))
-        except KeyError:
-            return b"".join(map(self.chunk, parts))
+        return b"".join(map(self.cache.__getitem__, parts))
 
     # A node is (head, middle, tail), or (head, None, "") while it has no stable place.
     def node(self, text: str) -> tuple:

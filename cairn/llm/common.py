@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+class Memo(dict):
+    """What make(key) gave, for the keys met lately: two generations of at most `entries` short keys each.
+
+    A key that is met again moves on to the young generation, so the common ones stay.
+    """
+
+    def __init__(self, make: Callable, entries: int, longest: int = 64):
+        super().__init__()
+        self.make, self.entries, self.longest, self.old = make, entries, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -24,11 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import small_batches, text_or_empty, written
+from cairn.llm.common import Memo, small_batches, text_or_empty, written
 
-CACHE_ENTRIES = 250_000
+#: For each of two generations of words and of matches, in each Python worker.
+CACHE_ENTRIES = 300_000
 LATIN = re.compile("[\x20-&(-~À-ɏ]*\\Z").match
 MATCH = re.compile(r"[^\W\d_]+|\d|[\W_]+").findall
+#: Byte-level vocabularies write a byte as a printable character: itself, or the next one from 256 on for the others.
+PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+AS_PRINTED = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
 PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
@@ -40,37 +44,21 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {"": b""}
-        self.matches: dict[str, bytes] = {}
-
-    def ask(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.model = self.tokenizer.model
+        self.words, self.matches = Memo(self.word, CACHE_ENTRIES), Memo(self.match, CACHE_ENTRIES)
 
     def match(self, text: str) -> bytes:
-        ids = self.matches.get(text)
-        if ids is None:
-            ids = self.matches[text] = self.ask(text)
-            if len(self.matches) > CACHE_ENTRIES:
-                self.matches.clear()
-        return ids
+        """Ids of what the tokenizer's pattern takes as one match."""
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(AS_PRINTED))]).tobytes()
 
     def word(self, text: str) -> bytes:
-        ids = self.words.get(text)
-        if ids is None:
-            if len(text) > 64:
-                return self.ask(text)
-            # Plain Latin text without apostrophes falls into letters, single digits and the rest.
-            ids = b"".join(map(self.match, MATCH(unicodedata.normalize("NFC", text).lower()))) if LATIN(text) else self.ask(text)
-            if len(self.words) > CACHE_ENTRIES:
-                self.words.clear()
-                self.words[""] = b""
-            self.words[text] = ids
-        return ids
+        # Plain Latin text without apostrophes falls into letters, single digits and the rest.
+        if LATIN(text):
+            return b"".join(map(self.matches.__getitem__, MATCH(unicodedata.normalize("NFC", text).lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        get, ask = self.words.get, self.word
-        return b"".join([ask(w) if (x := get(w)) is None else x for w in words])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
