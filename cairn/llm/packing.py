@@ -188,7 +188,7 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[in
     return out
 
 
-def pack(df: DataFrame, limit: int = 2048, length: str = "length", key: tuple[str, ...] = ("doc_id", "piece"), chunk_rows: int = 20_000) -> DataFrame:
+def pack(df: DataFrame, limit: int = 2048, length: str = "length", key: tuple[str, ...] = ("doc_id", "piece"), chunk_rows: int = 4_000) -> DataFrame:
     """df with sequence_id and offset: every row has a place of its own in a sequence of at most `limit`.
 
     df is read twice, so it should be a written table. length holds 1 to limit. Ranks are

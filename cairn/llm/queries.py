@@ -35,6 +35,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(written(measured(docs), "measured")).select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.importance import resample
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "per_gram", "gumbel_key", "kept")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.common import written
     from cairn.llm.simhash_dedup import dedup, fingerprints
@@ -65,6 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op6_importance": op6_importance,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
