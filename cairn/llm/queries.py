@@ -35,6 +35,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(written(measured(docs), "measured")).select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.importance import resample
 
@@ -72,6 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_text": op3_html_text,
     "op6_importance": op6_importance,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_pii": op9_pii,
