@@ -41,6 +41,19 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.common import written
+    from cairn.llm.fingerprints import with_next, within
+
+    prints = written(with_next(_table(spark, sf_dir, "documents").select("doc_id", "text")), "prints")
+    as_long = F.expr("shiftleft(bigint(conv(left(fingerprint, 8), 16, 10)), 32) | bigint(conv(right(fingerprint, 8), 16, 10))")
+    known = prints.withColumn("fp", as_long)
+    # The searches: every row whose id is divisible by 20, against all rows.
+    near = within(known.where("doc_id % 20 = 0"), known, radius=3).groupBy("query").agg(F.count(F.lit(1)).alias("found"))
+    joined = known.join(near, F.col("fp") == F.col("query"), "left")
+    return joined.select(*prints.columns, F.when(F.expr("doc_id % 20 = 0"), F.coalesce("found", F.lit(0))).alias("n_within_3_bits"))
+
+
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.importance import resample
 
@@ -79,6 +92,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_html_text": op3_html_text,
+    "op5_fingerprints": op5_fingerprints,
     "op6_importance": op6_importance,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_pii": op9_pii,
