@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import quality_rules
+from cairn.llm import quality_rules, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.common import written
     from cairn.llm.fingerprints import with_next, within
@@ -61,6 +67,13 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "per_gram", "gumbel_key", "kept")
 
 
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    captures = spark.sql(url_lists.CAPTURES.replace("FROM pages", "FROM {pages}"), pages=pages)
+    entries = spark.sql(url_lists.ENTRIES.replace("FROM pages", "FROM {pages}"), pages=pages)
+    return url_lists.judged(captures, entries).select("page_id", "url", "blocked", "rule", "since")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.common import written
     from cairn.llm.simhash_dedup import dedup, fingerprints
@@ -92,10 +105,12 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_html_text": op3_html_text,
+    "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
     "op6_importance": op6_importance,
+    "op7_url_lists": op7_url_lists,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
+ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op7_url_lists": url_lists.ORACLE}
