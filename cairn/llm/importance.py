@@ -93,13 +93,13 @@ def weighed(df: DataFrame, ratio: np.ndarray, text: str = "text", keep_text: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            found = [grams(x) for x in batch.column(len(rest)).cast(pa.binary()).to_pylist()]
+            found = [grams(x or b"") for x in batch.column(text).cast(pa.binary()).to_pylist()]
             n = np.array([len(x) for x in found], np.int64)
             weight = np.array([float(ratio[x].sum()) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(n), pa.array(weight), pa.array(weight / np.maximum(n, 1))], names=rest + new)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(n), pa.array(weight), pa.array(weight / np.maximum(n, 1))], names=rest + new)
 
     small_batches(df.sparkSession, 1000)
-    return df.select(*[f"`{c}`" for c in rest], text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in rest], *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
 def cut(table: DataFrame, labels: DataFrame) -> float:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import small_batches, text_or_empty, written
+from cairn.llm.common import small_batches, written
 from cairn.llm.components import components
 
 BITS = 64
@@ -60,11 +60,11 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(rest)).cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(x, size) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(found)], names=[*rest, name])
+            texts = batch.column(text).cast(pa.binary()).to_pylist()
+            found = np.array([fingerprint(x or b"", size) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(found)], names=[*rest, name])
 
-    return df.select(*[f"`{c}`" for c in rest], text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in rest], *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
 def signed(mask: int) -> int:

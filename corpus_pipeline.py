@@ -2,11 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import importance, packing, pii, quality_rules, simhash_dedup
+from cairn.llm.common import written
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+SEQUENCE = 2048
+
+
+def _apart(docs: DataFrame, *named: str) -> DataFrame:
+    """The text, the named columns under names of their own, and all columns but the text in one struct: no operator's column can clash."""
+    rest = [f"`{c}`" for c in docs.columns if c != "text"]
+    return docs.select("text", *named, F.struct(*rest).alias("__row"))
+
+
+def _together(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep (operator 2)."""
+    table = written(quality_rules.measured(_apart(docs, "lang", "source"), keep_text=True), "measured")
+    return _together(quality_rules.judge(table).where("kept"), docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps (operator 6), by the labels that come with the input."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _together(importance.resample(_apart(docs, "doc_id"), labels, keep_text=True).where("kept"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (operator 8): the one of the smallest doc_id, null last, or any of its repeated rows."""
+    prints = simhash_dedup.fingerprints(_apart(docs, "doc_id"), keep_text=True).withColumn("__n", F.monotonically_increasing_id())
+    table = written(prints.withColumn("__order", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__n")).drop("doc_id"), "prints")
+    groups = simhash_dedup.dedup(table, distance=2, key="__order")
+    stay = groups.select(F.col("component_id")["__n"].alias("__n")).distinct()
+    return _together(table.join(stay, "__n", "left_semi"), docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind (operator 9); n_chars follows where there is one."""
+    table = written(pii.found(_apart(docs), keep_text=True), "candidates")
+    rows = pii.spans(table).withColumn("text", pii.redacted())
+    if "n_chars" in docs.columns:
+        longer = F.col("__row").withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("__row", F.when(F.size("spans") > 0, longer).otherwise(F.col("__row")))
+    return _together(rows, docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their ids and their places in sequences (operator 10)."""
+    return packing.packed(docs, TOKENIZER, SEQUENCE, with_ids=True)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("quality_classifier", classifier),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+#: Fingerprints, word hashes and tokenizers are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
