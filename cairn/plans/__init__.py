@@ -1,0 +1,6 @@
+"""The registered queries."""
+
+from cairn.plans import base
+from cairn.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "base"]
