@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import dropped, written
+from cairn.llm.common import written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,8 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lower = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(lower, F.col("u") == F.col("n"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lower.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
-        before, now = now, written(small, "edges")
-        dropped(before)
+        now = written(small, "edges")
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == state:
             break

@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import importance, packing, pii, quality_rules, simhash_dedup
-from cairn.llm.common import written
+from cairn.llm.common import noting, release, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 2048
 
 
+#: The tables that the stage before this one worked with; its result is written when the next stage begins.
+_left: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stage before has left, so that the disk holds the working tables of one stage."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        with noting() as paths:
+            out = f(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
+
 def _apart(docs: DataFrame, *named: str) -> DataFrame:
     """The text, the named columns under names of their own, and all columns but the text in one struct: no operator's column can clash."""
     rest = [f"`{c}`" for c in docs.columns if c != "text"]
@@ -25,18 +44,21 @@ def _together(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep (operator 2)."""
     table = written(quality_rules.measured(_apart(docs, "lang", "source"), keep_text=True), "measured")
     return _together(quality_rules.judge(table).where("kept"), docs)
 
 
+@_stage
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps (operator 6), by the labels that come with the input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _together(importance.resample(_apart(docs, "doc_id"), labels, keep_text=True).where("kept"), docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 8): the one of the smallest doc_id, null last, or any of its repeated rows."""
     prints = simhash_dedup.fingerprints(_apart(docs, "doc_id"), keep_text=True).withColumn("__n", F.monotonically_increasing_id())
@@ -46,6 +68,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _together(table.join(stay, "__n", "left_semi"), docs)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by its kind (operator 9); n_chars follows where there is one."""
     table = written(pii.found(_apart(docs), keep_text=True), "candidates")
@@ -56,6 +79,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _together(rows, docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their ids and their places in sequences (operator 10)."""
     return packing.packed(docs, TOKENIZER, SEQUENCE, with_ids=True)
