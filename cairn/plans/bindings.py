@@ -67,13 +67,13 @@ class Bound:
 
     @cached_property
     def block_edges(self) -> DataFrame:
-        order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+        order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
         e = self.raw("lineitem").select(F.col("l_suppkey").alias("faddr"), (F.col("l_partkey") % 16).alias("src"), F.lead(F.col("l_partkey") % 16).over(order).alias("dst"), F.row_number().over(order).alias("step"))
         return e.where("dst IS NOT NULL AND step <= 20").select("faddr", "src", "dst")
 
     @cached_property
     def call_edges(self) -> DataFrame:
-        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
         e = self.raw("lineitem").where("l_orderkey % 40 = 0").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
         return e.where("dst IS NOT NULL AND src <> dst").distinct()
 
@@ -118,8 +118,8 @@ CTES: dict[str, tuple[str, str]] = {
     "tags": ("docs", "SELECT oid, doc_id AS version, unnest(['quality', 'toxic', 'import_time']) AS tag, unnest([quality::VARCHAR, toxic::VARCHAR, (doc_id * 3600 + 1704067200)::VARCHAR]) AS value FROM labels JOIN docs USING (doc_id)"),
     "instructions": ("", "SELECT user_id % 10 AS oid, user_id AS faddr, 4 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS \"offset\", event_type AS mnemonic, (props->>'$.k')::BIGINT AS operand FROM events"),
     "blocked": ("instructions", "SELECT oid, faddr, \"offset\", mnemonic, operand, min(\"offset\") OVER (PARTITION BY faddr, island) AS block FROM (SELECT *, coalesce(sum((mnemonic = 'error')::INT) OVER (PARTITION BY faddr ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM instructions)"),
-    "block_edges": ("", "SELECT faddr, src, dst FROM (SELECT l_suppkey AS faddr, l_partkey % 16 AS src, lead(l_partkey % 16) OVER w AS dst, row_number() OVER w AS step FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)) WHERE dst IS NOT NULL AND step <= 20"),
-    "call_edges": ("", "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS dst FROM lineitem WHERE l_orderkey % 40 = 0) WHERE dst IS NOT NULL AND src <> dst"),
+    "block_edges": ("", "SELECT faddr, src, dst FROM (SELECT l_suppkey AS faddr, l_partkey % 16 AS src, lead(l_partkey % 16) OVER w AS dst, row_number() OVER w AS step FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey)) WHERE dst IS NOT NULL AND step <= 20"),
+    "call_edges": ("", "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_orderkey % 40 = 0) WHERE dst IS NOT NULL AND src <> dst"),
     "tool_offsets": ("", "SELECT DISTINCT l_returnflag AS tool, l_partkey % 1000 AS \"offset\" FROM lineitem WHERE l_discount < 0.03 AND l_orderkey % 50 = 0"),
     "sections": ("objects", "SELECT oid, s.name AS name, s.start AS start, s.len AS len FROM (SELECT oid, unnest(CASE WHEN size >= 96 THEN [{'name': 'head', 'start': 0, 'len': 64}, {'name': 'body', 'start': 64, 'len': size - 96}, {'name': 'tail', 'start': size - 32, 'len': 32}] ELSE [{'name': 'head', 'start': 0, 'len': size}] END) AS s FROM objects)"),
     "imports": ("", "SELECT DISTINCT l_orderkey AS oid, l_suppkey AS library, l_partkey AS name FROM lineitem WHERE l_orderkey % 20 = 0"),
