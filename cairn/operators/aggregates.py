@@ -53,7 +53,7 @@ def entropy(counts: DataFrame, by: list[str], base: int, key: str = "byte") -> D
     """Shannon entropy of each group's histogram; groups of entropy 0 are left out."""
     total = Window.partitionBy(*by)
     p = F.col("n") / F.sum("n").over(total)
-    return counts.withColumn("__p", p).groupBy(*by).agg(F.round(-F.sum(F.col("__p") * F.log(F.lit(float(base)), "__p")), 6).alias("entropy")).where("entropy > 0")
+    return counts.withColumn("__p", p).groupBy(*by).agg(F.round(-F.sum(F.col("__p") * F.log(float(base), F.col("__p"))), 6).alias("entropy")).where("entropy > 0")
 
 
 def chunk_entropy(objects: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -66,7 +66,7 @@ def chunk_entropy(objects: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def entropy_profile(chunks: DataFrame) -> DataFrame:
     """Mean and largest chunk entropy of every object, and the first address of the largest."""
-    return chunks.groupBy("oid").agg(F.round(F.avg("entropy"), 5).alias("mean"), F.max("entropy").alias("highest"), F.min_by("address", F.struct(-F.col("entropy"), "address")).alias("at"))
+    return chunks.groupBy("oid").agg(F.round(F.avg("entropy"), 9).alias("mean"), F.max("entropy").alias("highest"), F.min_by("address", F.struct(-F.col("entropy"), "address")).alias("at"))
 
 
 def shares(counts: DataFrame) -> DataFrame:

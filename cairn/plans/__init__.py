@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from cairn.plans import base, pairs
+from cairn.plans import base, counts, pairs
 from cairn.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "base", "pairs"]
+__all__ = ["ORACLE", "QUERIES", "base", "counts", "pairs"]
