@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from cairn.plans import base, counts, graphs, pairs
+from cairn.plans import base, counts, graphs, pairs, retrieval
 from cairn.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "base", "counts", "graphs", "pairs"]
+__all__ = ["ORACLE", "QUERIES", "base", "counts", "graphs", "pairs", "retrieval"]
