@@ -136,9 +136,13 @@ class Scanner:
             words = [m[0].lower() for m in WORD.finditer(text)]
         places = [m.span() for m in WORD.finditer(text)]
         for t, low, high in regions:
-            alike, first, past = self.align(self.words[t], words, low, high)
-            if alike >= self.least * len(self.words[t]):
+            left = words
+            while True:  # a region may hold the template several times
+                alike, first, past = self.align(self.words[t], left, low, high)
+                if not alike or alike < self.least * len(self.words[t]):
+                    break
                 found.append((alike / len(self.words[t]), t, alike, first, past))
+                left = [*left[:first], *[""] * (past - first), *left[past:]]
         out: list[tuple[str, float, int, int, int]] = []
         taken: list[tuple[int, int, float, int]] = []
         for coverage, t, alike, first, past in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
