@@ -52,17 +52,21 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     return votes(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), np.uint64))
 
 
-def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", size: int = 3, keep_text: bool = False) -> DataFrame:
-    """df with a long column of fingerprints, without its text unless keep_text; null text counts as empty."""
+def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", size: int = 3, keep_text: bool = False, also: dict[str, int] | None = None) -> DataFrame:
+    """df with a long column of fingerprints, without its text unless keep_text; null text counts as empty.
+
+    also: further columns, each with its own size of shingles.
+    """
     small_batches(df.sparkSession, 1000)
-    rest = [c for c in df.columns if c != name and (keep_text or c != text)]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(name, T.LongType())])
+    sizes = {name: size, **(also or {})}
+    rest = [c for c in df.columns if c not in sizes and (keep_text or c != text)]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(n, T.LongType()) for n in sizes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(x or b"", size) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(found)], names=[*rest, name])
+            found = [pa.array(np.array([fingerprint(x or b"", n) for x in texts], np.uint64).view(np.int64)) for n in sizes.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + found, names=[*rest, *sizes])
 
     return df.select(*[f"`{c}`" for c in rest], *([] if keep_text else [text])).mapInArrow(run, schema)
 
@@ -152,6 +156,11 @@ def keys(mask: int, bits: list[int], threshold: int) -> Column:
     return F.transform(F.array(*[F.lit(signed(x)) for x in flips]), lambda x: own.bitwiseXOR(x))
 
 
+def tagged(part: int, mask: int, bits: list[int], threshold: int) -> Column:
+    """keys() with the number of their partition."""
+    return F.transform(keys(mask, bits, threshold), lambda k: F.struct(F.lit(part).alias("part"), k.alias("key")))
+
+
 def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints fp of nodes, such that their components are those of all links.
 
@@ -161,7 +170,7 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("distance must be 0, 1 or 2")
     n = nodes.count()
     probes = thresholds(nodes, n, distance)
-    each = F.explode(F.concat(*[F.transform(keys(*p), lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))) for i, p in enumerate(probes)])).alias("x")
+    each = F.explode(F.concat(*[tagged(i, *p) for i, p in enumerate(probes)])).alias("x")
     entries = nodes.select("fp", each).select("fp", "x.part", "x.key")
     many = written(entries.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_UNDER_KEY).select("part", "key"), "keys")
     seen = F.broadcast(many) if many.count() <= MOST_BROADCAST else many.hint("merge")

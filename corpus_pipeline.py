@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import importance, packing, pii, quality_rules, simhash_dedup
+from cairn.llm import importance, packing, pii, quality_rules, simhash_dedup, simhash_near
 from cairn.llm.common import noting, release, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,10 +60,14 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (operator 8): the one of the smallest doc_id, null last, or any of its repeated rows."""
-    prints = simhash_dedup.fingerprints(_apart(docs, "doc_id"), keep_text=True).withColumn("__n", F.monotonically_increasing_id())
+    """One document of each group of near duplicates (operator 8): the one of the smallest doc_id, null last, or any of its repeated rows.
+
+    Near are equal fingerprints of three-word shingles, and those that differ in 11 bits at most where the
+    fingerprints of five-word shingles differ in 14 at most, as texts with a similarity of 0.8 do.
+    """
+    prints = simhash_dedup.fingerprints(_apart(docs, "doc_id"), name="fp", size=3, keep_text=True, also={"fp2": 5}).withColumn("__n", F.monotonically_increasing_id())
     table = written(prints.withColumn("__order", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__n")).drop("doc_id"), "prints")
-    groups = simhash_dedup.dedup(table, distance=2, key="__order")
+    groups = simhash_near.near_dedup(table.select("__order", "fp", "fp2"), key="__order")
     stay = groups.select(F.col("component_id")["__n"].alias("__n")).distinct()
     return _together(table.join(stay, "__n", "left_semi"), docs)
 
