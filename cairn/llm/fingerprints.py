@@ -35,7 +35,7 @@ class Prints:
     def __init__(self) -> None:
         import xxhash
 
-        self.hashes = Memo(lambda w: xxhash.xxh64_intdigest(w), 400_000)
+        self.hashes = Memo(lambda w: xxhash.xxh64_intdigest(w), 200_000)
 
     def __call__(self, text: str) -> int:
         words = text.split()

@@ -50,7 +50,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], least_coverage: float):
         import xxhash
 
-        self.hashes = Memo(lambda w: xxhash.xxh64_intdigest(w), 400_000)
+        self.hashes = Memo(lambda w: xxhash.xxh64_intdigest(w), 200_000)
         self.least = least_coverage
         self.names = list(templates)
         self.words = [words_of(t) for t in templates.values()]
