@@ -57,21 +57,16 @@ def radii(nodes: DataFrame, n: int, distance: int, divisions: tuple[int, ...] =
 
 def forest(first: np.ndarray, second: np.ndarray, owner: np.ndarray, size: int, distance: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) such that links inside each owner's run and these edges have the same components; runs have `size` rows at most."""
-    label = np.arange(len(first))
-    left, right = [], []
+    label = np.arange(len(first))  # always the root of a row's component
     for step in range(1, size):
-        near = np.flatnonzero((owner[step:] == owner[:-step]) & (np.bitwise_count(first[step:] ^ first[:-step]) <= distance))
+        near = np.flatnonzero((owner[step:] == owner[:-step]) & (label[step:] != label[:-step]))
+        near = near[np.bitwise_count(first[near + step] ^ first[near]) <= distance]
         near = near[np.bitwise_count(second[near + step] ^ second[near]) <= limit]
-        left.append(near)
-        right.append(near + step)
-    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-    while len(i):
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (before == label).all():
-            break
+        while len(near := near[label[near] != label[near + step]]):
+            i, j = label[near], label[near + step]
+            np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+            while (label != (label := label[label])).any():
+                pass
     moved = np.flatnonzero(label != np.arange(len(label)))
     return moved, label[moved]
 
