@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from cairn.llm.common import Memo, small_batches, text_or_empty, written
 
 #: For each of two generations of words and of matches, in each Python worker.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 200_000
 LATIN = re.compile("[\x20-&(-~À-ɏ]*\\Z").match
 MATCH = re.compile(r"[^\W\d_]+|\d|[\W_]+").findall
 #: Byte-level vocabularies write a byte as a printable character: itself, or the next one from 256 on for the others.
