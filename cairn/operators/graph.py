@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,15 +21,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, start: DataFrame, by: list[str] | None = None, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, by: list[str] | None = None, rounds: int | None = None) -> DataFrame:
     """(by, node, depth): all nodes that paths from start's nodes reach, with the fewest steps; start has depth 0.
 
     Each round joins only the newest nodes with the edges, and takes away those seen. It ends
-    when a round finds none, so cycles do no harm.
+    when a round finds none, so cycles do no harm; rounds is the most steps that count, None sets no bound.
     """
     by = by or []
     seen = front = checkpointed(start.select(*by, "node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, rounds + 1):
+    for depth in count(1) if rounds is None else range(1, rounds + 1):
         step = front.select(*by, F.col("node").alias("src")).join(edges, [*by, "src"]).select(*by, F.col("dst").alias("node")).distinct()
         front = checkpointed(step.join(seen.select(*by, "node"), [*by, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():

@@ -128,6 +128,41 @@ def test_matching_is_one_to_one_and_complete(spark):
     assert {(r.t, r.b) for r in report if r.category == "modified"} == {("b", "x")}
 
 
+def greedy(rows):
+    out, left, right = set(), set(), set()
+    for a, b, _ in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if a not in left and b not in right:
+            out.add((a, b))
+            left.add(a)
+            right.add(b)
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_matching_of_large_tied_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(joins, "FEW_PAIRS", few)
+    target = spark.createDataFrame([(f"t{i:02}", "same") for i in range(45)] + [("u", "other"), (None, "same")], "oid string, name string")
+    baseline = spark.createDataFrame([(f"b{i:02}", "same") for i in range(30)] + [("v", "other")], "oid string, name string")
+    assert {tuple(r) for r in joins.pair_by_name(target, baseline).collect()} == {(f"t{i:02}", f"b{i:02}") for i in range(30)} | {("u", "v")}
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dictionaries(st.tuples(st.integers(0, 5), st.integers(0, 5)), st.integers(1, 2), min_size=1, max_size=30))
+def test_matching_by_rounds_is_greedy(spark, monkeypatch, given_pairs):
+    monkeypatch.setattr(joins, "FEW_PAIRS", 0)
+    rows = [(a, b, float(s)) for (a, b), s in given_pairs.items()]
+    got = joins.one_to_one(spark.createDataFrame(rows, "t long, b long, s double"), "t", "b", "s").collect()
+    assert len(got) == len({(r.t, r.b) for r in got}) and {(r.t, r.b) for r in got} == greedy(rows)
+
+
+def test_reachable_has_no_bound_of_its_own(spark):
+    assert graph.reachable.__defaults__ == (None, None)  # was 1,000 rounds
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 0)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {(r.node, r.depth) for r in graph.reachable(edges, start).collect()} == {(i, i) for i in range(13)}
+    assert graph.reachable(edges, start, rounds=3).count() == 4
+
+
 def test_scope_names_what_is_outside(spark):
     ids = lambda some: spark.createDataFrame([(x,) for x in some], "oid string")
     assert joins.scope_restricted(ids("ab"), ids("a")).count() == 1
