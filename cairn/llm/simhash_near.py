@@ -7,6 +7,9 @@ pattern differ in up to 2 r bits, so a partition of radius r uses up a threshold
 are allocated by dynamic programming on counts over all fingerprints. A key's fingerprints are
 verified against each other inside tasks, in blocks where there are many, and only a spanning
 forest of the links is handed on, never all pairs.
+
+Fingerprints only find candidates: near_rows() links texts of one group where their sets of five-word
+shingles have a Jaccard similarity of 0.8 or more, and compares all pairs of a group for that.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import written
+from cairn.llm.common import small_batches, text_or_empty, written
 from cairn.llm.components import components
 from cairn.llm.simhash_dedup import co_set, grouped, signed, tagged
 
@@ -27,6 +30,9 @@ GROUP = 1024
 #: What a pair costs to verify, in entries.
 PAIR_COST = 0.004
 RADII = (-1, 0, 1, 2)
+#: Texts of a group that one task compares, and shingles; more are dealt into blocks of pairs of parts.
+MEMBERS = 1024
+SHINGLES = 300_000
 
 
 def radii(nodes: DataFrame, n: int, distance: int, divisions: tuple[int, ...] = (3, 4, 5)) -> list[tuple[int, list[int], int]]:
@@ -105,14 +111,93 @@ def near_links(nodes: DataFrame, distance: int = 11, second: int = 14) -> DataFr
     return lists.mapInArrow(verify, "u long, v long")
 
 
+def fp_components(df: DataFrame, distance: int, second: int) -> DataFrame:
+    """(node, component) of the fingerprints fp of df (fp, fp2) that have near ones; each fp2 that an fp has counts."""
+    return written(components(near_links(written(df.select("fp", "fp2").distinct(), "pairs"), distance, second)), "components")
+
+
 def near_dedup(df: DataFrame, distance: int = 11, second: int = 14, key: str = "doc_id") -> DataFrame:
     """(fp, component_id) for every distinct fingerprint fp of df (key, fp, fp2): the smallest key that near links reach.
 
-    df is read twice, so it should be a written table. Of one fp with several fp2 the least stands for it. An
-    empty df gives no rows.
+    df is read twice, so it should be a written table. Rows of one fp belong together, and are near what any of their
+    fp2 is near. An empty df gives no rows.
     """
-    nodes = written(df.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min(key).alias("least")), "nodes")
-    found = written(components(near_links(nodes, distance, second)), "components")
+    nodes = written(df.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    found = fp_components(df, distance, second)
     owned = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lowest = found.join(nodes, F.col("fp") == F.col("node")).groupBy(F.col("component").alias("of")).agg(F.min("least").alias("lowest"))
     return owned.join(lowest, F.col("component") == F.col("of"), "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+
+
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles, cut as for fingerprints."""
+    import xxhash
+
+    words = text.lower().split()
+    found = map(b" ".join, zip(*[words[i:] for i in range(size)], strict=False)) if len(words) > size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64)).view(np.int64)
+
+
+def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Positions (i, j) of pairs with a Jaccard similarity of at least `least`, whose components are those of all such pairs."""
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
+    label, out = np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        own = flat[start[i] : start[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat[start[i + 1] :]], start[i + 1 : -1] - start[i + 1])
+        mark[own] = 0
+        for j in i + 1 + np.flatnonzero(common >= least * (size[i] + size[i + 1 :] - common) - 1e-9):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, int(j)))
+    return out
+
+
+def near_rows(df: DataFrame, key: str, row: str, distance: int = 11, second: int = 14, least: float = 0.8, text: str = "text") -> DataFrame:
+    """(row): the row of the smallest key of each group of texts that are alike; df is (key, row, text, fp, fp2), row a unique long.
+
+    Candidates are the texts that near_dedup() would join. Of each such group all pairs are compared, in tasks, by
+    their sets of five-word shingles; pairs alike in `least` or more are linked. Null text counts as empty. df is read
+    several times, so it should be a written table. An empty df gives no rows.
+    """
+    found = fp_components(df, distance, second)
+    same = df.groupBy("fp", F.md5(text_or_empty(text)).alias("__same")).agg(F.min(F.struct(key, row)).alias("__first"))
+    texts = same.join(found, F.col("fp") == F.col("node"), "left").select(F.col("__first")[row].alias("__id"), "__first", F.coalesce("component", "fp").alias("__group"))
+    texts = written(texts, "texts")
+    crowds = texts.groupBy(F.col("__group").alias("__of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = texts.join(crowds, F.col("__group") == F.col("__of"), "left_semi").select("__id", "__group")
+    small_batches(df.sparkSession, 1000)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "grp", "shingles"])
+
+    held = df.select(F.col(row).alias("__row"), text_or_empty(text).alias("__text")).join(members, F.col("__row") == F.col("__id"))
+    sets = written(held.select("__id", "__group", "__text").mapInArrow(cut, "id long, grp long, shingles array<long>"), "sets")
+    parts = sets.groupBy(F.col("grp").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum(F.size("shingles")) / SHINGLES)).cast("int").alias("g")).where("g > 1")
+    dealt = sets.join(parts, F.col("grp") == F.col("of"), "left")
+    own = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))
+    none = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    spread = dealt.select("grp", "id", "shingles", F.explode(F.when(F.col("g").isNull(), none).otherwise(pairs)).alias("block"))
+    lists = spread.groupBy("grp", "block").agg(F.collect_list(F.struct("id", "shingles")).alias("members")).where(F.size("members") > 1).select("members")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            for rows in batch.column(0):
+                held = rows.values
+                ids, inner = held.field(0).to_numpy(), held.field(1)
+                for i, j in alike([inner[k].values.to_numpy() for k in range(len(ids))], least):
+                    u.append(int(ids[i]))
+                    v.append(int(ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    joined = components(lists.mapInArrow(compare, "u long, v long"))
+    owned = texts.join(joined, F.col("__id") == F.col("node"), "left")
+    return owned.groupBy(F.coalesce("component", "__id").alias("of")).agg(F.min("__first").alias("first")).select(F.col("first")[row].alias(row))

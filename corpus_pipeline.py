@@ -62,13 +62,12 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 8): the one of the smallest doc_id, null last, or any of its repeated rows.
 
-    Near are equal fingerprints of three-word shingles, and those that differ in 11 bits at most where the
-    fingerprints of five-word shingles differ in 14 at most, as texts with a similarity of 0.8 do.
+    Near are texts with a Jaccard similarity of 0.8 or more of their sets of five-word shingles. Candidates have equal
+    fingerprints of three-word shingles, or such that differ in 11 bits at most where those of five-word shingles differ in 14 at most.
     """
     prints = simhash_dedup.fingerprints(_apart(docs, "doc_id"), name="fp", size=3, keep_text=True, also={"fp2": 5}).withColumn("__n", F.monotonically_increasing_id())
     table = written(prints.withColumn("__order", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__n")).drop("doc_id"), "prints")
-    groups = simhash_near.near_dedup(table.select("__order", "fp", "fp2"), key="__order")
-    stay = groups.select(F.col("component_id")["__n"].alias("__n")).distinct()
+    stay = simhash_near.near_rows(table, key="__order", row="__n")
     return _together(table.join(stay, "__n", "left_semi"), docs)
 
 

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from cairn.llm import simhash_dedup as d
 from cairn.llm import simhash_near as n
 from cairn.llm.common import written
 
@@ -48,3 +50,44 @@ def test_radii_cover_the_distance(spark):
 def test_empty_table(spark):
     df = written(spark.createDataFrame([], "doc_id long, fp long, fp2 long"), "t")
     assert n.near_dedup(df).count() == 0
+
+
+def test_each_second_fingerprint_counts(spark):
+    far = (1 << 40) - 1
+    df = written(spark.createDataFrame([(1, 0, 0), (2, 0, far), (3, 1, far), (4, -1, -1)], "doc_id long, fp long, fp2 long"), "t")
+    assert {r.fp: r.component_id for r in n.near_dedup(df).collect()} == {0: 1, 1: 1, -1: 4}
+
+
+@pytest.mark.parametrize("members", [1024, 3])
+def test_only_texts_alike_in_four_fifths_go(spark, monkeypatch, members):
+    monkeypatch.setattr(n, "MEMBERS", members)  # 3: many blocks
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["", None, "one two", "one  two", "One two three"]
+    for _ in range(12):
+        base = rnd.choices(words, k=200)
+        for edits in (0, 0, 2, 4, 5, 8, 14):
+            other = list(base)
+            for i in rnd.sample(range(200), edits):
+                other[i] = rnd.choice(words)
+            texts.append(" ".join(other))
+    prints = [(i, x, *(np.array([d.fingerprint((x or "").encode(), k) for k in (3, 5)], np.uint64).view(np.int64).tolist())) for i, x in enumerate(texts)]
+    df = written(spark.createDataFrame([(i, i, *rest) for i, *rest in prints], "key long, row long, text string, fp long, fp2 long"), "t")
+    groups = {r.fp: r.component_id for r in n.near_dedup(df.drop("text", "row"), key="key").collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((x or "").lower().split() for x in texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if groups[prints[i][2]] == groups[prints[j][2]] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.row for r in n.near_rows(df, "key", "row").collect()}
+    assert got == {find(i) for i in range(len(texts))}
+    assert len(got) > len(set(groups.values()))  # some candidates are not alike
+    assert n.near_rows(df.limit(0), "key", "row").count() == 0
