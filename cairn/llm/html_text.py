@@ -1,7 +1,7 @@
 """Main text of web pages, without what a site repeats.
 
 Every element's subtree gets a hash of its tag, classes and contents. Spark counts, for each
-host, on how many pages a subtree occurs; those on many pages of a host are its template and are
+host and each section of it, on how many pages a subtree occurs; those on many pages of either are its template and are
 deleted where they stand outside the article. Menus, forms, adverts, comments and the like are
 left out by tag, role and class, also where a host has too few pages to count.
 """
@@ -33,12 +33,40 @@ CLOSES_P = BLOCKS - frozenset("br button option select textarea body html head t
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = frozenset("ul ol dl table td th select article main section body button".split())
 
-#: Quoted values are bounded, so that a stray quote costs no scan of the whole page; such a tag ends at the next ">".
+#: Quoted values are bounded here, so that a stray quote costs no scan of the whole page; longer ones are left to tag_end().
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]{0,4000}\"|'[^']{0,4000}')[^>\"']*+){0,200}+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+MARK = re.compile(r"[>\"']")
+
+
+def tag_end(page: str, start: int, dead: set[int]) -> int:
+    """Past the ">" that ends the tag whose attributes begin at start, or -1; a quote opens a value only after "=".
+
+    dead has the opening quotes from which no end was found, so that a page is scanned once in all.
+    """
+    opened, at = [], start
+    while m := MARK.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return at
+        before = m.start() - 1
+        while before > start and page[before].isspace():
+            before -= 1
+        if before < start or page[before] != "=":
+            continue
+        if m.start() in dead:
+            break
+        opened.append(m.start())
+        at = page.find(m[0], at) + 1
+        if not at:
+            break
+    dead.update(opened)
+    return -1
+
+
 class Frame:
     __slots__ = ("tag", "start", "drop", "parts", "inner")
 
@@ -108,6 +136,7 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: se
 
     at, end = 0, len(page)
     last = page.rfind(">") + 1  # no tag ends after it
+    dead: set[int] = set()
     while at < end:
         m = TAG.search(page, at, last) if at < last else None
         upto = m.start() if m else end
@@ -130,6 +159,8 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: se
                 out.append(" ")
             continue
         attributes = m[3] if m[2] else m[6]
+        if m[5] and (past := tag_end(page, m.end(5), dead)) > 0:
+            attributes, at = page[m.end(5) : past - 1], past
         if tag in RAW:
             closed = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if closed:
@@ -171,44 +202,57 @@ def host(url: str = "url") -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+def section(url: str = "url") -> Column:
+    """The first step of a URL's path where another follows; empty for none."""
+    return F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
 def templates(pages: DataFrame, least_pages: int = 5, share: float = 0.2, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, template): hashes of the subtrees on at least least_pages pages and on that share of a host's pages.
+    """(host, section, template): hashes of the subtrees on at least least_pages pages and on that share of the pages of a host (section null) or of a section.
 
-    A page counts a subtree once. A host's list is bounded: by the number of subtrees on a page over share.
+    A page counts a subtree once. A list is bounded: by the number of subtrees on a page over share.
     """
     small_batches(pages.sparkSession, 200)
-    given = pages.select(host(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    given = pages.select(host(url).alias("host"), section(url).alias("section"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for h, part, page in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 seen: set[int] = set()
                 parse(page, seen=seen)
-                counts.update((h, s) for s in seen)
-                counts[h, -1] += 1  # the page itself
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "subtree", "n"])
+                counts.update((h, part, s) for s in seen)
+                counts[h, part, -1] += 1  # the page itself
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in counts], t) for i, t in enumerate(kinds)] + [pa.array(list(counts.values()), pa.int64())], names=["host", "section", "subtree", "n"])
 
-    counted = written(given.mapInArrow(run, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n")), "subtrees")
-    sizes = counted.where("subtree = -1").select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    many = counted.where(f"subtree <> -1 AND n >= {least_pages}").join(sizes, F.col("host") == F.col("of")).where(F.col("n") >= F.col("pages") * share)
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    counted = written(given.mapInArrow(run, "host string, section string, subtree long, n long").groupBy("host", "section", "subtree").agg(F.sum("n").alias("n")), "subtrees")
+    hosts = counted.groupBy("host", "subtree").agg(F.sum("n").alias("n")).withColumn("section", F.lit(None).cast("string"))
+    counted = counted.unionByName(hosts)
+    sizes = counted.where("subtree = -1").select(F.col("host").alias("of"), F.col("section").alias("of_section"), F.col("n").alias("pages"))
+    own = (F.col("host") == F.col("of")) & F.col("section").eqNullSafe(F.col("of_section"))
+    many = counted.where(f"subtree <> -1 AND n >= {least_pages}").join(sizes, own).where(F.col("n") >= F.col("pages") * share)
+    return many.groupBy("host", "section").agg(F.collect_list("subtree").alias("template"))
 
 
 def extract(pages: DataFrame, most_broadcast: int = 20_000, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns in keep and text, for every page; null pages have empty text. Repeated rows give equal texts."""
-    found = written(templates(pages, html=html, url=url), "templates").withColumnRenamed("host", "__of")
+    found = written(templates(pages, html=html, url=url), "templates")
     small_batches(pages.sparkSession, 200)
     small = found.count() <= most_broadcast
-    given = pages.select(*[f"`{c}`" for c in keep], F.coalesce(F.col(html), F.lit("")).alias("__html"), host(url).alias("__host"))
-    joined = given.join(F.broadcast(found) if small else found.hint("merge"), F.col("__host") == F.col("__of"), "left").select(*keep, "__html", "template")
+    sided = lambda lists: F.broadcast(lists) if small else lists.hint("merge")
+    of_host = found.where("section IS NULL").select(F.col("host").alias("__of"), F.col("template").alias("__t"))
+    of_section = found.where("section IS NOT NULL").select(F.col("host").alias("__sof"), F.col("section").alias("__part"), F.col("template").alias("__s"))
+    given = pages.select(*[f"`{c}`" for c in keep], F.coalesce(F.col(html), F.lit("")).alias("__html"), host(url).alias("__host"), section(url).alias("__section"))
+    joined = given.join(sided(of_host), F.col("__host") == F.col("__of"), "left")
+    joined = joined.join(sided(of_section), (F.col("__host") == F.col("__sof")) & (F.col("__section") == F.col("__part")), "left").select(*keep, "__html", "__t", "__s")
     rest = [c for c in keep if c != "text"]
     schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("template").to_pylist()
-            texts = [parse(p, set(t or ())) for p, t in zip(batch.column("__html").to_pylist(), lists, strict=True)]
+            given = [batch.column(c).to_pylist() for c in ("__html", "__t", "__s")]
+            texts = [parse(p, {*(t or ()), *(s or ())}) for p, t, s in zip(*given, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(texts, pa.string())], names=[*rest, "text"])
 
     return joined.mapInArrow(run, schema)

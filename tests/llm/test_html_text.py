@@ -45,3 +45,20 @@ def test_a_passage_in_many_articles_stays(spark):
     rows = [(i, "https://a.example.com/", f"<nav>Menu</nav><article><p>Shared passage</p><p>Own {i}</p></article>") for i in range(20)]
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Shared passage Own {i}" for i in range(20)}
+
+
+def test_a_template_of_a_small_section_goes(spark):
+    box = "<div><p>Read this of the section</p></div>"
+    rows = [(i, f"https://a.example.com/{'news' if i < 10 else 'shop'}/{i}", f"<body>{box if i < 10 else ''}<div><p>Own text {i}</p></div></body>") for i in range(100)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text {i}" for i in range(100)}
+
+
+def test_long_attributes_end_at_their_quote():
+    value = "a > b " * 2000
+    assert h.parse(f'<p data-x="{value}" class="x">Text</p>') == "Text"
+    assert h.parse("<p " + "a='>' " * 500 + ">Text</p>") == "Text"
+    start = time.process_time()
+    for page in ('<div a="' * 20_000 + ">", '<div a="' * 20_001 + ">", '<div "' * 20_000 + ">", "<div a='x\"" * 20_000 + ">", "<a b= 'c' d=\"" * 20_000 + ">"):
+        h.parse(page)
+    assert time.process_time() - start < 30
