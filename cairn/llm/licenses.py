@@ -3,8 +3,9 @@
 Every template's word trigrams are winnowed: of each window of neighbouring trigrams the one with the
 least hash is kept, in an inverted index trigram -> (template, position). A text's trigrams are all looked
 up; hits of one template on neighbouring diagonals are a candidate region, which is aligned
-with the template inside a band around those diagonals. A match is reported where the words aligned alike cover
-enough of the template.
+with the template inside a band around those diagonals. Pieces of one template that follow each other in the text and in
+the template are chained where their scores outweigh the gap, as one alignment without a band would join them. A match
+is reported where the words aligned alike cover enough of the template.
 """
 
 from __future__ import annotations
@@ -91,38 +92,69 @@ class Scanner:
                 out.append([t, d, d])
         return [tuple(x) for x in out]
 
-    def align(self, template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int]:
-        """(words aligned alike, first, past the last word of the text) of the best local alignment in the band.
+    def align(self, template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int, int, int, int]:
+        """(score, words aligned alike, first, past the last word of the text, the same of the template) of the best local alignment in the band.
 
         Alike scores 2, unlike and gap cost 1. Column j of row i stands for the text's word i + low - BAND + j.
         """
         width, n = high - low + 2 * BAND + 1, len(words)
-        before = [(0, 0, -1)] * (width + 1)  # score, alike, start
-        best = (0, 0, -1, -1)
+        none = (0, 0, None)
+        before = [none] * (width + 1)  # score, alike, start in text and template
+        best = (0, 0, (-1, -1), -1, -1)
         for i, w in enumerate(template):
-            row, left = [], (0, 0, -1)
+            row, left = [], none
             base = i + low - BAND
             for j in range(width):
                 at = base + j
                 if not 0 <= at < n:
-                    cell = (0, 0, -1)
+                    cell = none
                 else:
                     s, a, b = before[j]
-                    cell = (s + 2, a + 1, b if b >= 0 else at) if words[at] == w else (s - 1, a, b)
+                    cell = (s + 2, a + 1, b or (at, i)) if words[at] == w else (s - 1, a, b)
                     up, side = before[j + 1], left
                     if up[0] - 1 > cell[0]:
                         cell = (up[0] - 1, up[1], up[2])
                     if side[0] - 1 > cell[0]:
                         cell = (side[0] - 1, side[1], side[2])
                     if cell[0] <= 0:
-                        cell = (0, 0, -1)
+                        cell = none
                     elif cell[0] > best[0]:
-                        best = (cell[0], cell[1], cell[2], at + 1)
+                        best = (*cell, at + 1, i + 1)
                 row.append(cell)
                 left = cell
-            row.append((0, 0, -1))
+            row.append(none)
             before = row
-        return best[1], best[2], best[3]
+        score, alike, (first, t_first), past, t_past = best
+        return score, alike, first, past, t_first, t_past
+
+    def chained(self, pieces: list[tuple[int, int, int, int, int, int]], length: int) -> list[tuple[int, int, int]]:
+        """(alike, first, past) of the best chains of pieces of a template of so many words; each piece is in one.
+
+        The words between two pieces cost 1 each, or pair up as unlike; what both pieces cover counts once.
+        """
+        free, out = sorted(set(pieces), key=lambda x: (x[2], x[3])), []
+        while free:
+            ends: list[tuple[int, int, int, int]] = []  # score, alike, first, the piece before
+            for k, (score, alike, first, past, t_first, t_past) in enumerate(free):
+                best = (score, alike, first, -1)
+                for j in range(k - 1, -1, -1):
+                    _, own, f, p, tf, tp = free[j]
+                    if first - f > 5 * length:  # no chain outweighs such a gap
+                        break
+                    over = max(p - first, tp - t_first, 0)
+                    if f < first and p < past and tf < t_first and tp < t_past and over < min(own, alike):
+                        total = ends[j][0] + score - 2 * over - max(first - p, t_first - tp, 0)
+                        if total > max(best[0], ends[j][0]):
+                            best = (total, ends[j][1] + alike - over, ends[j][2], j)
+                ends.append(best)
+            at = max(range(len(free)), key=lambda k: (ends[k][0], -k))
+            out.append((ends[at][1], ends[at][2], free[at][3]))
+            if out[-1][0] < self.least * length:
+                return out[:-1]
+            while at >= 0:
+                free[at], at = None, ends[at][3]
+            free = [x for x in free if x]
+        return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, words, start, end) of the matches, by place; of overlapping ones of a template the best, and none inside a better one."""
@@ -135,14 +167,20 @@ class Scanner:
         if len(lower) != len(text):  # a few letters change length in lower case
             words = [m[0].lower() for m in WORD.finditer(text)]
         places = [m.span() for m in WORD.finditer(text)]
+        pieces: dict[int, list[tuple[int, int, int, int, int, int]]] = {}
         for t, low, high in regions:
             left = words
             while True:  # a region may hold the template several times
-                alike, first, past = self.align(self.words[t], left, low, high)
-                if not alike or alike < self.least * len(self.words[t]):
+                piece = self.align(self.words[t], left, low, high)
+                _, alike, first, past, *_ = piece
+                if alike:
+                    pieces.setdefault(t, []).append(piece)
+                if alike < max(GRAM, 0.1 * len(self.words[t])):
                     break
-                found.append((alike / len(self.words[t]), t, alike, first, past))
                 left = [*left[:first], *[""] * (past - first), *left[past:]]
+        for t, own in pieces.items():
+            if sum(x[1] for x in own) >= self.least * len(self.words[t]):
+                found.extend((alike / len(self.words[t]), t, alike, first, past) for alike, first, past in self.chained(own, len(self.words[t])))
         out: list[tuple[str, float, int, int, int]] = []
         taken: list[tuple[int, int, float, int]] = []
         for coverage, t, alike, first, past in sorted(found, key=lambda x: (-x[0], x[1], x[3])):

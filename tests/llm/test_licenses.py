@@ -41,6 +41,23 @@ def test_edited_templates_are_found_with_their_spans():
                 assert len(before) < a < b <= len(doc) - len(after)
 
 
+def test_templates_with_a_long_insertion_or_deletion_are_found():
+    rnd = random.Random(2)
+    scanner = li.Scanner(li.TEMPLATES, 0.8)
+    for name in ("MIT", "ISC", "Apache-2.0-header", "GPL-3.0-header"):
+        words = li.TEMPLATES[name].split()
+        for count in (9, 14, 30):
+            middle = len(words) // 2 + rnd.randrange(-8, 8)
+            added = [*words[:middle], *(f"w{rnd.randrange(99)}" for _ in range(count)), *words[middle:]]
+            for edited in (added, words[:middle] + words[middle + min(count, 12) :], [*added, *["x"] * 40, *added]):
+                doc = f"before {' '.join(edited)} after"
+                found = [m for m in scanner.scan(doc) if m[0] == name]
+                want = whole_alignment(li.words_of(li.TEMPLATES[name]), li.words_of(doc))[1] / len(li.words_of(li.TEMPLATES[name]))
+                if want >= 0.8:
+                    assert len(found) == (2 if "x" in edited else 1), (name, count, want)
+                    assert abs(found[0][1] - want) < 0.03 and found[0][3] == 7
+
+
 def test_rows(spark):
     mit, apache = li.TEMPLATES["MIT-notice"], li.TEMPLATES["Apache-2.0-notice"]
     rows = [(1, f"é😀 {mit} x {mit}"), (2, None), (3, ""), (4, "No notice here."), (5, "word " * 50_000 + apache), (1, f"é😀 {mit} x {mit}")]
