@@ -43,7 +43,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
+        self.added = {content: array("I", [i]).tobytes() for content, i in added.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
         self.model = self.tokenizer.model
         self.words, self.matches = Memo(self.word, CACHE_ENTRIES), Memo(self.match, CACHE_ENTRIES)
 
@@ -58,6 +60,13 @@ class WordIds:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        """Ids of a text; the strings of the vocabulary's added tokens are these tokens, as they are for the library."""
+        parts = self.parts(text)
+        if len(parts) == 1:
+            return self.plain(text)
+        return b"".join([self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(parts)])
+
+    def plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 

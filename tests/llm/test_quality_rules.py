@@ -48,13 +48,38 @@ def test_thresholds_follow_the_group(spark):
     assert not kept[5000] and sum(kept.values()) == 600
 
 
+def test_every_rate_rejects_a_text_that_passes_the_base(spark):
+    plain = [(i, " ".join(f"word{(i * 7 + k) % 997}" for k in range(300)) + "\n" + "\n".join(f"line {i} {k}" for k in range(9)), "en", f"s{i % 2}") for i in range(400)]
+    own = [f"other{k}" for k in range(120)]
+    odd = {
+        "symbols": " ".join(own) + " ####",
+        "dup_lines": "\n".join(x for k in range(20) for x in (own[k], "z")),
+        "repeats": " ".join([*own[:8], *own[:8], *own]),
+        "shouts": " ".join(own).replace("other", "OTHER"),
+        "word_length": " ".join(x * 9 for x in own),
+        "short_words": " ".join(chr(97 + k % 26) + chr(97 + k // 26) for k in range(120)),
+    }
+    df = spark.createDataFrame(plain + [(1000 + k, text, "en", "s0") for k, text in enumerate(odd.values())], "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in q.judge(written(q.measured(df), "t")).collect()}
+    assert sum(r.kept for r in out.values()) == 400
+    for k, name in enumerate(odd):
+        assert not out[1000 + k].base_failed and name in out[1000 + k].rejected_by, name
+
+
+def test_groups_have_limits_of_their_own(spark, sf):
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    tops = q.limits(written(q.sketches(written(q.measured(docs), "t")), "sketch")).collect()
+    assert len({tuple(r.limits) for r in tops}) > 0.9 * len(tops)
+    assert all(len({r.limits[i] for r in tops}) > 1 for i in range(len(q.RATES)))
+
+
 def test_sketches_merge_and_stay_close(spark):
-    df = spark.range(5000).selectExpr("'en' AS lang", "concat('s', id % 4) AS source", "array(id * 7 % 1000, id, 0L, 1L, id * id) AS rates")
+    df = spark.range(5000).selectExpr("false AS base_failed", "'en' AS lang", "concat('s', id % 4) AS source", "array(id * 7 % 1000, id, 0L, 1L, id * id) AS rates")
     sketch = q.sketches(df)
     whole = sketch.groupBy("lang", "rate", "bucket").sum("n")
-    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in q.sketches(df.selectExpr("lang", "'x' AS source", "rates")).select("lang", "rate", "bucket", "n").collect()}
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in q.sketches(df.selectExpr("base_failed", "lang", "'x' AS source", "rates")).select("lang", "rate", "bucket", "n").collect()}
     for r in sketch.where("rate = 1").select("bucket").distinct().collect():
-        assert r.bucket < 16 or bin(r.bucket)[6:].strip("0") == ""
+        assert r.bucket < 32 or bin(r.bucket)[7:].strip("0") == ""
 
 
 def test_empty_table(spark):
