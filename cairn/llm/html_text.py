@@ -3,7 +3,8 @@
 Every element's subtree gets a hash of its tag, classes and contents. Spark counts, for each
 host and each section of it, on how many pages a subtree occurs; those on many pages of either are its template and are
 deleted where they stand outside the article. Menus, forms, adverts, comments and the like are
-left out by tag, role and class, also where a host has too few pages to count.
+left out by tag, role and class, also where a host has too few pages to count. Attributes are
+read by name: hidden is only the attribute of that name, display only counts within style.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from cairn.llm.common import small_batches, written
 # Names of elements, roles and class words.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas object".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg canvas object".split())
 LEFT_OUT = frozenset("nav footer aside form button select dialog menu head audio video datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CLASSES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist reply replies respond disqus share sharing social related recommended sidebar newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices notification popup modal overlay breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar widget widgets".split())
@@ -35,7 +36,9 @@ LIMITS = frozenset("ul ol dl table td th select article main section body button
 
 #: Quoted values are bounded here, so that a stray quote costs no scan of the whole page; longer ones are left to tag_end().
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]{0,4000}\"|'[^']{0,4000}')[^>\"']*+){0,200}+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TELLING = re.compile("class|id|role|hidden|style", re.I).search
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I).search
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -75,16 +78,19 @@ class Frame:
 
 
 def described(attributes: str) -> tuple[str, set[str], bool]:
-    """Of an element: its classes and the like as written, their words, whether it is hidden."""
-    if not attributes or attributes.isspace():
+    """Of an element: its class, id and role as written, their words, whether it is hidden; by the names of its attributes, whose first value counts."""
+    if not attributes or not TELLING(attributes):
         return "", set(), False
-    written_as, words, hidden = [], set(), False
-    for m in NAMED.finditer(attributes):
-        if m[1]:
-            value = m[2] or m[3] or m[4] or ""
+    written_as, words, hidden, met = [], set(), False, set()
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in met:
+            continue
+        met.add(name)
+        if name in ("class", "id", "role"):
             written_as.append(value)
-            words |= {"role:" + value.lower()} if m[1].lower() == "role" else {w.lower() for w in WORDS.findall(value)}
-        else:
+            words |= {"role:" + w for w in value.lower().split()} if name == "role" else {w.lower() for w in WORDS.findall(value)}
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN(value):
             hidden = True
     return " ".join(written_as), words, hidden
 
@@ -94,6 +100,8 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: se
 
     Elements that were never closed end with what holds them, as browsers read them. Subtrees
     within an article are not taken for a template, so a passage that many articles quote stays.
+    The articles are the main text where they hold at least half of what is left of the page; else, as where an article is a mere
+    teaser, all that is left is. Attributes count by their names, so no word of a link or a title hides its element.
     """
     import xxhash
 
@@ -193,8 +201,11 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: se
             depth += 1
     while len(stack) > 1:
         close()
-    text = " ".join("".join(out[a:b]) for a, b in articles) if articles else "".join(out)
-    return " ".join(text.split())
+    whole = " ".join("".join(out).split())
+    if not articles:
+        return whole
+    text = " ".join(" ".join("".join(out[a:b]) for a, b in articles).split())
+    return text if 2 * len(text) >= len(whole) else whole
 
 
 def host(url: str = "url") -> Column:
@@ -236,7 +247,11 @@ def templates(pages: DataFrame, least_pages: int = 5, share: float = 0.2, html:
 
 
 def extract(pages: DataFrame, most_broadcast: int = 20_000, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns in keep and text, for every page; null pages have empty text. Repeated rows give equal texts."""
+    """The columns in keep and text, for every page; null pages have empty text, and so have pages without any.
+
+    Repeated rows count as so many pages of their host and give equal texts. An empty table gives no rows. Columns not in
+    keep are left out, so none can clash; a column named text is replaced. Pages without host are those of one host.
+    """
     found = written(templates(pages, html=html, url=url), "templates")
     small_batches(pages.sparkSession, 200)
     small = found.count() <= most_broadcast

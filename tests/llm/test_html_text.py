@@ -1,3 +1,4 @@
+import random
 import time
 
 from cairn.llm import html_text as h
@@ -62,3 +63,51 @@ def test_long_attributes_end_at_their_quote():
     for page in ('<div a="' * 20_000 + ">", '<div a="' * 20_001 + ">", '<div "' * 20_000 + ">", "<div a='x\"" * 20_000 + ">", "<a b= 'c' d=\"" * 20_000 + ">"):
         h.parse(page)
     assert time.process_time() - start < 30
+
+
+def test_attributes_count_by_their_names():
+    inside = lambda html: h.parse(f"<article>{html}</article>")
+    assert inside('<div style="overflow:hidden"><p>Real text</p></div><p>B</p>') == "Real text B"
+    assert inside('<p>See <a href="/the-hidden-lake">the lake</a> <a title="a hidden gem; display:none">gem</a> now</p>') == "See the lake gem now"
+    assert inside("<p>E = <math><mi>m</mi></math> c</p>") == "E = m c"
+    assert inside('<p data-id="related-12" data-class="sidebar" aria-hidden="false">Kept</p>') == "Kept"
+    assert inside('<p hidden>A</p><p hidden="hidden">B</p><p style="color:red; display : none">C</p><p aria-hidden=true>D</p><p class=sidebar class=x>E</p>F') == "F"
+    assert h.parse("<div><p>Body text one</p></div><article>Teaser</article>") == "Body text one Teaser"
+    assert h.parse("<div>Top line</div><article>The article holds most of the text</article>") == "The article holds most of the text"
+
+
+KEPT = [("p", ""), ("div", ' style="overflow:hidden"'), ("section", ' data-role="navigation"'), ("h2", ' title="a hidden nav"'), ("blockquote", " lang=en"), ("li", "")]
+GONE = [("nav", ""), ("aside", ""), ("div", " hidden"), ("div", ' class="cookie-banner notice"'), ("form", ""), ("section", ' id="comments"'), ("p", ' style="display:none"'), ("div", " role=search"), ("footer", "")]
+
+
+def page_of(rnd, depth=0):
+    """A random element: its markup and the words of it that stay."""
+    gone = rnd.random() < 0.25
+    tag, attributes = rnd.choice(GONE if gone else KEPT)
+    if tag in ("p", "h2", "li") or depth == 3:
+        tag = "p" if tag == "li" else tag
+        words = [rnd.choice(["alpha", "b&amp;b", "x &lt; y", "é", "hidden"]) + str(rnd.randrange(99)) for _ in range(rnd.randrange(1, 6))]
+        plain = [w.replace("&amp;", "&").replace("&lt;", "<") for w in words]
+        return f"<{tag}{attributes}>{rnd.choice(['', ' ', chr(10)])}{'  '.join(f'<b>{w}</b>' if rnd.random() < 0.3 else w for w in words)}</{tag}>", [] if gone else plain
+    inner = [page_of(rnd, depth + 1) for _ in range(rnd.randrange(1, 4))]
+    return f"<{tag}{attributes}>" + "".join(m for m, _ in inner) + f"</{tag}>", [] if gone else [w for _, words in inner for w in words]
+
+
+def test_random_pages_against_their_own_making(spark):
+    """Pages whose text is known from how they are made, with blocks that a host repeats counted by brute force."""
+    rnd = random.Random(4)
+    blocks = [f"<div><p>Repeated {k} of the site</p></div>" for k in range(6)]
+    rows, want, holds = [], {}, {}
+    for i in range(160):
+        own = [page_of(rnd) for _ in range(rnd.randrange(1, 5))]
+        some = [k for k in range(6) if rnd.random() < (0.05, 0.1, 0.3, 0.5, 0.9, 0.15)[k]]
+        rows.append((i, f"http://h{i % 2}.org/{i}", f"<html><body>{''.join(blocks[k] for k in some)}<main>{''.join(m for m, _ in own)}<script>var x='<p>';</script></main></body></html>" if i % 4 else f"<body>{''.join(m for m, _ in own)}{''.join(blocks[k] for k in some)}</body>"))
+        want[i] = (some, " ".join(" ".join(words) for _, words in own if words))
+        for k in some:
+            holds.setdefault((i % 2, k), set()).add(i)
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (some, text) in want.items():
+        left = [k for k in some if not (len(holds[i % 2, k]) >= 5 and 5 * len(holds[i % 2, k]) >= 80)]
+        box = " ".join(f"Repeated {k} of the site" for k in left)
+        whole = " ".join(x for x in ((box, text) if i % 4 else (text, box)) if x)
+        assert got[i] == (text if i % 4 and 2 * len(text) >= len(whole) else whole), i
