@@ -1,10 +1,12 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed word unigrams and bigrams are counted: one on target text (rows labelled
-good), one on all rows. A document's weight is the log of the ratio of its probability under
-the two; so that length alone decides nothing, it is taken for each n-gram and then for a document of mean length. Gumbel noise on the weights makes the k largest keys a sample without replacement in
-proportion to them. k is the number of documents whose weight lies above a cut that parts the labelled
-rows best, so the sample keeps what looks like the target and noise decides only near the cut.
+good), one on all rows. A document's log weight is that of the ratio of its probability under
+the two; so that length alone decides nothing, it is taken for each n-gram and then for a passage of
+PASSAGE n-grams, which is the temperature: the importance weight of a document is that of a passage of its kind. Gumbel noise on these
+makes the k largest keys a sample without replacement in proportion to the weights, so noise decides where weights lie close
+to each other and no longer where a passage tells target from raw text. k may be given; else it is the
+number of documents whose weight lies above a cut that parts the labelled rows best.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SEED = 20_240_101
 #: Cuts are tried at steps of so much weight per n-gram, and the largest share of good rows that a cut may lose.
 STEP = 0.005
 MOST_LOST = 0.001
+#: N-grams of the passage that a weight stands for; fewer leave more to noise.
+PASSAGE = 16
 
 
 class Grams:
@@ -145,26 +149,26 @@ def kth_key(table: DataFrame, k: int, column: str = "gumbel_key", bits: int = 16
     return low
 
 
-def sampled(table: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
+def sampled(table: DataFrame, labels: DataFrame, seed: int = SEED, passage: int = PASSAGE, k: int | None = None) -> DataFrame:
     """A written table of weighed() rows with gumbel_key and kept: whether a row is among the k largest keys.
 
-    The key is per_gram times the mean number of n-grams, with noise that doc_id and seed fix.
+    The key is per_gram times passage, with noise that doc_id and seed fix.
     Texts without words carry no evidence and keep their weight of 0. Repeated rows have equal
-    keys and stay or go together; ties with the k-th key stay. Without labels of both kinds all
-    rows are kept.
+    keys and stay or go together; ties with the k-th key stay. Without k, and without labels of both kinds, all
+    rows are kept. An empty table gives no rows.
     """
-    mean = table.agg(F.avg("n_grams")).first()[0] or 0.0
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    table = table.withColumn("gumbel_key", F.col("per_gram") * float(mean) - F.log(-F.log(uniform)))
-    at = cut(table, labels)
-    if at == -float("inf"):
-        return table.withColumn("kept", F.lit(True))
-    k = table.where(F.col("per_gram") >= at).count()
+    table = table.withColumn("gumbel_key", F.col("per_gram") * float(passage) - F.log(-F.log(uniform)))
+    if k is None:
+        at = cut(table, labels)
+        if at == -float("inf"):
+            return table.withColumn("kept", F.lit(True))
+        k = table.where(F.col("per_gram") >= at).count()
     least = kth_key(table, k)
     return table.withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least))
 
 
-def resample(df: DataFrame, labels: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, text: str = "text", keep_text: bool = False, seed: int = SEED, passage: int = PASSAGE, k: int | None = None) -> DataFrame:
     """df with its weights, keys and verdicts; see sampled(). The weighed rows are a written table."""
     target, raw = models(df, labels, text)
-    return sampled(written(weighed(df, log_ratio(target, raw), text, keep_text), "weighed"), labels)
+    return sampled(written(weighed(df, log_ratio(target, raw), text, keep_text), "weighed"), labels, seed, passage, k)

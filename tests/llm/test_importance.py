@@ -56,3 +56,47 @@ def test_gumbel_noise_samples_in_proportion(spark):
     least = im.kth_key(keyed, 5000)
     shares = [r[1] for r in keyed.where(F.col("gumbel_key") >= least).groupBy((F.col("doc_id") / 2000).cast("int")).count().collect()]
     assert sum(shares) == 5000 and max(abs(np.array(shares) - 500)) < 100
+
+
+def brute_models(rows, good):
+    """Buckets counted one n-gram after the other."""
+    import xxhash
+
+    counts = np.zeros((2, im.BUCKETS))
+    each = {}
+    for i, (doc, text) in enumerate(rows):
+        own = [xxhash.xxh64_intdigest(w) for w in (text or "").encode().split()]
+        found = list(own)
+        for a, b in zip(own, own[1:], strict=False):
+            p = (a * 0x9E3779B97F4A7C15 + b) % (1 << 64)
+            found.append(p ^ (p >> 29))
+        each[i] = [x % im.BUCKETS for x in found]
+        for x in each[i]:
+            counts[1][x] += 1
+            counts[0][x] += doc in good
+    return counts, each
+
+
+def test_models_weights_and_choice_against_brute_force(spark):
+    import math
+
+    rows, labels = corpus(random.Random(5), 300)
+    rows = [(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "long " * 30_000), (3, rows[3][1])]
+    good = {i for i, q in labels if q}
+    (target, raw), each = brute_models(rows, good)
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = im.models(df, known)
+    assert (got[0] == target).all() and (got[1] == raw).all()
+    smooth = lambda b: math.log((target[b] + (raw[b] + 1) / (raw.sum() + im.BUCKETS) * im.BUCKETS) / (target.sum() + im.BUCKETS) / ((raw[b] + 1) / (raw.sum() + im.BUCKETS)))
+    out = im.resample(df, known, k=100, passage=4).collect()
+    assert len(out) == len(rows)
+    weight = {doc: (len(each[i]), sum(map(smooth, each[i]))) for i, (doc, _) in enumerate(rows)}
+    for r in out:
+        assert r.n_grams == weight[r.doc_id][0] and abs(r.log_weight - weight[r.doc_id][1]) < 1e-6 * max(1, abs(r.log_weight))
+        assert r.per_gram == r.log_weight / max(1, r.n_grams)
+    keys = sorted((r.gumbel_key for r in out), reverse=True)
+    assert all(r.kept == (r.gumbel_key >= keys[99]) for r in out)
+    noise = {r.doc_id: r.gumbel_key - 4 * r.per_gram for r in out}
+    assert abs(np.mean(list(noise.values())) - 0.5772) < 0.2 and len(set(noise.values())) == len(noise)
+    by_weight = sorted((r.per_gram for r in out), reverse=True)[99]
+    assert sum(r.kept != (r.per_gram >= by_weight) for r in out) > 10  # noise decides where weights are close
