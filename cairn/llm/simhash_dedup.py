@@ -52,21 +52,20 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     return votes(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), np.uint64))
 
 
-def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", size: int = 3, keep_text: bool = False, also: dict[str, int] | None = None) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", size: int = 3, keep_text: bool = False) -> DataFrame:
     """df with a long column of fingerprints, without its text unless keep_text; null text counts as empty.
 
-    also: further columns, each with its own size of shingles.
+    Every row gives one row; a column of df of that name is replaced, and an empty df gives no rows.
     """
     small_batches(df.sparkSession, 1000)
-    sizes = {name: size, **(also or {})}
-    rest = [c for c in df.columns if c not in sizes and (keep_text or c != text)]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(n, T.LongType()) for n in sizes])
+    rest = [c for c in df.columns if c != name and (keep_text or c != text)]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).cast(pa.binary()).to_pylist()
-            found = [pa.array(np.array([fingerprint(x or b"", n) for x in texts], np.uint64).view(np.int64)) for n in sizes.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + found, names=[*rest, *sizes])
+            found = pa.array(np.array([fingerprint(x or b"", size) for x in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [found], names=[*rest, name])
 
     return df.select(*[f"`{c}`" for c in rest], *([] if keep_text else [text])).mapInArrow(run, schema)
 

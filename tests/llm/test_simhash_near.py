@@ -35,8 +35,11 @@ def test_components_against_brute_force(spark, monkeypatch):
             parent[max(x, y)] = min(x, y)
     rows = [(i, int(x), int(y)) for i, (x, y) in enumerate(zip(first.view(np.int64), second.view(np.int64), strict=True))]
     df = written(spark.createDataFrame(rows, "doc_id long, fp long, fp2 long"), "t")
-    got = {r.fp: r.component_id for r in n.near_dedup(df).collect()}
-    assert [got[x] for _, x, _ in rows] == [find(i) for i in range(len(rows))]
+    found = {r.node: r.component for r in n.fp_components(df, 11, 14).collect()}
+    got, at = [found.get(x, x) for _, x, _ in rows], {}
+    for i, c in enumerate(got):
+        at.setdefault(c, i)
+    assert [at[c] for c in got] == [find(i) for i in range(len(rows))]
 
 
 def test_radii_cover_the_distance(spark):
@@ -49,32 +52,48 @@ def test_radii_cover_the_distance(spark):
 
 def test_empty_table(spark):
     df = written(spark.createDataFrame([], "doc_id long, fp long, fp2 long"), "t")
-    assert n.near_dedup(df).count() == 0
+    assert n.fp_components(df, 11, 14).count() == 0
+    assert n.prints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_each_second_fingerprint_counts(spark):
     far = (1 << 40) - 1
     df = written(spark.createDataFrame([(1, 0, 0), (2, 0, far), (3, 1, far), (4, -1, -1)], "doc_id long, fp long, fp2 long"), "t")
-    assert {r.fp: r.component_id for r in n.near_dedup(df).collect()} == {0: 1, 1: 1, -1: 4}
+    assert {r.node: r.component for r in n.fp_components(df, 11, 14).collect()} == {0: 0, 1: 0}
+
+
+def similarity(a, b):
+    """The larger of the Jaccard similarity of the five-word shingles and the share of words in common ones, word by word."""
+    words = [(x or "").lower().split() for x in (a, b)]
+    grams = [[tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in words]
+    one, two = map(set, grams)
+    jaccard = len(one & two) / len(one | two)
+    covered = [{i + k for i, g in enumerate(own) for k in range(5) if g in other} for own, other in ((grams[0], two), (grams[1], one))]
+    return max(jaccard, sum(map(len, covered)) / sum(len(g) + 4 for g in grams))
+
+
+def edited(rnd, words, base, edits):
+    other = list(base)
+    for i in rnd.sample(range(len(base)), edits):
+        other[i] = rnd.choice(words)
+    return other
 
 
 @pytest.mark.parametrize("members", [1024, 3])
 def test_only_texts_alike_in_four_fifths_go(spark, monkeypatch, members):
-    monkeypatch.setattr(n, "MEMBERS", members)  # 3: many blocks
+    monkeypatch.setattr(n, "GROUP", members)  # 3: pivots and blocks
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
-    texts = ["", None, "one two", "one  two", "One two three"]
+    texts = ["", None, "one two", "one  two", "One two three", "long " * 30_000]
     for _ in range(12):
         base = rnd.choices(words, k=200)
-        for edits in (0, 0, 2, 4, 5, 8, 14):
-            other = list(base)
-            for i in rnd.sample(range(200), edits):
-                other[i] = rnd.choice(words)
-            texts.append(" ".join(other))
-    prints = [(i, x, *(np.array([d.fingerprint((x or "").encode(), k) for k in (3, 5)], np.uint64).view(np.int64).tolist())) for i, x in enumerate(texts)]
-    df = written(spark.createDataFrame([(i, i, *rest) for i, *rest in prints], "key long, row long, text string, fp long, fp2 long"), "t")
-    groups = {r.fp: r.component_id for r in n.near_dedup(df.drop("text", "row"), key="key").collect()}
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((x or "").lower().split() for x in texts)]
+        texts += [" ".join(edited(rnd, words, base, k)) for k in (0, 0, 2, 4, 5, 8, 14, 22, 30)]
+    base = rnd.choices(words, k=120)
+    texts += [" ".join(edited(rnd, words, base, 6)) for _ in range(30)]
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(texts)], "key long, row long, text string")
+    df = written(n.prints(df), "t")
+    groups = {r.node: r.component for r in n.fp_components(df, 11, 20).collect()}
+    group = [groups.get(r.fp, r.fp) for r in df.orderBy("row").collect()]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -84,10 +103,26 @@ def test_only_texts_alike_in_four_fifths_go(spark, monkeypatch, members):
 
     for i in range(len(texts)):
         for j in range(i):
-            if groups[prints[i][2]] == groups[prints[j][2]] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if group[i] == group[j] and similarity(texts[i], texts[j]) >= 0.8:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     got = {r.row for r in n.near_rows(df, "key", "row").collect()}
     assert got == {find(i) for i in range(len(texts))}
-    assert len(got) > len(set(groups.values()))  # some candidates are not alike
+    assert len(got) > len(set(group))  # some candidates are not alike
     assert n.near_rows(df.limit(0), "key", "row").count() == 0
+
+
+def test_recall_of_edited_copies(spark):
+    """Of pairs that are alike by brute force, nearly all are joined; texts that share nothing stay."""
+    rnd = random.Random(8)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(60_000)]
+    texts = []
+    for _ in range(150):
+        base = rnd.choices(words, k=rnd.randrange(60, 500))
+        texts += [" ".join(base), " ".join(edited(rnd, words, base, max(1, len(base) // 22)))]
+    df = written(n.prints(spark.createDataFrame([(i, i, x) for i, x in enumerate(texts)], "key long, row long, text string")), "t")
+    stay = {r.row for r in n.near_rows(df, "key", "row").collect()}
+    near = [i for i in range(0, len(texts), 2) if similarity(texts[i], texts[i + 1]) >= 0.8]
+    assert len(near) > 100 and sum(i + 1 not in stay for i in near) >= 0.9 * len(near)
+    assert all(i in stay for i in range(0, len(texts), 2))
+    assert all(i + 1 in stay for i in range(0, len(texts), 2) if i not in near)
