@@ -9,29 +9,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import importance, packing, pii, quality_rules, simhash_dedup, simhash_near
+from cairn.llm import importance, packing, pii, quality_rules, simhash_near
 from cairn.llm.common import noting, release, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 2048
+#: The place of the last stage.
+LAST = 4
 
 
-#: The tables that the stage before this one worked with; its result is written when the next stage begins.
-_left: list[str] = []
+#: Input folder and place of a stage -> the tables that the stage works with. A stage's result is written before the next one begins,
+#: which then deletes them; what the last stage's result reads stays.
+_held: dict[tuple[str, int], list[str]] = {}
 
 
-def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes what the stage before has left, so that the disk holds the working tables of one stage."""
+def _stage(place: int) -> Callable:
+    """A stage that first deletes what the stage before it has left for the same input, so that the disk holds the working tables of one stage."""
 
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left)
-        with noting() as paths:
-            out = f(spark, docs, sf_dir)
-        _left.extend(paths)
-        return out
+    def wrapped(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+        @wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            release(spark, _held.pop((sf_dir, place - 1), []))
+            with noting() as paths:
+                out = f(spark, docs, sf_dir)
+            if place < LAST:
+                _held.setdefault((sf_dir, place), []).extend(paths)
+            return out
 
-    return run_stage
+        return run_stage
+
+    return wrapped
 
 
 def _apart(docs: DataFrame, *named: str) -> DataFrame:
@@ -44,34 +51,34 @@ def _together(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
-@_stage
+@_stage(0)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep (operator 2)."""
     table = written(quality_rules.measured(_apart(docs, "lang", "source"), keep_text=True), "measured")
     return _together(quality_rules.judge(table).where("kept"), docs)
 
 
-@_stage
+@_stage(1)
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps (operator 6), by the labels that come with the input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _together(importance.resample(_apart(docs, "doc_id"), labels, keep_text=True).where("kept"), docs)
 
 
-@_stage
+@_stage(2)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 8): the one of the smallest doc_id, null last, or any of its repeated rows.
 
-    Near are texts with a Jaccard similarity of 0.8 or more of their sets of five-word shingles. Candidates have equal
-    fingerprints of three-word shingles, or such that differ in 11 bits at most where those of five-word shingles differ in 14 at most.
+    Near are texts of which four fifths are alike: of their sets of five-word shingles by Jaccard similarity, or of their
+    words, which then stand in five-word shingles that both have. See simhash_near for how candidates are found.
     """
-    prints = simhash_dedup.fingerprints(_apart(docs, "doc_id"), name="fp", size=3, keep_text=True, also={"fp2": 5}).withColumn("__n", F.monotonically_increasing_id())
+    prints = simhash_near.prints(_apart(docs, "doc_id")).withColumn("__n", F.monotonically_increasing_id())
     table = written(prints.withColumn("__order", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__n")).drop("doc_id"), "prints")
     stay = simhash_near.near_rows(table, key="__order", row="__n")
     return _together(table.join(stay, "__n", "left_semi"), docs)
 
 
-@_stage
+@_stage(3)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by its kind (operator 9); n_chars follows where there is one."""
     table = written(pii.found(_apart(docs), keep_text=True), "candidates")
@@ -82,7 +89,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _together(rows, docs)
 
 
-@_stage
+@_stage(4)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their ids and their places in sequences (operator 10)."""
     return packing.packed(docs, TOKENIZER, SEQUENCE, with_ids=True)
@@ -100,9 +107,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's result is deleted when the next one's is written; that of the last but one stays with the result.
+
+    Further runs leave the rows of earlier ones as they are.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
+        if i < LAST:
+            with noting() as paths:
+                docs = written(docs, name)
+            release(spark, before)
+            before = paths
     return docs
