@@ -7,7 +7,7 @@ nodes encodes again only the window left.tail + right.head; a stretch with no su
 open and its window grows with the next join. A single match that is very long is encoded in
 halves, too: two encodings join when every pair of neighbouring tokens across the window's
 edges is one that encoding the pair's bytes gives back; otherwise the window grows.
-Decoding concatenates the tokens' bytes, leaf by leaf, up the same tree.
+Decoding halves the ids likewise and concatenates the leaves' bytes up the tree.
 """
 
 from __future__ import annotations
@@ -150,10 +150,14 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids that encode() gave."""
-        whole = memoryview(ids).cast("I")
-        if len(whole) <= LEAF_IDS:
-            return b"".join(map(self.table.__getitem__, whole))
-        return b"".join([b"".join(map(self.table.__getitem__, whole[i : i + LEAF_IDS])) for i in range(0, len(whole), LEAF_IDS)])
+        return self.decoded(memoryview(ids).cast("I"))
+
+    def decoded(self, ids: memoryview) -> bytes:
+        """A leaf's tokens joined, or what both halves give, one after the other."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.table.__getitem__, ids))
+        cut = len(ids) // 2
+        return self.decoded(ids[:cut]) + self.decoded(ids[cut:])
 
 
 @lru_cache(maxsize=2)
