@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from cairn.llm.common import Memo, small_batches, text_or_empty
 
+#: Words of a text that one entry of the list of matches stands for.
+BLOCK = 256
 # Texts of public licenses and the notices that name them.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -34,6 +36,13 @@ TEMPLATES = {
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "LGPL-3.0-header": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see https://www.gnu.org/licenses/.',
+    "AGPL-3.0-header": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.',
+    "GPL-2.0-header": 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
 }
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 GRAM = 3
@@ -147,17 +156,25 @@ class Scanner:
                         if total > max(best[0], ends[j][0]):
                             best = (total, ends[j][1] + alike - over, ends[j][2], j)
                 ends.append(best)
-            at = max(range(len(free)), key=lambda k: (ends[k][0], -k))
-            out.append((ends[at][1], ends[at][2], free[at][3]))
-            if out[-1][0] < self.least * length:
-                return out[:-1]
-            while at >= 0:
-                free[at], at = None, ends[at][3]
-            free = [x for x in free if x]
+            used: set[int] = set()
+            for end in sorted(range(len(free)), key=lambda k: (-ends[k][0], k)):
+                if end in used:
+                    continue
+                chain, at = [], end
+                while at >= 0:
+                    chain.append(at)
+                    at = ends[at][3]
+                if not used.isdisjoint(chain):
+                    break  # what is left of it has to be weighed anew
+                if ends[end][1] < self.least * length:
+                    return out
+                out.append((ends[end][1], ends[end][2], free[end][3]))
+                used.update(chain)
+            free = [x for k, x in enumerate(free) if k not in used]
         return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, words, start, end) of the matches, by place; of overlapping ones of a template the best, and none inside a better one."""
+        """(license, coverage, words, start, end) of the matches, by place; of overlapping ones of a template the best, and none inside one with more words alike (or as many, and more coverage)."""
         lower = text.lower()
         words = WORD.findall(lower)
         found = []
@@ -169,24 +186,27 @@ class Scanner:
         places = [m.span() for m in WORD.finditer(text)]
         pieces: dict[int, list[tuple[int, int, int, int, int, int]]] = {}
         for t, low, high in regions:
-            left = words
+            start = max(0, low - BAND)  # the band reaches no word before, nor any past its end
+            left = words[start : high + BAND + len(self.words[t]) + 1]
             while True:  # a region may hold the template several times
-                piece = self.align(self.words[t], left, low, high)
-                _, alike, first, past, *_ = piece
+                score, alike, first, past, t_first, t_past = self.align(self.words[t], left, low - start, high - start)
                 if alike:
-                    pieces.setdefault(t, []).append(piece)
+                    pieces.setdefault(t, []).append((score, alike, start + first, start + past, t_first, t_past))
                 if alike < max(GRAM, 0.1 * len(self.words[t])):
                     break
-                left = [*left[:first], *[""] * (past - first), *left[past:]]
+                left[first:past] = [""] * (past - first)
         for t, own in pieces.items():
             if sum(x[1] for x in own) >= self.least * len(self.words[t]):
                 found.extend((alike / len(self.words[t]), t, alike, first, past) for alike, first, past in self.chained(own, len(self.words[t])))
         out: list[tuple[str, float, int, int, int]] = []
-        taken: list[tuple[int, int, float, int]] = []
-        for coverage, t, alike, first, past in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
-            inside = any(a <= first and past <= b and better > coverage for a, b, better, _ in taken)
-            if not inside and all(past <= a or b <= first for a, b, _, other in taken if other == t):
-                taken.append((first, past, coverage, t))
+        taken: dict[int, list[tuple[int, int, int]]] = {}  # by block of words
+        for coverage, t, alike, first, past in sorted(found, key=lambda x: (-x[2], -x[0], x[1], x[3])):
+            blocks = range(first // BLOCK, (past - 1) // BLOCK + 1)
+            near = [x for k in blocks for x in taken.get(k, ())]
+            inside = any(a <= first and past <= b for a, b, _ in near)
+            if not inside and all(past <= a or b <= first for a, b, other in near if other == t):
+                for k in blocks:
+                    taken.setdefault(k, []).append((first, past, t))
                 out.append((self.names[t], coverage, alike, places[first][0], places[past - 1][1]))
         return sorted(out, key=lambda x: (x[3], x[0]))
 

@@ -72,3 +72,23 @@ def test_rows(spark):
     assert {r.license for r in li.scan(df, {"own": "no notice here"}).collect()} == {"own"}
     other = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     assert [r.license for r in li.scan(other).collect()] == ["CC-BY-NC-4.0-notice"]
+
+
+def test_many_notices_in_one_text_stay_linear():
+    import time
+
+    scanner, took = li.Scanner(li.TEMPLATES, 0.8), []
+    for n in (1000, 4000):
+        text = " ".join(f"word{i} Released under the MIT License. other{i}" for i in range(n))
+        start = time.process_time()
+        found = scanner.scan(text)
+        took.append(time.process_time() - start)
+        assert len(found) == n and all(x[0] == "MIT-notice" for x in found)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_every_template_is_found_in_prose():
+    scanner = li.Scanner(li.TEMPLATES, 0.8)
+    for name, text in li.TEMPLATES.items():
+        found = scanner.scan(f"Some prose before it. {text} And some after it.")
+        assert (name, 1.0) in {(x[0], x[1]) for x in found}, name
