@@ -131,7 +131,7 @@ def within(queries: DataFrame, index: DataFrame, radius: int = 3) -> DataFrame:
     """(query, found, distance): for every distinct fingerprint of queries all distinct others of index within radius bits.
 
     Both have a long column fp; null fingerprints find nothing. Rows with equal fingerprints are one, so copies make no
-    pairs; a prefix that very many fingerprints share is a skewed key of the join, which adaptive execution splits.
+    pairs; a prefix that very many fingerprints share is a skewed key of the join, which adaptive execution splits. Neither side is broadcast.
     """
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     all_of = index.select("fp").where("fp IS NOT NULL").distinct()
@@ -139,6 +139,6 @@ def within(queries: DataFrame, index: DataFrame, radius: int = 3) -> DataFrame:
     prefixes = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("prefix")) for i, m in enumerate(masks)])).alias("x")
     asked = queries.select("fp").where("fp IS NOT NULL").distinct().select(F.col("fp").alias("query"), prefixes).select("query", "x.table", "x.prefix")
     there = all_of.select(F.col("fp").alias("found"), prefixes).select("found", "x.table", "x.prefix")
-    pairs = asked.join(there, ["table", "prefix"]).where("query <> found")
+    pairs = asked.join(there.hint("merge"), ["table", "prefix"]).where("query <> found")
     pairs = pairs.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("found"))).cast("int")).where(F.col("distance") <= radius)
     return pairs.select("query", "found", "distance").distinct()

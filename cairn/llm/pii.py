@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Patterns find candidates. Four kinds are personal data wherever their check passes; others
-(credentials, account numbers, local telephone numbers) are only candidates. Labelers vote on every candidate, those that
+(credentials, account numbers, local telephone numbers, national ids, names after a title, street addresses) are only candidates. Labelers vote on every candidate, those that
 fail their check included: the check itself, gazetteers, the words before it, what stands
 around it, how varied its characters are. The votes are counted by pattern over all
 candidates; expectation-maximisation on the counts estimates how often each labeler is right
@@ -30,16 +30,22 @@ FURTHER = {
     "secret": r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)['\"]?[\x20\t]{0,8}[:=][\x20\t]{0,8}['\"]?[A-Za-z0-9+/_=.-]{6,}['\"]?",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "local_phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "national_id": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "person": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Se\u00f1or|Se\u00f1ora)\.?(?:\x20\p{Lu}\p{Ll}{1,20}(?:-\p{Lu}\p{Ll}{1,20})?){1,3}\b",
+    "address": r"\b[0-9]{1,5}\x20(?:\p{Lu}\p{Ll}{1,20}\x20){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square)\b|\b\p{Lu}\p{Ll}{1,25}(?:stra\u00dfe|strasse|gasse|platz|allee)\x20[0-9]{1,4}\b|\b[0-9]{1,4},?\x20(?:rue|avenue|boulevard)\x20(?:de\x20|du\x20|la\x20){0,2}\p{Lu}\p{Ll}{1,20}\b",
 }
 KINDS = {**BASE, **FURTHER}
 #: A text without this has no match of the kind.
-SCREEN = {"email": "@", "ip": ".", "phone": "+"}
-#: Words that announce personal data, in the languages of the corpus (fixed values).
-CUES = "mail|contact|call|phone|tel|fax|mobil|reach|card|visa|credit|carte|tarjeta|karte|konto|iban|account|server|host|login|user|token|secret|password|key|kontakt|anruf|appel|joindre|correo|llam|write|schreib|address|adresse"
+SCREEN = {"email": "@", "ip": ".", "phone": "+", "national_id": "-"}
+#: Beginnings of words that announce personal data, in the languages of the corpus (fixed values).
+CUES = "e?mail|contact|call|phone|tel|fax|mobil|reach|card|visa|credit|carte|tarjeta|karte|konto|iban|account|server|host|login|user|token|secret|password|key|kontakt|anruf|appel|joindre|correo|llam|write|schreib|address|adresse|adress|direcci|name|nom|nombre|ssn|social|born|lives?|wohn|habite|vive|signed|sincerely"
 #: Top-level domains, the first digits of card issuers, country codes (fixed values).
 TLDS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at|be"
 CARD_STARTS = "4|5[1-5]|2[2-7]|3[47]|6011|65"
 COUNTRIES = "1|33|34|44|49|39|41|43|31|32|351|48|46|47|45|7|81|86|91|55|52"
+#: Common given names, and numbers that are printed as examples (fixed values).
+NAMES = "Anna|Maria|Marie|Sophie|Julia|Laura|Emma|Olivia|Sarah|Elizabeth|Susan|Linda|Carmen|Lucia|Isabel|Claire|Camille|Ursula|Monika|Petra|John|James|Robert|Michael|William|David|Thomas|Peter|Paul|Daniel|Hans|Klaus|Stefan|Andreas|Jean|Pierre|Michel|Jacques|Jose|Juan|Carlos|Luis|Antonio|Miguel"
+EXAMPLES = "078-05-1120|219-09-9999|123-45-6789"
 LABELERS = ("check", "gazetteer", "context", "edges", "variety")
 BLOCK = 256
 
@@ -88,12 +94,15 @@ def _candidate(k: int, kind: str) -> str:
         "secret": "NOT lower(a.hit) RLIKE 'changeme|example|xxxx|placeholder'",
         "iban": "a.hit RLIKE '^(?:DE|FR|ES|IT|NL|BE|AT|CH|GB|LU|PT|IE)'",
         "local_phone": "a.hit RLIKE '^[(]?[2-9]'",
+        "national_id": f"NOT a.hit RLIKE '^(?:{EXAMPLES})$'",
+        "person": f"a.hit RLIKE '[ -](?:{NAMES})(?:[ -]|$)'",
+        "address": "a.hit RLIKE '(?:^|[^0-9])[1-9][0-9]{0,4}(?:[^0-9]|$)'",
     }[kind]
     yes = lambda sql: f"CASE WHEN {sql} THEN 1 ELSE -1 END"
     votes = [
         yes(check) if kind in ("ip", "card", "phone") else "0",
         yes(known),
-        f"CASE WHEN a.before RLIKE '(?:{CUES})[^\\\\n]{{0,24}}$' THEN 1 ELSE 0 END",
+        f"CASE WHEN a.before RLIKE '\\\\b(?:{CUES})[^\\\\n]{{0,24}}$' THEN 1 ELSE 0 END",
         "CASE WHEN a.before RLIKE '[a-z0-9_.-]$' OR a.after RLIKE '^[A-Za-z0-9_]' THEN -1 ELSE 0 END",
         yes(f"size(array_distinct(split(a.hit, ''))) >= {3 if kind == 'ip' else 6}"),
     ]

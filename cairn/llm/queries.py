@@ -56,7 +56,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = prints.withColumn("fp", as_long)
     # The searches: every row whose id is divisible by 20, against all rows.
     near = within(known.where("doc_id % 20 = 0"), known, radius=3).groupBy("query").agg(F.count(F.lit(1)).alias("found"))
-    joined = known.join(near, F.col("fp") == F.col("query"), "left")
+    joined = known.join(near.hint("merge"), F.col("fp") == F.col("query"), "left")
     return joined.select(*prints.columns, F.when(F.expr("doc_id % 20 = 0"), F.coalesce("found", F.lit(0))).alias("n_within_3_bits"))
 
 

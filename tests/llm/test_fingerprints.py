@@ -52,3 +52,38 @@ def test_tables_cover_every_choice_of_blocks():
             masks = f.tables(n, radius)
             for bits in ([0, 1, 2][:radius], [5, 30, 60][:radius]):
                 assert any(not any(m >> b & 1 for b in bits) for m in masks)
+
+
+def brute_print(text):
+    """Bit by bit: every distinct word and pair of neighbours votes with 1 + ln of its count."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    own = [xxhash.xxh64_intdigest(w) for w in text.split()]
+    terms = Counter(own)
+    for a, b in zip(own, own[1:], strict=False):
+        p = (a * 0x9E3779B97F4A7C15 + b) % 2**64
+        p = (p ^ (p >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        terms[p ^ (p >> 31)] += 1
+    out = 0
+    for bit in range(64):
+        vote = sum((1 if h >> bit & 1 else -1) * (1 + math.log(n)) for h, n in terms.items())
+        out |= (vote > 1e-6) << bit
+    return out
+
+
+def test_prints_against_brute_force():
+    rnd, prints = random.Random(6), f.Prints()
+    texts = [" ".join(rnd.choice(["a", "bb", "é", "x1", "Y"]) + str(rnd.randrange(k)) for _ in range(n)) for n, k in ((1, 9), (2, 9), (9, 3), (41, 10), (333, 50), (2000, 9)) for _ in range(6)]
+    for text in [*texts, "", " \n ", "word " * 50_001]:
+        a, b = prints(text), brute_print(text)
+        assert (a ^ b).bit_count() <= (0 if len(text) > 400 or not text.strip() else 1), text[:60]  # of few terms votes may tie
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 5003}" for i in range(150_000))
+    rows = f.with_next(spark.createDataFrame([(1, long), (2, "short text"), (3, long)], "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in rows}
+    assert by[1].n_chars == len(long) and by[1].fingerprint == by[3].fingerprint and by[3].near_next == 1.0
