@@ -31,6 +31,8 @@ GROUP = 1024
 SHINGLES = 300_000
 #: Members of a large group with which all others are compared first.
 PIVOTS = 8
+#: Fingerprints whose entries one task makes.
+NODES_IN_TASK = 20_000
 #: What a pair costs to verify, in entries.
 PAIR_COST = 0.004
 RADII = (-1, 0, 1, 2)
@@ -67,12 +69,11 @@ def common_words(df: DataFrame, text: str = "text") -> np.ndarray:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
 
-    sums = df.select(text_or_empty(text).alias("t")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = sums.where(F.col("bucket") == BUCKETS).first()
-    out = np.zeros(BUCKETS, bool)
-    if total and total.n:
-        out[[r.bucket for r in sums.where((F.col("bucket") < BUCKETS) & (F.col("n") > COMMON * total.n)).collect()]] = True  # BUCKETS rows at most
-    return out
+    sums = df.select(text_or_empty(text).alias("t")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
+    counts = np.zeros(BUCKETS + 1, np.int64)
+    for bucket, n in sums:
+        counts[bucket] = n
+    return counts[:BUCKETS] > COMMON * counts[BUCKETS]
 
 
 def prints(df: DataFrame, text: str = "text") -> DataFrame:
@@ -190,7 +191,9 @@ def near_links(nodes: DataFrame, distance: int = 11, second: int = 20) -> DataFr
     n = nodes.count()
     probes = radii(nodes, n, distance)
     each = F.explode(F.concat(*[tagged(i, *p) for i, p in enumerate(probes)])).alias("x")
-    entries = nodes.select(F.col("fp").alias("id"), F.col("fp2").alias("payload"), each).select("x.part", "x.key", "id", "payload").withColumnRenamed("part", "of")
+    # A small table that becomes many entries: dealt out, so that all cores make them.
+    dealt = nodes.repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, n // NODES_IN_TASK + 1))
+    entries = dealt.select(F.col("fp").alias("id"), F.col("fp2").alias("payload"), each).select("x.part", "x.key", "id", "payload").withColumnRenamed("part", "of")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
