@@ -30,7 +30,7 @@ def byte_counts(objects: DataFrame, by: list[str], data: str = "data") -> DataFr
 
 def byte_counts_native(objects: DataFrame, by: list[str], data: str = "data") -> DataFrame:
     """The same without Python: pairs of hexadecimal digits of each content."""
-    byte = F.explode(F.expr(f"transform(sequence(1, length(hex({data})) - 1, 2), i -> substring(hex({data}), i, 2))"))
+    byte = F.explode(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)))
     each = objects.where(F.length(data) > 0).select(*by, byte.alias("h"))
     return each.groupBy(*by, F.conv("h", 16, 10).cast("int").alias("byte")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -145,8 +145,10 @@ def import_coverage(imports: DataFrame, share: float, covered: float = 1.0) -> D
 
     A file is covered by the k most popular when k is at least its ceil(covered x n)-th smallest rank.
     """
+    from cairn.operators.joins import numbered
+
     popular = imports.groupBy("name").agg(F.count_distinct("oid").alias("files"))
-    ranked = popular.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("files"), "name")))
+    ranked = numbered(popular, [F.desc("files"), "name"])
     inside = imports.select("oid", "name").distinct().join(ranked, "name")
     by_rank = Window.partitionBy("oid").orderBy("rank")
     placed = inside.withColumn("i", F.row_number().over(by_rank)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("oid")))

@@ -45,8 +45,73 @@ def neighbourhood(edges: DataFrame, start: int, depth: int, most: int) -> DataFr
     return found.orderBy("depth", "node").limit(most).withColumn("truncated", F.lit(found.count() > most))
 
 
+#: A graph of more edges is worked on by joins; smaller ones, however many, each within a task.
+SMALL_GRAPH = 100_000
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, node, component) for many graphs at once: forward and backward least labels, until every node has its component.
+    """(by, node, component) for many graphs at once; component is the least node of it. Edges between given nodes count.
+
+    Graphs of at most SMALL_GRAPH edges are walked in one task each; larger ones go by rounds of joins.
+    """
+    nodes = nodes.select(*by, "node").distinct()
+    if not by:
+        return _strong_by_rounds(edges, nodes, by)
+    sized = checkpointed(edges.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_GRAPH).select(*by))
+    small = lambda df: df.join(sized, by, "left_anti")
+    kind = edges.schema["src"].dataType.simpleString()
+    kinds = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by)
+    rows = small(edges.select(*by, "src", "dst").distinct()).unionByName(small(nodes.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _strong(pdf["src"].tolist(), pdf["dst"].tolist())
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(found) for c in by}, "node": list(found), "component": list(found.values())})
+
+    out = rows.groupBy(*by).applyInPandas(run, f"{kinds}, node {kind}, component {kind}").join(nodes, [*by, "node"], "left_semi")
+    if not sized.limit(1).count():
+        return out
+    large = lambda df: df.join(sized, by, "left_semi")
+    return out.unionByName(_strong_by_rounds(large(edges), large(nodes), by))
+
+
+def _strong(src: list, dst: list) -> dict:
+    """Node -> least node of its strong component, by two depth-first walks: the second against the edges, from the last finished on."""
+    ahead: dict = {}
+    back: dict = {}
+    for s, d in zip(src, dst, strict=True):
+        ahead.setdefault(s, []).append(d)
+        ahead.setdefault(d, [])
+        back.setdefault(d, []).append(s)
+    finished, seen = [], set()
+    for root in ahead:
+        walk = [] if root in seen else [(root, iter(ahead[root]))]
+        seen.add(root)
+        while walk:
+            node, rest = walk[-1]
+            for other in rest:
+                if other not in seen:
+                    seen.add(other)
+                    walk.append((other, iter(ahead[other])))
+                    break
+            else:
+                finished.append(node)
+                walk.pop()
+    out: dict = {}
+    for root in reversed(finished):
+        if root not in out:
+            out[root], own = root, [root]
+            for node in own:
+                for other in back.get(node, ()):
+                    if other not in out:
+                        out[other] = root
+                        own.append(other)
+            least = min(own)
+            out.update(dict.fromkeys(own, least))
+    return out
+
+
+def _strong_by_rounds(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Forward and backward least labels, until every node has its component.
 
     In each round the least label of the nodes still free is spread along the edges and against
     them; the nodes that get the same label from both are the component of that label's node.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,65 @@ def unit(v: str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
+#: Vectors and queries that a task compares at a time.
+VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 1024
+
+
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, vec_id, label, sim): cosine of every vector with each of a few queries, which are broadcast."""
+    """(query, vec_id, label, sim): cosine of every vector with each of a few queries (prompts), which are broadcast."""
     q = queries.select(F.col("vec_id").alias("query"), unit("embedding").alias("q"))
     return vectors.select("vec_id", "label", unit("embedding").alias("v")).crossJoin(F.broadcast(q)).select("query", "vec_id", "label", dot("q", "v").alias("sim"))
 
 
-def nearest(sims: DataFrame, k: int) -> DataFrame:
-    """The k most similar vectors."""
-    return sims.orderBy(F.desc("sim"), "vec_id").limit(k)
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, least: float = -2.0, within: str | None = None) -> DataFrame:
+    """(query, vec_id, sim, rank): for every query the k vectors of the largest cosine, of at least `least`, ties by vec_id; with `within` the k of each of its values, which is a column, too.
+
+    Both are dealt into blocks; a task multiplies a block of queries with one of vectors and hands on at most k rows for each query (and group) of it.
+    Null and zero vectors are similar to none.
+    """
+    group = [within] if within else []
+
+    def blocks(df: DataFrame, size: int, names: list[str]) -> DataFrame:
+        usable = df.where(F.col("embedding").isNotNull() & (dot("embedding", "embedding") > 0))
+        n = usable.count()
+        dealt = usable.withColumn("__block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // size) or 1)))
+        return dealt.groupBy("__block").agg(F.collect_list(F.struct("vec_id", *group, unit("embedding").alias("v"))).alias(names[0])).select(*names)
 
+    pairs = blocks(vectors, VECTORS_IN_BLOCK, ["there"]).crossJoin(blocks(queries, QUERIES_IN_BLOCK, ["asked"]))  # a row for two blocks
+    kinds = "".join(f", `{c}` {vectors.schema[c].dataType.simpleString()}" for c in group)
 
-def above(sims: DataFrame, least: float, offset: int, limit: int) -> DataFrame:
-    return sims.where(F.col("sim") >= least).orderBy(F.desc("sim"), "vec_id").offset(offset).limit(limit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for there, asked in zip(batch.column(0), batch.column(1), strict=True):
+                there, asked = there.values, asked.values
+                width = len(there.field(len(group) + 1)[0])
+                matrix = lambda x: x.field(len(group) + 1).flatten().to_numpy().reshape(-1, width)  # noqa: E731, B023
+                ids, own = there.field(0).to_numpy(), asked.field(0)
+                sims = matrix(asked) @ matrix(there).T
+                values = there.field(1).to_pylist() if within else [None] * len(ids)
+                members: dict = {}
+                for i, value in enumerate(values):
+                    members.setdefault(value, []).append(i)
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for value, at in members.items():
+                    at = np.array(at)
+                    for row in range(len(own)):
+                        s = sims[row, at]
+                        if len(s) > k:  # all that tie with the k-th stay, so that ids decide later
+                            few = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9)
+                            few = few[np.lexsort((ids[at[few]], -np.round(s[few], 9)))][:k]
+                        else:
+                            few = np.arange(len(s))
+                        few = few[s[few] >= least]
+                        out[0].extend([own[row].as_py()] * len(few))
+                        out[1].extend(ids[at[few]].tolist())
+                        out[2].extend(s[few].tolist())
+                        out[3].extend([value] * len(few))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())] + ([pa.array(out[3], there.field(1).type)] if within else []), names=["query", "vec_id", "sim", *group])
+
+    found = pairs.mapInArrow(run, f"query long, vec_id long, sim double{kinds}")
+    order = Window.partitionBy("query", *group).orderBy(F.desc(F.round("sim", 9)), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def prompt_labels(sims: DataFrame, temperature: float) -> DataFrame:
@@ -94,14 +142,17 @@ def prompt_labels(sims: DataFrame, temperature: float) -> DataFrame:
     return share.select("vec_id", (-F.col("best.q")).alias("prompt"), F.round(F.exp(F.col("best.sim") / temperature) / F.col("z"), 6).alias("confidence"))
 
 
-def file_scores(sims: DataFrame, vectors: DataFrame, k: int, tau: float, mode: str) -> DataFrame:
-    """(label, score): each file's k most similar vectors made one (top1, mean or softmax attention), its dot with the query."""
-    order = Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")
-    best = sims.withColumn("r", F.row_number().over(order)).where(F.col("r") <= (1 if mode == "top1" else k))
+def file_scores(best: DataFrame, vectors: DataFrame, tau: float, mode: str) -> DataFrame:
+    """(query, label, score): a file's most similar vectors (query, label, vec_id, sim, rank) made one (top1, mean or softmax attention), its cosine with the query."""
+    if mode == "top1":
+        best = best.where("rank = 1")
     weight = F.exp(F.col("sim") / tau) if mode == "attention" else F.lit(1.0)
-    placed = best.withColumn("w", weight).join(vectors.select("vec_id", unit("embedding").alias("v")), "vec_id").select("label", "w", F.posexplode("v").alias("i", "x"))
-    made = placed.groupBy("label", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    return made
+    own = vectors.select("vec_id", unit("embedding").alias("v"))
+    placed = best.withColumn("w", weight).join(own, "vec_id").select("query", "label", "w", F.posexplode("v").alias("i", "x"))
+    made = placed.groupBy("query", "label", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    whole = made.groupBy("query", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("x"))
+    asked = own.select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
+    return whole.join(asked, "query").select("query", "label", (dot("q", "x") / F.sqrt(dot("x", "x"))).alias("score"))
 
 
 def dictionary_hits(strings: DataFrame, words: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def _(t: Bound) -> DataFrame:
 def _(t: Bound) -> DataFrame:
     """Contents written as text files and imported again by their bytes."""
     path = _folder(t, "files")
-    t.objects.where("size > 0 AND size < 2000").select("oid", F.base64("data").alias("value")).write.partitionBy("oid").text(path)
+    t.contents.where("size > 0 AND size < 2000").select("oid", F.base64("data").alias("value")).write.partitionBy("oid").text(path)
     found = files.import_directory(t.spark, path)
     content = F.unbase64(F.regexp_replace(F.decode("data", "utf-8"), r"\s", ""))
     return found.where(F.col("name").endswith(".txt")).select(c.oid_of(content).alias("oid"), F.length(content).cast("long").alias("size"))
@@ -43,7 +43,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("s3_content_store", "objects", "SELECT oid, size, sha256(text) AS digest FROM objects")
 def _(t: Bound) -> DataFrame:
-    return t.objects.select("oid", "size", F.sha2("data", 256).alias("digest"))
+    return t.contents.select("oid", "size", F.sha2("data", 256).alias("digest"))
 
 
 @query("s4_collections", "collections", "SELECT name, cid, num_oids FROM collections")
@@ -144,7 +144,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("p7_byte_filter", "objects", "SELECT oid FROM objects WHERE contains(text, 'License')")
 def _(t: Bound) -> DataFrame:
-    return filters.by_bytes(t.objects, "License").select("oid")
+    return filters.by_bytes(t.contents, "License").select("oid")
 
 
 TYPED = """
@@ -157,7 +157,7 @@ def typed(t: Bound) -> DataFrame:
     """Objects behind a magic prefix that their size picks, with the types found from it."""
     n = F.col("size") % 4
     head = F.when(n == 0, F.lit("4D5A")).when(n == 1, F.lit("7F454C46")).when(n == 2, F.lit("25504446")).otherwise(F.lit("706C61696E"))
-    o = t.objects.select("oid", "size", F.concat(F.unhex(head), F.substring("data", 1, 16)).alias("head"))
+    o = t.contents.select("oid", "size", F.concat(F.unhex(head), F.substring("data", 1, 16)).alias("head"))
     return o.select("oid", "size", c.types_of("head").alias("types"))
 
 
@@ -240,7 +240,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("p20_read_bytes", "objects", "SELECT oid, CASE WHEN size > 100 THEN upper(substr(hex(encode(text)), 201, 64)) END AS bytes FROM objects")
 def _(t: Bound) -> DataFrame:
-    return filters.read_bytes(t.objects, 100, 32)
+    return filters.read_bytes(t.contents, 100, 32)
 
 
 @query("p21_slow_sample", "", "SELECT l_suppkey AS oid, list_sort(list(l_orderkey * 10 + l_linenumber)) AS functions FROM lineitem WHERE l_quantity >= 49 GROUP BY 1 ORDER BY 1 LIMIT 10")
@@ -280,12 +280,12 @@ def _(t: Bound) -> DataFrame:
     return sets.difference_matrix(t.tool_offsets, "tool", ["offset"])
 
 
-BLOCKS_BY_TOOL = "WITH tb AS (SELECT l_returnflag AS tool, l_suppkey AS oid, l_partkey % 8 AS block, list_distinct(list(l_quantity::INT % 3)) AS dests FROM lineitem WHERE l_discount < 0.02 GROUP BY ALL)"
+BLOCKS_BY_TOOL = "WITH tb AS (SELECT l_returnflag AS tool, l_suppkey AS oid, l_partkey % 64 AS block, list_distinct(list(l_quantity::INT % 16)) AS dests FROM lineitem GROUP BY ALL)"
 
 
 @query("o6_block_agreement", "", BLOCKS_BY_TOOL + " SELECT a.tool AS y, b.tool AS x, count(*) FILTER (list_sort(a.dests) = list_sort(b.dests)) AS same, count(*) FILTER (list_sort(a.dests) <> list_sort(b.dests)) AS diff, sum(len(list_filter(a.dests, lambda d: NOT list_contains(b.dests, d))))::BIGINT AS destinations FROM tb a JOIN tb b USING (oid, block) GROUP BY ALL")
 def _(t: Bound) -> DataFrame:
-    b = t.raw("lineitem").where("l_discount < 0.02").groupBy(F.col("l_returnflag").alias("tool"), F.col("l_suppkey").alias("oid"), (F.col("l_partkey") % 8).alias("block")).agg(F.collect_set(F.col("l_quantity").cast("int") % 3).alias("dests"))
+    b = t.raw("lineitem").groupBy(F.col("l_returnflag").alias("tool"), F.col("l_suppkey").alias("oid"), (F.col("l_partkey") % 64).alias("block")).agg(F.collect_set(F.col("l_quantity").cast("int") % 16).alias("dests"))
     return sets.block_agreement(b)
 
 
@@ -303,8 +303,8 @@ def _(t: Bound) -> DataFrame:
     return sets.ranges(t.tool_offsets, ["tool"])
 
 
-#: Two tools' ranges as half-open intervals; offsets from 0 to 999 decide which points stay.
-CUT = RANGES + ", points AS (SELECT unnest(range(0, 1009)) AS p), kept AS (SELECT p FROM points WHERE EXISTS (SELECT 1 FROM r WHERE tool = 'A' AND p >= start AND p < \"end\" + 1) AND NOT EXISTS (SELECT 1 FROM r WHERE tool = 'N' AND p >= start AND p < \"end\" + 1)) SELECT 0 AS g, min(p) AS start, max(p) + 1 AS \"end\" FROM (SELECT p, p - row_number() OVER (ORDER BY p) AS grp FROM kept) GROUP BY grp"
+#: The points of one tool's ranges that are in none of another's, as half-open intervals.
+CUT = RANGES + ", points AS (SELECT tool, unnest(range(start, \"end\" + 1)) AS p FROM r), kept AS (SELECT p FROM points WHERE tool = 'A' EXCEPT SELECT p FROM points WHERE tool = 'N') SELECT 0 AS g, min(p) AS start, max(p) + 1 AS \"end\" FROM (SELECT p, p - row_number() OVER (ORDER BY p) AS grp FROM kept) GROUP BY grp"
 
 
 @query("o8_interval_subtraction", "tool_offsets", CUT)

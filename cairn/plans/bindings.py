@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import cid_of, oid_of
+from cairn.operators.graph import checkpointed
+from cairn.operators.joins import alike_pairs
 from cairn.session import table
 
 #: Epoch second of 2024-01-01, the first import.
 EPOCH = 1_704_067_200
+#: So many ids of repeated contents are broadcast at most.
+MOST_BROADCAST = 2_000_000
+#: Pairs of documents that are less alike are no matches.
+LEAST_ALIKE = 0.1
 
 
 class Bound:
@@ -29,7 +35,21 @@ class Bound:
 
     @cached_property
     def objects(self) -> DataFrame:
-        return self.documents.select("oid", F.encode("text", "utf-8").alias("data"), "text", F.octet_length("text").cast("long").alias("size")).dropDuplicates(["oid"])
+        """(oid, size), one row for each content."""
+        return self.documents.select("oid", F.octet_length("text").cast("long").alias("size")).dropDuplicates(["oid"])
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        """(oid, data, text, size), one row for each content; contents stay in the tasks that read them.
+
+        Only ids are shuffled: they tell which rows repeat a content, and these rows are left out where they are read. A list of
+        them that is too long to broadcast is joined.
+        """
+        ids = self.documents.select("oid", "doc_id")
+        first = ids.groupBy("oid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("oid", "first")
+        again = checkpointed(ids.join(first, "oid").where("doc_id <> first").select("doc_id"))
+        again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again.hint("merge")
+        return self.documents.join(again, "doc_id", "left_anti").select("oid", F.encode("text", "utf-8").alias("data"), "text", F.octet_length("text").cast("long").alias("size"))
 
     @cached_property
     def names(self) -> DataFrame:
@@ -68,44 +88,46 @@ class Bound:
     @cached_property
     def block_edges(self) -> DataFrame:
         order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-        e = self.raw("lineitem").select(F.col("l_suppkey").alias("faddr"), (F.col("l_partkey") % 16).alias("src"), F.lead(F.col("l_partkey") % 16).over(order).alias("dst"), F.row_number().over(order).alias("step"))
-        return e.where("dst IS NOT NULL AND step <= 20").select("faddr", "src", "dst")
+        e = self.raw("lineitem").select(F.col("l_suppkey").alias("faddr"), (F.col("l_partkey") % 128).alias("src"), F.lead(F.col("l_partkey") % 128).over(order).alias("dst"))
+        return e.where("dst IS NOT NULL")
 
     @cached_property
     def call_edges(self) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-        e = self.raw("lineitem").where("l_orderkey % 40 = 0").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+        e = self.raw("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
         return e.where("dst IS NOT NULL AND src <> dst").distinct()
 
     @cached_property
     def tool_offsets(self) -> DataFrame:
-        return self.raw("lineitem").where("l_discount < 0.03 AND l_orderkey % 50 = 0").select(F.col("l_returnflag").alias("tool"), (F.col("l_partkey") % 1000).alias("offset")).distinct()
+        return self.raw("lineitem").select(F.col("l_returnflag").alias("tool"), (F.col("l_partkey") * 64 + F.col("l_quantity").cast("long")).alias("offset")).distinct()
+
+    @staticmethod
+    def section_list() -> Column:
+        """The sections of an object by its size."""
+        return F.when(F.col("size") >= 96, F.array(*[F.struct(F.lit(n).alias("name"), a.cast("long").alias("start"), b.cast("long").alias("end")) for n, a, b in (("head", F.lit(0), F.lit(64)), ("body", F.lit(64), F.col("size") - 32), ("tail", F.col("size") - 32, F.col("size")))])).otherwise(F.array(F.struct(F.lit("head").alias("name"), F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))))
 
     @cached_property
     def sections(self) -> DataFrame:
-        parts = F.when(F.col("size") >= 96, F.array(*[F.struct(F.lit(n).alias("name"), a.cast("long").alias("start"), b.cast("long").alias("end")) for n, a, b in (("head", F.lit(0), F.lit(64)), ("body", F.lit(64), F.col("size") - 32), ("tail", F.col("size") - 32, F.col("size")))])).otherwise(F.array(F.struct(F.lit("head").alias("name"), F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))))
-        return self.objects.select("oid", F.explode(parts).alias("s")).select("oid", "s.name", "s.start", (F.col("s.end") - F.col("s.start")).alias("len"))
+        return self.objects.select("oid", F.explode(self.section_list()).alias("s")).select("oid", "s.name", "s.start", (F.col("s.end") - F.col("s.start")).alias("len"))
 
     @cached_property
     def imports(self) -> DataFrame:
-        return self.raw("lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("oid"), F.col("l_suppkey").alias("library"), F.col("l_partkey").alias("name")).distinct()
+        return self.raw("lineitem").select(F.col("l_orderkey").alias("oid"), F.col("l_suppkey").alias("library"), F.col("l_partkey").alias("name")).distinct()
 
     @cached_property
     def words(self) -> DataFrame:
         """(oid, offset, value): the extracted strings, here the runs of letters and digits of a text, with their order as offset."""
         found = F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("offset", "value")
-        return self.objects.select("oid", found)
+        return self.contents.select("oid", found)
 
     @cached_property
     def matches(self) -> DataFrame:
         """Scored pairs of documents of src1 (target) and src0 (baseline): Jaccard of their sets of word trigrams."""
-        w = F.split(F.lower("text"), " ")
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
-        sets = self.raw("documents").where("source IN ('src0', 'src1')").select("doc_id", "source", grams.alias("grams"))
-        each = sets.select("doc_id", "source", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-        t, b = each.where("source = 'src1'").alias("t"), each.where("source = 'src0'").alias("b")
-        common = t.join(b, F.col("t.g") == F.col("b.g")).groupBy(F.col("t.doc_id").alias("t"), F.col("b.doc_id").alias("b"), F.col("t.n").alias("tn"), F.col("b.n").alias("bn")).agg(F.count(F.lit(1)).alias("c"))
-        return common.select("t", "b", F.round(F.col("c") / (F.col("tn") + F.col("bn") - F.col("c")), 6).alias("similarity"))
+        words = self.raw("documents").where("source IN ('src0', 'src1')").select("doc_id", "source", F.split(F.lower("text"), " ").alias("w"))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
+        sets = checkpointed(words.select("doc_id", "source", grams.alias("grams")))
+        side = lambda source: sets.where(f"source = '{source}'").select(F.col("doc_id").alias("id"), "grams")
+        return checkpointed(alike_pairs(side("src1"), side("src0"), LEAST_ALIKE).select(F.col("left").alias("t"), F.col("right").alias("b"), "similarity"))
 
 
 #: Name -> (bindings it reads, SELECT).
@@ -118,12 +140,12 @@ CTES: dict[str, tuple[str, str]] = {
     "tags": ("docs", "SELECT oid, doc_id AS version, unnest(['quality', 'toxic', 'import_time']) AS tag, unnest([quality::VARCHAR, toxic::VARCHAR, (doc_id * 3600 + 1704067200)::VARCHAR]) AS value FROM labels JOIN docs USING (doc_id)"),
     "instructions": ("", "SELECT user_id % 10 AS oid, user_id AS faddr, 4 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS \"offset\", event_type AS mnemonic, (props->>'$.k')::BIGINT AS operand FROM events"),
     "blocked": ("instructions", "SELECT oid, faddr, \"offset\", mnemonic, operand, min(\"offset\") OVER (PARTITION BY faddr, island) AS block FROM (SELECT *, coalesce(sum((mnemonic = 'error')::INT) OVER (PARTITION BY faddr ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM instructions)"),
-    "block_edges": ("", "SELECT faddr, src, dst FROM (SELECT l_suppkey AS faddr, l_partkey % 16 AS src, lead(l_partkey % 16) OVER w AS dst, row_number() OVER w AS step FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey)) WHERE dst IS NOT NULL AND step <= 20"),
-    "call_edges": ("", "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_orderkey % 40 = 0) WHERE dst IS NOT NULL AND src <> dst"),
-    "tool_offsets": ("", "SELECT DISTINCT l_returnflag AS tool, l_partkey % 1000 AS \"offset\" FROM lineitem WHERE l_discount < 0.03 AND l_orderkey % 50 = 0"),
+    "block_edges": ("", "SELECT faddr, src, dst FROM (SELECT l_suppkey AS faddr, l_partkey % 128 AS src, lead(l_partkey % 128) OVER w AS dst FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey)) WHERE dst IS NOT NULL"),
+    "call_edges": ("", "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst"),
+    "tool_offsets": ("", "SELECT DISTINCT l_returnflag AS tool, l_partkey * 64 + l_quantity::BIGINT AS \"offset\" FROM lineitem"),
     "sections": ("objects", "SELECT oid, s.name AS name, s.start AS start, s.len AS len FROM (SELECT oid, unnest(CASE WHEN size >= 96 THEN [{'name': 'head', 'start': 0, 'len': 64}, {'name': 'body', 'start': 64, 'len': size - 96}, {'name': 'tail', 'start': size - 32, 'len': 32}] ELSE [{'name': 'head', 'start': 0, 'len': size}] END) AS s FROM objects)"),
-    "imports": ("", "SELECT DISTINCT l_orderkey AS oid, l_suppkey AS library, l_partkey AS name FROM lineitem WHERE l_orderkey % 20 = 0"),
+    "imports": ("", "SELECT DISTINCT l_orderkey AS oid, l_suppkey AS library, l_partkey AS name FROM lineitem"),
     "words": ("objects", "SELECT oid, unnest(w) AS value, unnest(range(0, len(w))) AS \"offset\" FROM (SELECT oid, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM objects)"),
     "grams": ("", "SELECT doc_id, source, len(g) AS n, unnest(g) AS g FROM (SELECT doc_id, source, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM (SELECT doc_id, source, string_split(lower(text), ' ') AS w FROM documents WHERE source IN ('src0', 'src1')))"),
-    "matches": ("grams", "SELECT t, b, round(c / (tn + bn - c), 6) AS similarity FROM (SELECT t.doc_id AS t, b.doc_id AS b, t.n AS tn, b.n AS bn, count(*) AS c FROM grams t JOIN grams b ON t.g = b.g AND t.source = 'src1' AND b.source = 'src0' GROUP BY ALL)"),
+    "matches": ("grams", "SELECT t, b, round(c / (tn + bn - c), 6) AS similarity FROM (SELECT t.doc_id AS t, b.doc_id AS b, t.n AS tn, b.n AS bn, count(*) AS c FROM grams t JOIN grams b ON t.g = b.g AND t.source = 'src1' AND b.source = 'src0' GROUP BY ALL) WHERE c / (tn + bn - c) >= 0.1"),
 }

@@ -17,12 +17,12 @@ BYTES = "SELECT oid, ('0x' || substr(hex(encode(text)), (2 * i + 1)::INT, 2))::I
 
 @query("a1_byte_histogram", "objects", f"SELECT byte, count(*) AS n FROM ({BYTES}) GROUP BY byte")
 def _(t: Bound) -> DataFrame:
-    return a.byte_counts(t.objects, [])
+    return a.byte_counts(t.contents, [])
 
 
 @query("a1_byte_histogram_native", "objects", f"SELECT byte, count(*) AS n FROM ({BYTES}) GROUP BY byte")
 def _(t: Bound) -> DataFrame:
-    return a.byte_counts_native(t.objects, [])
+    return a.byte_counts_native(t.contents, [])
 
 
 @query("a2_opcode_histogram", "instructions", "SELECT mnemonic, count(*) AS n FROM instructions GROUP BY mnemonic")
@@ -43,12 +43,12 @@ def _(t: Bound) -> DataFrame:
 
 @query("a5_chunk_grams", "objects", "SELECT gram, count(*) AS n FROM (SELECT substr(text, (i + 1)::INT, 4) AS gram FROM (SELECT text, unnest(range(0, length(text), 4)) AS i FROM objects)) GROUP BY gram")
 def _(t: Bound) -> DataFrame:
-    return a.chunk_counts(t.objects, 4)
+    return a.chunk_counts(t.contents, 4)
 
 
 @query("a6_entropy", "objects", f"SELECT oid, round(-sum(n / s * ln(n / s) / ln(256)), 6) AS entropy FROM (SELECT oid, n, sum(n) OVER (PARTITION BY oid) AS s FROM (SELECT oid, byte, count(*) AS n FROM ({BYTES}) GROUP BY ALL)) GROUP BY oid HAVING -sum(n / s * ln(n / s)) > 0")
 def _(t: Bound) -> DataFrame:
-    return a.entropy(a.byte_counts(t.objects, ["oid"]), ["oid"], 256)
+    return a.entropy(a.byte_counts(t.contents, ["oid"]), ["oid"], 256)
 
 
 CHUNKS = f"SELECT oid, address, round(-sum(n / s * log2(n / s)) / 8, 5) AS entropy FROM (SELECT oid, address, n, sum(n) OVER (PARTITION BY oid, address) AS s FROM (SELECT oid, i // 1024 * 1024 AS address, byte, count(*) AS n FROM ({BYTES}) GROUP BY ALL)) GROUP BY oid, address"
@@ -56,7 +56,7 @@ CHUNKS = f"SELECT oid, address, round(-sum(n / s * log2(n / s)) / 8, 5) AS entro
 
 @query("a7_entropy_profile", "objects", f"SELECT oid, round(avg(entropy), 9) AS mean, max(entropy) AS highest, min(address) FILTER (entropy = top)::INT AS at FROM (SELECT *, max(entropy) OVER (PARTITION BY oid) AS top FROM ({CHUNKS})) GROUP BY oid")
 def _(t: Bound) -> DataFrame:
-    return a.entropy_profile(a.chunk_entropy(t.objects))
+    return a.entropy_profile(a.chunk_entropy(t.contents))
 
 
 @query("a8_collocations", "instructions", """
@@ -267,7 +267,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("w1_byte_ngrams", "objects", f"SELECT gram, count(*) AS n FROM (SELECT byte || ',' || lead(byte, 1) OVER w || ',' || lead(byte, 2) OVER w AS gram FROM ({BYTES}) WINDOW w AS (PARTITION BY oid ORDER BY i)) WHERE gram IS NOT NULL GROUP BY gram")
 def _(t: Bound) -> DataFrame:
-    return windows.byte_ngrams(t.objects)
+    return windows.byte_ngrams(t.contents)
 
 
 GRAMS = "SELECT mnemonic || ',' || lead(mnemonic, 1) OVER w || ',' || lead(mnemonic, 2) OVER w AS gram FROM instructions WINDOW w AS (PARTITION BY faddr ORDER BY \"offset\")"
@@ -280,7 +280,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("w4_padding_runs", "objects", f"SELECT oid, min(i) AS start, count(*) AS length, byte::INT AS byte FROM (SELECT *, i - row_number() OVER (PARTITION BY oid, byte ORDER BY i) AS run FROM ({BYTES})) GROUP BY oid, byte, run HAVING count(*) > 2")
 def _(t: Bound) -> DataFrame:
-    return windows.padding_runs(t.objects, number=2)
+    return windows.padding_runs(t.contents, number=2)
 
 
 PRINTABLE = "SELECT oid, value, count(*) AS n FROM (SELECT oid, unnest(regexp_extract_all(text, '[\\x20-\\x7e]{21,}')) AS value FROM objects) GROUP BY ALL"
@@ -288,12 +288,12 @@ PRINTABLE = "SELECT oid, value, count(*) AS n FROM (SELECT oid, unnest(regexp_ex
 
 @query("w5_printable_runs", "objects", PRINTABLE)
 def _(t: Bound) -> DataFrame:
-    return windows.printable_runs(t.objects, 20).groupBy("oid", "value").agg(F.count(F.lit(1)).alias("n"))
+    return windows.printable_runs(t.contents, 20).groupBy("oid", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w5_printable_runs_native", "objects", PRINTABLE)
 def _(t: Bound) -> DataFrame:
-    return windows.printable_runs_native(t.objects, 20).groupBy("oid", "value").agg(F.count(F.lit(1)).alias("n"))
+    return windows.printable_runs_native(t.contents, 20).groupBy("oid", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w7_strided_patterns", "blocked", "SELECT s.stride, count(*) FILTER (first = 'click' AND last = 'purchase') AS flagged, count(*) AS pieces FROM (SELECT 2 AS stride UNION ALL SELECT 3 UNION ALL SELECT 4) s, LATERAL (SELECT mnemonic AS first, lead(mnemonic, (s.stride - 1)::INT) OVER (PARTITION BY faddr, block ORDER BY \"offset\") AS last, row_number() OVER (PARTITION BY faddr, block ORDER BY \"offset\") - 1 AS i FROM blocked) x WHERE last IS NOT NULL AND i % s.stride = 0 GROUP BY 1")
@@ -317,7 +317,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("w10_top_bytes", "objects", f"SELECT byte, count(*) AS n FROM ({BYTES}) GROUP BY byte ORDER BY n DESC, byte LIMIT 10")
 def _(t: Bound) -> DataFrame:
-    return windows.top(a.byte_counts(t.objects, []), 10, "n", ["byte"])
+    return windows.top(a.byte_counts(t.contents, []), 10, "n", ["byte"])
 
 
 @query("w13_page", "names", "SELECT name, oid, (SELECT count(*) FROM names) AS total, true AS has_more FROM names ORDER BY name LIMIT 25 OFFSET 50")

@@ -12,5 +12,5 @@ def common_bytes(spark: SparkSession, sf_dir: str, name: str = "src0", n: int =
     t = Bound(spark, sf_dir)
     ids = t.collections.where(f"name = '{name}'").selectExpr("cid AS oid")
     members = sets.expanded(ids, t.collections, t.members, t.objects)
-    counts = aggregates.byte_counts(t.objects.join(members, "oid", "left_semi"), [])
+    counts = aggregates.byte_counts(t.contents.join(members, "oid", "left_semi"), [])
     return windows.top(counts, n, "n", ["byte"])

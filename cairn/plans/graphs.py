@@ -78,12 +78,14 @@ def _(t: Bound) -> DataFrame:
     return graph.degrees(t.call_edges, nodes(t))
 
 
-@query("g8_added_closure", "call_edges", "WITH RECURSIVE walk AS (SELECT src AS anchor, dst AS node FROM call_edges WHERE src % 4 = 1 AND dst % 4 <> 1 UNION SELECT anchor, dst FROM walk JOIN call_edges ON src = node WHERE dst % 4 <> 1) SELECT anchor, node FROM walk")
-def _(t: Bound) -> DataFrame:
-    """From every changed function (here src % 4 = 1) through added functions only, all anchors at once."""
-    into_added = t.call_edges.where("dst % 4 <> 1")
-    first = into_added.where("src % 4 = 1").select(F.col("src").alias("anchor"), F.col("dst").alias("node")).distinct()
-    found, front = graph.checkpointed(first), first
+@query("g8_added_closure", "call_edges", "WITH RECURSIVE added AS (SELECT p_partkey AS n FROM part WHERE p_size > 25), walk AS (SELECT src AS anchor, dst AS node FROM call_edges JOIN part ON src = p_partkey WHERE p_size = 1 AND p_brand LIKE 'Brand#1%' AND dst IN (FROM added) UNION SELECT anchor, dst FROM walk JOIN call_edges ON src = node WHERE dst IN (FROM added)) SELECT anchor, node FROM walk")
+def _(t: Bound) -> DataFrame:
+    """From every changed function (parts of size 1 of some brands) through added functions only (parts of a size above 25), all anchors at once."""
+    parts = t.raw("part")
+    into_added = graph.checkpointed(t.call_edges.join(parts.where("p_size > 25").select(F.col("p_partkey").alias("dst")), "dst", "left_semi"))
+    changed = parts.where("p_size = 1 AND p_brand LIKE 'Brand#1%'").select(F.col("p_partkey").alias("src"))
+    first = into_added.join(changed, "src", "left_semi").select(F.col("src").alias("anchor"), F.col("dst").alias("node")).distinct()
+    found = front = graph.checkpointed(first)
     while True:
         step = front.select("anchor", F.col("node").alias("src")).join(into_added, "src").select("anchor", F.col("dst").alias("node")).distinct()
         front = graph.checkpointed(step.join(found, ["anchor", "node"], "left_anti"))

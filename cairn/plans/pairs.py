@@ -34,7 +34,7 @@ def _(t: Bound) -> DataFrame:
 
 
 @query("j5_similarity_pairs", "matches", """
-WITH RECURSIVE ranked AS (SELECT t, b, similarity, row_number() OVER (ORDER BY similarity DESC, t, b) AS i FROM matches WHERE similarity >= 0.02),
+WITH RECURSIVE ranked AS (SELECT t, b, similarity, row_number() OVER (ORDER BY similarity DESC, t, b) AS i FROM matches),
 step AS (
   SELECT 0::BIGINT AS i, []::BIGINT[] AS ts, []::BIGINT[] AS bs, NULL::BIGINT AS t, NULL::BIGINT AS b, NULL::DOUBLE AS similarity
   UNION ALL
@@ -42,22 +42,22 @@ step AS (
   FROM (SELECT s.*, q.i AS qi, q.t AS qt, q.b AS qb, q.similarity AS qs, NOT list_contains(s.ts, q.t) AND NOT list_contains(s.bs, q.b) AS free FROM step s JOIN ranked q ON q.i = s.i + 1) x(i0, ts, bs, t0, b0, s0, i, t, b, similarity, free), LATERAL (SELECT x.i AS i, x.t AS t, x.b AS b, x.similarity AS similarity) r)
 SELECT t, b, similarity FROM step WHERE t IS NOT NULL""")
 def _(t: Bound) -> DataFrame:
-    return joins.one_to_one(t.matches.where("similarity >= 0.02"), "t", "b", "similarity")
+    return joins.one_to_one(t.matches, "t", "b", "similarity")
 
 
 @query("j6_pair_report")
 def _(t: Bound) -> DataFrame:
     side = lambda s: t.members.where(f"name = '{s}'").select("oid")
     by_id = t.documents.select("doc_id", "oid")
-    scored = t.matches.where("similarity >= 0.02").join(by_id.select(F.col("doc_id").alias("t"), F.col("oid").alias("to")), "t").join(by_id.select(F.col("doc_id").alias("b"), F.col("oid").alias("bo")), "b").groupBy(F.col("to").alias("t"), F.col("bo").alias("b")).agg(F.max("similarity").alias("score"))
+    scored = t.matches.join(by_id.select(F.col("doc_id").alias("t"), F.col("oid").alias("to")), "t").join(by_id.select(F.col("doc_id").alias("b"), F.col("oid").alias("bo")), "b").groupBy(F.col("to").alias("t"), F.col("bo").alias("b")).agg(F.max("similarity").alias("score"))
     named = lambda s: t.documents.where(f"source = '{s}'").select("oid", F.concat_ws("_", "lang", "n_chars").alias("name"))
     pairs = named("src1").withColumnRenamed("oid", "t").join(named("src0").withColumnRenamed("oid", "b"), "name").select("t", "b").distinct()
     return joins.pair_files(side("src1"), side("src0"), pairs, scored)
 
 
-@query("j7_function_mapping", "matches names", "SELECT t, b, tn.name AS t_name, bn.name AS b_name FROM matches LEFT JOIN names tn ON t = tn.doc_id LEFT JOIN names bn ON b = bn.doc_id WHERE similarity > 0.01")
+@query("j7_function_mapping", "matches names", "SELECT t, b, tn.name AS t_name, bn.name AS b_name FROM matches LEFT JOIN names tn ON t = tn.doc_id LEFT JOIN names bn ON b = bn.doc_id")
 def _(t: Bound) -> DataFrame:
-    return joins.function_mapping(t.matches.where("similarity > 0.01"), t.names.select(F.col("doc_id").alias("faddr"), "name"))
+    return joins.function_mapping(t.matches, t.names.select(F.col("doc_id").alias("faddr"), "name"))
 
 
 @query("j8_direct_calls", "instructions", "SELECT faddr, \"offset\", operand AS callee FROM instructions WHERE mnemonic = 'purchase' AND operand IN (SELECT faddr FROM instructions)")
@@ -131,7 +131,7 @@ def _(t: Bound) -> DataFrame:
 
 
 CLASSES = """
-WITH td AS (SELECT doc_id AS t FROM documents WHERE source = 'src1'), bd AS (SELECT doc_id AS b FROM documents WHERE source = 'src0'), kept AS (SELECT * FROM matches WHERE similarity >= 0.02),
+WITH td AS (SELECT doc_id AS t FROM documents WHERE source = 'src1'), bd AS (SELECT doc_id AS b FROM documents WHERE source = 'src0'), kept AS (SELECT * FROM matches),
 classes AS (
   SELECT t, b, similarity, CASE WHEN similarity < 1 THEN row_number() OVER (PARTITION BY similarity >= 1 ORDER BY similarity, t, b) END AS rank, CASE WHEN similarity >= 1 THEN 'matched' ELSE 'modified' END AS class FROM kept
   UNION ALL SELECT t, NULL, NULL, NULL, 'unmatched_target' FROM td WHERE t NOT IN (SELECT t FROM kept) UNION ALL SELECT NULL, b, NULL, NULL, 'unmatched_baseline' FROM bd WHERE b NOT IN (SELECT b FROM kept))
@@ -140,7 +140,7 @@ classes AS (
 
 def classes(t: Bound) -> DataFrame:
     side = lambda s, k: t.raw("documents").where(f"source = '{s}'").select(F.col("doc_id").alias(k))
-    return joins.classified(t.matches.where("similarity >= 0.02"), side("src1", "t"), side("src0", "b"))
+    return joins.classified(t.matches, side("src1", "t"), side("src0", "b"))
 
 
 @query("j16_classes", "matches", CLASSES + 'SELECT t, b, similarity, rank, class FROM classes')
@@ -148,7 +148,7 @@ def _(t: Bound) -> DataFrame:
     return classes(t)
 
 
-@query("w3_similarity_rank", "matches", "SELECT t, b, row_number() OVER (ORDER BY similarity, t, b) AS rank FROM matches WHERE similarity < 1 AND similarity >= 0.02")
+@query("w3_similarity_rank", "matches", "SELECT t, b, row_number() OVER (ORDER BY similarity, t, b) AS rank FROM matches WHERE similarity < 1")
 def _(t: Bound) -> DataFrame:
     return classes(t).where("class = 'modified'").select("t", "b", "rank")
 
@@ -173,13 +173,13 @@ def _(t: Bound) -> DataFrame:
     return each.groupBy("target").agg(*[F.count_if(F.col("category") == k).alias(k) for k in ("matched", "unmatched")])
 
 
-FUNCTION_GRAMS = "WITH g AS (SELECT DISTINCT oid, faddr, mnemonic || ',' || lead(mnemonic, 1) OVER w || ',' || lead(mnemonic, 2) OVER w AS gram FROM instructions WINDOW w AS (PARTITION BY faddr ORDER BY \"offset\")), s AS (SELECT oid, faddr, list_sort(list(gram)) AS grams FROM g WHERE gram IS NOT NULL GROUP BY ALL)"
+FUNCTION_GRAMS = "WITH g AS (SELECT DISTINCT oid, faddr, mnemonic || ',' || lead(mnemonic, 1) OVER w || ',' || lead(mnemonic, 2) OVER w || ',' || lead(mnemonic, 3) OVER w AS gram FROM instructions WINDOW w AS (PARTITION BY faddr ORDER BY \"offset\")), s AS (SELECT oid, faddr, list_sort(list(gram)) AS grams FROM g WHERE gram IS NOT NULL GROUP BY ALL)"
 CLOSEST = FUNCTION_GRAMS + """, sim AS (SELECT a.faddr AS item, b.faddr AS other, round(len(list_intersect(a.grams, b.grams))::DOUBLE / len(list_distinct(a.grams || b.grams)), 6) AS similarity FROM s a JOIN s b ON a.oid <> b.oid),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, other) AS rank FROM sim WHERE similarity > 0)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, other) AS rank FROM sim WHERE similarity >= 0.1)"""
 
 
 def function_sets(t: Bound) -> DataFrame:
-    grams = windows.ngrams(t.instructions, ["oid", "faddr"], ["offset"], "mnemonic", 3)
+    grams = windows.ngrams(t.instructions, ["oid", "faddr"], ["offset"], "mnemonic", 4)
     return grams.groupBy(F.col("oid").alias("object"), F.col("faddr").alias("item")).agg(F.collect_set("gram").alias("grams"))
 
 
@@ -193,10 +193,10 @@ def _(t: Bound) -> DataFrame:
     return joins.closest(function_sets(t), k=3)
 
 
-@query("j18_nullable_truth", "", "SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id AS addr, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS oid FROM events WHERE event_id % 50 = 0) g WHERE g.addr = e.user_id AND (g.oid IS NULL OR g.oid = e.event_type))")
+@query("j18_nullable_truth", "", "SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id AS addr, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS oid FROM events WHERE event_type IN ('error', 'purchase') AND value > 100) g WHERE g.addr = e.user_id AND (g.oid IS NULL OR g.oid = e.event_type))")
 def _(t: Bound) -> DataFrame:
     e = t.raw("events")
-    truth = e.where("event_id % 50 = 0").select(F.col("user_id").alias("addr"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("oid"))
+    truth = e.where("event_type IN ('error', 'purchase') AND value > 100").select(F.col("user_id").alias("addr"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("oid"))
     return joins.in_truth(e.select("event_id", F.col("user_id").alias("addr"), F.col("event_type").alias("oid")), truth).select("event_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as c
-from cairn.operators import models, surface, text
+from cairn.operators import models, surface, text, windows
 from cairn.operators.graph import checkpointed
 from cairn.plans.bindings import Bound
 from cairn.plans.registry import query
@@ -27,14 +27,14 @@ scores AS (SELECT oid, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5
 
 @query("t1_bm25_files", "objects", BM25 + "SELECT oid, score FROM scores ORDER BY score DESC, oid LIMIT 25")
 def _(t: Bound) -> DataFrame:
-    return text.bm25(t.objects.select("oid", text.tokens(F.col("text")).alias("tokens")), ASKED, ["oid"], 25)
+    return text.bm25(t.contents.select("oid", text.tokens(F.col("text")).alias("tokens")), ASKED, ["oid"], 25)
 
 
 LINES = "SELECT DISTINCT oid, unnest(string_split(text, chr(10))) AS value FROM objects"
 
 
 def lines(t: Bound) -> DataFrame:
-    return t.objects.select("oid", F.explode(F.split("text", "\n")).alias("value")).distinct()
+    return t.contents.select("oid", F.explode(F.split("text", "\n")).alias("value")).distinct()
 
 
 @query("t2_bm25_strings", "objects", f"""
@@ -82,22 +82,24 @@ def _(t: Bound) -> DataFrame:
 
 
 UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
-SIMS = f"WITH {UNIT}, sims AS (SELECT q.vec_id AS query, u.vec_id, u.label, list_dot_product(q.v, u.v) AS sim FROM u, u q WHERE q.vec_id < 5)"
+SIMS = f"WITH {UNIT}, sims AS (SELECT q.vec_id AS query, u.vec_id, u.label, list_dot_product(q.v, u.v) AS sim FROM u, u q WHERE q.vec_id % 20 = 0)"
+TOP = "row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, vec_id) AS rank"
 
 
-def sims(t: Bound) -> DataFrame:
-    e = t.raw("embeddings")
-    return text.similarities(e, e.where("vec_id < 5"))
+def asked(t: Bound) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 20, each against all."""
+    return t.raw("embeddings").where("vec_id % 20 = 0")
 
 
-@query("t7_dense_ranking", "", SIMS + " SELECT vec_id, round(sim, 6) AS sim FROM sims WHERE query = 0 ORDER BY sim DESC, vec_id LIMIT 20")
+@query("t7_dense_ranking", "", SIMS + f" SELECT query, vec_id, round(sim, 6) AS sim, {TOP} FROM sims QUALIFY rank <= 20")
 def _(t: Bound) -> DataFrame:
-    return text.nearest(sims(t).where("query = 0"), 20).select("vec_id", F.round("sim", 6).alias("sim"))
+    return text.nearest_each(t.raw("embeddings"), asked(t), 20).select("query", "vec_id", F.round("sim", 6).alias("sim"), "rank")
 
 
-@query("t8_semantic_search", "", SIMS + " SELECT vec_id, round(sim, 6) AS sim FROM sims WHERE query = 0 AND sim >= 0.1 ORDER BY sims.sim DESC, vec_id LIMIT 10 OFFSET 3")
+@query("t8_semantic_search", "", SIMS + f" SELECT query, vec_id, round(sim, 6) AS sim FROM (SELECT *, {TOP} FROM sims WHERE sim >= 0.1) WHERE rank BETWEEN 4 AND 13")
 def _(t: Bound) -> DataFrame:
-    return text.above(sims(t).where("query = 0"), 0.1, 3, 10).select("vec_id", F.round("sim", 6).alias("sim"))
+    """For every query a page of the vectors that are similar enough: ten after the first three."""
+    return text.nearest_each(t.raw("embeddings"), asked(t), 13, least=0.1).where("rank > 3").select("query", "vec_id", F.round("sim", 6).alias("sim"))
 
 
 @query("t9_literal_search", "", "SELECT p_brand AS oid, p_name AS name, 1.0 AS score FROM part WHERE contains(lower(p_name), 'part 1')")
@@ -105,27 +107,33 @@ def _(t: Bound) -> DataFrame:
     return t.raw("part").where(F.contains(F.lower("p_name"), F.lit("part 1"))).select(F.col("p_brand").alias("oid"), F.col("p_name").alias("name"), F.lit(1.0).alias("score"))
 
 
-@query("t10_combined_search", "", SIMS + ", lit AS (SELECT vec_id, 1.0::DOUBLE AS score FROM u WHERE label = 3), sem AS (SELECT vec_id, round(sim, 6) AS score FROM sims WHERE query = 0 AND sim >= 0.1) SELECT vec_id, score, 'literal' AS mode FROM lit UNION ALL SELECT vec_id, score, 'semantic' FROM sem WHERE vec_id NOT IN (SELECT vec_id FROM lit)")
+@query("t10_combined_search", "", SIMS + f", lit AS (SELECT q.vec_id AS query, u.vec_id FROM u q JOIN u USING (label) WHERE q.vec_id % 20 = 0), sem AS (SELECT query, vec_id, round(sim, 6) AS score FROM (SELECT *, {TOP} FROM sims WHERE sim >= 0.1) WHERE rank <= 30) SELECT query, vec_id, 1.0::DOUBLE AS score, 'literal' AS mode FROM lit UNION ALL SELECT query, vec_id, score, 'semantic' FROM sem WHERE (query, vec_id) NOT IN (FROM lit)")
 def _(t: Bound) -> DataFrame:
-    literal = t.raw("embeddings").where("label = 3").select("vec_id", F.lit(1.0).alias("score"), F.lit("literal").alias("mode"))
-    semantic = sims(t).where("query = 0 AND sim >= 0.1").select("vec_id", F.round("sim", 6).alias("score"), F.lit("semantic").alias("mode"))
-    return literal.unionByName(semantic.join(literal, "vec_id", "left_anti"))
+    """For every query the vectors of its label, and of the thirty most similar those of other labels."""
+    own = asked(t).select(F.col("vec_id").alias("query"), "label")
+    literal = own.join(t.raw("embeddings"), "label").select("query", "vec_id", F.lit(1.0).alias("score"), F.lit("literal").alias("mode"))
+    semantic = text.nearest_each(t.raw("embeddings"), asked(t), 30, least=0.1).select("query", "vec_id", F.round("sim", 6).alias("score"), F.lit("semantic").alias("mode"))
+    return literal.unionByName(semantic.join(literal, ["query", "vec_id"], "left_anti"))
+
 
+PROMPTS = f"WITH {UNIT}, sims AS (SELECT q.vec_id AS query, u.vec_id, u.label, list_dot_product(q.v, u.v) AS sim FROM u, u q WHERE q.vec_id < 5)"
 
-@query("t11_prompt_labels", "", SIMS + " SELECT vec_id, arg_max(query, (sim, -query)) AS prompt, round(exp(max(sim) / 0.1) / sum(exp(sim / 0.1)), 6) AS confidence FROM sims GROUP BY vec_id")
+
+@query("t11_prompt_labels", "", PROMPTS + " SELECT vec_id, arg_max(query, (sim, -query)) AS prompt, round(exp(max(sim) / 0.1) / sum(exp(sim / 0.1)), 6) AS confidence FROM sims GROUP BY vec_id")
 def _(t: Bound) -> DataFrame:
-    return text.prompt_labels(sims(t), 0.1)
+    """Every vector with the one of five prompts, the first vectors, that it is most similar to."""
+    e = t.raw("embeddings")
+    return text.prompt_labels(text.similarities(e, e.where("vec_id < 5")), 0.1)
 
 
-@query("t12_file_scores", "", SIMS + """, best AS (SELECT label, vec_id, exp(sim / 0.1) AS w FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS r FROM sims WHERE query = 0) WHERE r <= 5),
-made AS (SELECT label, i, sum(w * u.v[i]) / sum(w) AS x FROM best JOIN u USING (vec_id, label), range(1, 65) AS r(i) GROUP BY label, i),
-q AS (SELECT i, v[i] AS y FROM u, range(1, 65) AS r(i) WHERE vec_id = 0)
-SELECT label, round(sum(x * y) / sqrt(sum(x * x)), 6) AS score FROM made JOIN q USING (i) GROUP BY label""")
+@query("t12_file_scores", "", SIMS + """, best AS (SELECT query, label, vec_id, exp(sim / 0.1) AS w FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY round(sim, 9) DESC, vec_id) AS r FROM sims) WHERE r <= 5),
+made AS (SELECT query, label, i, sum(w * u.v[i]) / sum(w) AS x FROM best JOIN u USING (vec_id, label), range(1, 65) AS r(i) GROUP BY query, label, i),
+q AS (SELECT vec_id AS query, i, v[i] AS y FROM u, range(1, 65) AS r(i) WHERE vec_id % 20 = 0)
+SELECT query, label, round(sum(x * y) / sqrt(sum(x * x)), 6) AS score FROM made JOIN q USING (query, i) GROUP BY query, label""")
 def _(t: Bound) -> DataFrame:
     e = t.raw("embeddings")
-    made = text.file_scores(sims(t).where("query = 0"), e, 5, 0.1, "attention")
-    asked = e.where("vec_id = 0").select(F.posexplode(text.unit("embedding")).alias("i", "y"))
-    return made.join(F.broadcast(asked), "i").groupBy("label").agg(F.round(F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("score"))
+    best = text.nearest_each(e, asked(t), 5, within="label")
+    return text.file_scores(best, e, 0.1, "attention").select("query", "label", F.round("score", 6).alias("score"))
 
 
 @query("t13_dictionary_hits", "words", "WITH w AS (SELECT upper(n_name) AS word FROM nation UNION SELECT upper(r_name) FROM region UNION SELECT unnest(['ER', 'TION', 'THE', 'ING', 'EAU'])), s AS (SELECT DISTINCT oid, upper(value) AS value FROM words) SELECT word, sum((SELECT count(*) FROM range(1, length(value)::BIGINT + 1) AS r(i) WHERE substr(value, i, length(word)) = word))::BIGINT AS n FROM w, s WHERE contains(value, word) GROUP BY word")
@@ -154,9 +162,11 @@ def _(t: Bound) -> DataFrame:
     return text.changed_lines(i.where("offset % 8 = 0"), i.where("offset % 8 <> 0"), ["faddr"])
 
 
-@query("l2_top_similar", "", SIMS + " SELECT query, vec_id, round(sim, 6) AS sim FROM sims WHERE query = 1 ORDER BY sims.sim DESC, vec_id LIMIT 5")
+@query("l2_top_similar", "", SIMS + f" SELECT query, vec_id, round(sim, 6) AS sim, {TOP} FROM sims WHERE query <> vec_id QUALIFY rank <= 5")
 def _(t: Bound) -> DataFrame:
-    return text.nearest(sims(t).where("query = 1"), 5).select("query", "vec_id", F.round("sim", 6).alias("sim"))
+    """The five most similar others of every query."""
+    found = text.nearest_each(t.raw("embeddings"), asked(t), 6).where("query <> vec_id")
+    return windows.top_in(found.drop("rank"), ["query"], [F.desc(F.round("sim", 9)), "vec_id"], 5).select("query", "vec_id", F.round("sim", 6).alias("sim"), "rank")
 
 
 @query("c1_content_id", "", "SELECT doc_id, sha1(text) AS oid FROM documents")
@@ -194,17 +204,17 @@ def _(t: Bound) -> DataFrame:
     return t.instructions.groupBy("faddr").agg(F.when(F.count(F.lit(1)) > 5, F.sha1(joined)).alias("hash"), (4 * F.count(F.lit(1))).alias("bytes"))
 
 
-@query("c10_section_hash", "sections objects", "SELECT s.oid, s.name, CASE WHEN s.len > 0 THEN sha256(array_to_string(list_transform(range(0, s.len), lambda i: substr(hex(encode(o.text)), (2 * (s.start + i) + 1)::INT, 2)), '')) ELSE '0' END AS hash FROM sections s JOIN objects o USING (oid) WHERE s.name <> 'body'")
+@query("c10_section_hash", "sections objects", "SELECT s.oid, s.name, CASE WHEN s.len > 0 THEN sha256(substr(hex(encode(o.text)), (2 * s.start + 1)::BIGINT, (2 * s.len)::BIGINT)) ELSE '0' END AS hash FROM sections s JOIN objects o USING (oid)")
 def _(t: Bound) -> DataFrame:
     """Of the hexadecimal digits, so that SQL engines without binary hashes can check it."""
-    part = t.sections.where("name <> 'body'").join(t.objects.select("oid", "data"), "oid")
+    part = t.contents.select("oid", "data", F.explode(Bound.section_list()).alias("s")).select("oid", "data", "s.name", "s.start", (F.col("s.end") - F.col("s.start")).alias("len"))
     digits = F.hex(F.expr("substring(data, int(start) + 1, int(len))"))
     return part.select("oid", "name", F.when(F.col("len") > 0, F.sha2(digits, 256)).otherwise("0").alias("hash"))
 
 
 @query("c11_pointer_test", "objects", "SELECT oid, substr(hex(encode(text)), 17, 16) <> '0000000000000000' AS rtti FROM objects WHERE size >= 16")
 def _(t: Bound) -> DataFrame:
-    return t.objects.where("size >= 16").select("oid", (F.hex(F.substring("data", 9, 8)) != "0000000000000000").alias("rtti"))
+    return t.contents.where("size >= 16").select("oid", (F.hex(F.substring("data", 9, 8)) != "0000000000000000").alias("rtti"))
 
 
 @query("c12_packer_score", "imports", "SELECT oid, (CASE WHEN count(*) < 10 THEN 1 ELSE 0 END + CASE WHEN count(DISTINCT library) <> 1 THEN 1 ELSE 0 END + CASE WHEN max(name) % 3 = 0 THEN 5 ELSE 0 END)::INT AS score, (CASE WHEN count(*) < 10 THEN 1 ELSE 0 END + CASE WHEN count(DISTINCT library) <> 1 THEN 1 ELSE 0 END + CASE WHEN max(name) % 3 = 0 THEN 5 ELSE 0 END) > 6 AS likely FROM imports GROUP BY oid")
@@ -305,7 +315,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("u2_extractor", "objects", "SELECT oid, length(text) AS chars FROM objects")
 def _(t: Bound) -> DataFrame:
-    return surface.extractor(t.objects.select("oid", "data"), lambda data: {"chars": len(bytes(data).decode())}, "chars long")
+    return surface.extractor(t.contents.select("oid", "data"), lambda data: {"chars": len(bytes(data).decode())}, "chars long")
 
 
 @query("u4_options", "objects", "SELECT oid, 1000::BIGINT AS least, size FROM objects WHERE size > 1000")

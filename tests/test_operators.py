@@ -1,6 +1,8 @@
 """Decisions and algebra on hand-made frames."""
 
 import json
+import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -210,3 +212,64 @@ def test_options_and_pages(spark):
 def test_greedy_packing_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([("a", 1, 6), ("a", 2, 7), ("a", 3, 4), ("b", 1, 99)], "oid string, rank long, cost long")
     assert {(r.oid, r["rank"]) for r in windows.packed_greedy(rows, "oid", "cost", 10).collect()} == {("a", 1), ("a", 3), ("b", 1)}
+
+
+def test_exact_pairs_of_sets_against_brute_force(spark):
+    rnd = random.Random(3)
+    sets = [(i, [f"g{min(rnd.randrange(60), rnd.randrange(60))}" for _ in range(rnd.randrange(25))]) for i in range(70)] + [(None, ["g1"]), (99, []), (98, None)]
+    left, right = (spark.createDataFrame(some, "id long, grams array<string>") for some in (sets[:36] + sets[70:], sets[30:]))
+    for least in (0.1, 0.35, 0.8, 1.0):
+        got = {(r.left, r.right): r.similarity for r in joins.alike_pairs(left, right, least).collect()}
+        want = {}
+        for i, a in sets[:36]:
+            for j, b in sets[30:70]:
+                if set(a) | set(b) and len(set(a) & set(b)) >= least * len(set(a) | set(b)):
+                    want[i, j] = round(len(set(a) & set(b)) / len(set(a) | set(b)), 6)
+        assert got == want
+
+
+def test_numbers_over_ranges(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(50), i) for i in range(3000)]
+    got = {(r.x, r.i): r["rank"] for r in joins.numbered(spark.createDataFrame(rows, "x long, i long"), [F.desc("x"), "i"]).collect()}
+    assert got == {row: k + 1 for k, row in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
+    assert joins.numbered(spark.createDataFrame([], "x long"), ["x"]).count() == 0
+
+
+def test_strong_components_both_ways(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = [(g, rnd.randrange(12), rnd.randrange(12)) for g in range(4) for _ in range(10 + 6 * g)]
+    e = spark.createDataFrame(edges, "g int, src long, dst long")
+    nodes = e.selectExpr("g", "src AS node").union(e.selectExpr("g", "dst AS node")).distinct()
+    reach = {(g, a): {a} for g, a in {(g, x) for g, s, d in edges for x in (s, d)}}
+    for _ in range(12):
+        for g, s, d in edges:
+            for key in reach:
+                if key[0] == g and s in reach[key]:
+                    reach[key].add(d)
+    want = {(g, a): min(b for b in reach[g, a] if a in reach[g, b]) for g, a in reach}
+    for most in (100_000, 20, 0):  # each in a task; the larger ones by joins; all by joins
+        monkeypatch.setattr(graph, "SMALL_GRAPH", most)
+        assert {(r.g, r.node): r.component for r in graph.strong_components(e, nodes, ["g"]).collect()} == want
+
+
+def test_nearest_of_each_query_in_blocks(spark, monkeypatch):
+    from cairn.operators import text
+
+    monkeypatch.setattr(text, "VECTORS_IN_BLOCK", 40)
+    monkeypatch.setattr(text, "QUERIES_IN_BLOCK", 7)
+    rnd = random.Random(6)
+    rows = [(i, [float(rnd.randrange(-2, 3)) for _ in range(4)], i % 3) for i in range(150)] + [(200, None, 0), (201, [0.0] * 4, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    usable = [r for r in rows if r[1] and any(r[1])]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.dist(a, [0] * 4) / math.dist(b, [0] * 4)
+    got = {}
+    for r in text.nearest_each(df, df.where("vec_id % 5 = 0"), 6).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.vec_id))
+    for q in usable:
+        if q[0] % 5 == 0:
+            want = sorted(usable, key=lambda v: (-round(cos(q[1], v[1]), 9), v[0]))[:6]
+            assert sorted(got.pop(q[0])) == [(k + 1, v[0]) for k, v in enumerate(want)]
+    assert not got
+    by_label = text.nearest_each(df, df.where("vec_id = 5"), 2, within="label").collect()
+    assert sorted((r.label, r["rank"]) for r in by_label) == [(g, k) for g in range(3) for k in (1, 2)]
