@@ -22,6 +22,17 @@ class MapReduce:
         return self.reducer(self.mapper(df))
 
 
+@dataclass(frozen=True)
+class SetAnalyzer:
+    """An operator of a set of ids and options; its result is a DataFrame, which nothing stores."""
+
+    analyze: Callable[[DataFrame, dict[str, Any]], DataFrame]
+    declared: dict[str, tuple[str, bool, Any]]
+
+    def __call__(self, ids: DataFrame, given: dict[str, Any] | None = None) -> DataFrame:
+        return self.analyze(ids.select("oid").distinct(), options(self.declared, given or {}))
+
+
 def extractor(objects: DataFrame, process: Callable[[bytes], dict[str, Any]], schema: str) -> DataFrame:
     """(oid, fields): process of every object's content, in batches; an object for which it gives None has no row."""
     fields = [f.split()[0] for f in schema.split(",")]

@@ -182,3 +182,20 @@ def changed_lines(target: DataFrame, baseline: DataFrame, by: list[str]) -> Data
     b = baseline.groupBy(*by, "line").agg(F.count(F.lit(1)).alias("b"))
     both = t.join(b, [*by, "line"], "full").na.fill(0, ["t", "b"])
     return both.groupBy(*by).agg(F.sum(F.greatest(F.col("t") - F.col("b"), F.lit(0))).alias("added"), F.sum(F.greatest(F.col("b") - F.col("t"), F.lit(0))).alias("removed"))
+
+
+ADDRESS = "0x[0-9a-fA-F]{8,}"
+
+
+def lifted(lines: DataFrame, by: list[str], order: str, text: str = "text") -> DataFrame:
+    """lines (by, order, text) with every distinct address of a group, 0x and eight or more digits, as a number in order of first appearance, as wide as the address."""
+    key = [*by, order]
+    parts = lines.select(*key, F.split(text, ADDRESS, -1).alias("__parts"), F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)).alias("__found"))
+    each = parts.select(*key, F.posexplode("__found").alias("__pos", "__address"))
+    first = each.groupBy(*by, "__address").agg(F.min(F.struct(order, "__pos")).alias("__first"))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("__first"))
+    names = first.select(*by, "__address", F.concat(F.lit("0x"), F.lpad(number.cast("string"), F.length("__address") - 2, F.lit("0"))).alias("__name"))
+    placed = each.join(names, [*by, "__address"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__name"))), lambda x: x["__name"]).alias("__names"))
+    joined = parts.join(placed, key, "left")
+    whole = F.array_join(F.transform("__parts", lambda x, i: F.concat(x, F.coalesce(F.get("__names", i), F.lit("")))), "")
+    return joined.select(*key, whole.alias(text))

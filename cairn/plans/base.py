@@ -93,6 +93,28 @@ def _(t: Bound) -> DataFrame:
     return files.read_json(t.spark, path, "oid string, tool string, kind string, offset long, value string").groupBy("oid", "tool").agg(F.count(F.lit(1)).alias("facts"))
 
 
+@query("s11_truth_files", "", "SELECT p_brand AS oid, 'functions' AS type, p_partkey AS \"offset\", p_name AS name FROM part")
+def _(t: Bound) -> DataFrame:
+    """Truth files, one for each object, written and read again."""
+    path = _folder(t, "truth")
+    row = F.concat(F.lit("["), "p_partkey", F.lit(", "), F.to_json(F.struct(F.col("p_name").alias("n"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("p_name").alias("n")))) - 6), F.lit("]"))
+    head = F.to_json(F.struct(F.col("p_brand").alias("oid"), F.lit("functions").alias("type")))
+    held = t.raw("part").groupBy("p_brand").agg(F.collect_list(row).alias("rows")).select(F.col("p_brand").alias("file"), F.concat(F.lit("["), F.array_join(F.concat(F.array(head), "rows"), ",\n"), F.lit("]")).alias("value"))
+    held.repartition("file").write.partitionBy("file").text(path)
+    return files.read_truth(t.spark, path).select("oid", "type", "offset", F.get("fields", F.lit(0)).alias("name"))
+
+
+@query("s13_ground_truth", "", "SELECT s_name AS sample, s_suppkey::VARCHAR AS addr, CASE WHEN s_acctbal > 0 THEN n_name END AS oid FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(t: Bound) -> DataFrame:
+    """Ground truth as JSON, a file for each nation, written and read again; addresses are hexadecimal there."""
+    path = _folder(t, "ground")
+    target = F.struct(F.concat(F.lit("0x"), F.lower(F.hex("s_suppkey"))).alias("target_addr"), F.when(F.col("s_acctbal") > 0, F.col("n_name")).alias("target_oid"))
+    sample = F.struct(F.struct(F.array(target).alias("targets")).alias("backdoor"))
+    rows = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("s_name", sample.alias("s")))).alias("samples"))
+    rows.select("n_nationkey", F.to_json(F.struct("samples")).alias("value")).write.partitionBy("n_nationkey").text(path)
+    return files.read_ground_truth(t.spark, path).select("sample", "addr", "oid")
+
+
 @query("s12_comparison_series", "collections", "SELECT t.cid AS target, b.cid AS baseline FROM collections t JOIN collections b ON t.name = 'src1' || substr(b.name, 4) WHERE length(b.name) = 4")
 def _(t: Bound) -> DataFrame:
     path = _folder(t, "series")

@@ -123,14 +123,22 @@ def _(t: Bound) -> DataFrame:
 TOP = "SELECT oid, mnemonic, n, row_number() OVER (PARTITION BY oid ORDER BY n DESC, mnemonic) AS rank FROM (SELECT oid, mnemonic, count(*) AS n FROM instructions GROUP BY ALL)"
 
 
-@query("a16_file_statistics", "blocked instructions", f"SELECT oid, functions, blocks, top FROM (SELECT oid, count(DISTINCT faddr) AS functions, count(DISTINCT (faddr, block)) AS blocks FROM blocked GROUP BY oid) JOIN (SELECT oid, list(mnemonic ORDER BY rank) AS top FROM ({TOP}) WHERE rank <= 3 GROUP BY oid) USING (oid)")
+@query("a16_file_statistics", "blocked instructions", f"SELECT oid, functions, blocks, listed, top FROM (SELECT oid, count(DISTINCT faddr) AS functions, count(DISTINCT (faddr, block)) AS blocks, list_sort(list(DISTINCT faddr)) AS listed FROM blocked GROUP BY oid) JOIN (SELECT oid, list(mnemonic ORDER BY rank) AS top FROM ({TOP}) WHERE rank <= 10 GROUP BY oid) USING (oid)")
 def _(t: Bound) -> DataFrame:
-    shape = t.blocked.groupBy("oid").agg(F.count_distinct("faddr").alias("functions"), F.count_distinct("faddr", "block").alias("blocks"))
-    best = windows.top_in(t.instructions.groupBy("oid", "mnemonic").agg(F.count(F.lit(1)).alias("n")), ["oid"], [F.desc("n"), "mnemonic"], 3)
+    shape = t.blocked.groupBy("oid").agg(F.count_distinct("faddr").alias("functions"), F.count_distinct("faddr", "block").alias("blocks"), F.array_sort(F.collect_set("faddr")).alias("listed"))
+    best = windows.top_in(t.instructions.groupBy("oid", "mnemonic").agg(F.count(F.lit(1)).alias("n")), ["oid"], [F.desc("n"), "mnemonic"], 10)
     listed = best.groupBy("oid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "mnemonic"))), lambda x: x.mnemonic).alias("top"))
     return shape.join(listed, "oid", "left")
 
 
+@query("a16_object_statistics", "objects names sections", "SELECT oid, size, sections, parts, names FROM objects JOIN (SELECT oid, count(*) AS sections, list(name ORDER BY start, name) AS parts FROM sections GROUP BY oid) USING (oid) JOIN (SELECT oid, list_sort(list(DISTINCT name)) AS names FROM names GROUP BY oid) USING (oid)")
+def _(t: Bound) -> DataFrame:
+    """Of every object its size, names and sections."""
+    parts = t.sections.groupBy("oid").agg(F.count(F.lit(1)).alias("sections"), F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]).alias("parts"))
+    named = t.names.groupBy("oid").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return t.objects.select("oid", "size").join(parts, "oid").join(named, "oid").select("oid", "size", "sections", "parts", "names")
+
+
 @query("a17_file_vector", "blocked", "SELECT oid, [count(DISTINCT faddr), count(DISTINCT (faddr, block)), count(*), count(*) FILTER (mnemonic = 'purchase')] AS vector FROM blocked GROUP BY oid")
 def _(t: Bound) -> DataFrame:
     return t.blocked.groupBy("oid").agg(F.array(F.count_distinct("faddr"), F.count_distinct("faddr", "block"), F.count(F.lit(1)), F.count_if(F.col("mnemonic") == "purchase")).alias("vector"))
@@ -162,6 +170,13 @@ def _(t: Bound) -> DataFrame:
     return t.imports.groupBy("oid").agg(F.count_distinct("library").alias("libraries"), F.count(F.lit(1)).alias("functions"))
 
 
+@query("a24_header_shapes", "objects sections", TYPED + "SELECT oid, any_value(size) AS size, any_value(types[1]) AS type, count(*) AS sections, sum(len)::BIGINT AS bytes FROM typed JOIN sections USING (oid) GROUP BY oid")
+def _(t: Bound) -> DataFrame:
+    """Sections, size and type of every object."""
+    held = t.sections.groupBy("oid").agg(F.count(F.lit(1)).alias("sections"), F.sum("len").alias("bytes"))
+    return typed(t).join(held, "oid").select("oid", "size", F.array_min("types").alias("type"), "sections", "bytes")
+
+
 @query("a25_class_counts", "", "SELECT o_orderstatus AS class, sum(n)::BIGINT AS n FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) WHERE o_orderstatus <> 'P' GROUP BY 1")
 def _(t: Bound) -> DataFrame:
     per = t.raw("orders").groupBy("o_custkey", F.col("o_orderstatus").alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -200,11 +200,24 @@ def _(t: Bound) -> DataFrame:
     return joins.in_truth(e.select("event_id", F.col("user_id").alias("addr"), F.col("event_type").alias("oid")), truth).select("event_id")
 
 
-@query("j19_component_inference", "", "SELECT r_name AS region, n_name AS component, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0 GROUP BY ALL")
+@query("j19_component_inference", "", "SELECT r_name AS category, n_name AS component, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0 GROUP BY ALL")
 def _(t: Bound) -> DataFrame:
-    """Found components mapped through the reference tables."""
-    found = t.raw("supplier").where("s_acctbal > 0")
-    return found.join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("component")).agg(F.count(F.lit(1)).alias("suppliers"))
+    return joins.inferred(found_components(t, 0), places(t))
+
+
+@query("j19_possible_components", "", "SELECT r_name AS category, n_name AS component FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey IN (SELECT n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9900)")
+def _(t: Bound) -> DataFrame:
+    """All components of the categories of which the richest suppliers show one."""
+    return joins.inferred(found_components(t, 9900), places(t), "possible")
+
+
+def places(t: Bound) -> DataFrame:
+    return t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("component"), F.col("r_name").alias("category"))
+
+
+def found_components(t: Bound, above: float) -> DataFrame:
+    """The nation of every supplier with so much money."""
+    return t.raw("supplier").where(F.col("s_acctbal") > above).join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("component"))
 
 
 @query("j20_feature_tree", "blocked", "SELECT oid, faddr, count(DISTINCT block) AS blocks, count(*) AS instructions, list_sort(list(DISTINCT mnemonic)) AS features FROM blocked GROUP BY oid, faddr")

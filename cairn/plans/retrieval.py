@@ -204,6 +204,18 @@ def _(t: Bound) -> DataFrame:
     return t.instructions.groupBy("faddr").agg(F.when(F.count(F.lit(1)) > 5, F.sha1(joined)).alias("hash"), (4 * F.count(F.lit(1))).alias("bytes"))
 
 
+@query("c9_lifted_functions", "instructions", """
+WITH lines AS (SELECT faddr, "offset", mnemonic, '0x' || lpad(lower(hex(operand * 65536)), 8, '0') AS address FROM instructions),
+first AS (SELECT faddr, address, row_number() OVER (PARTITION BY faddr ORDER BY min("offset")) AS i FROM lines WHERE address IS NOT NULL GROUP BY faddr, address)
+SELECT faddr, string_agg(mnemonic || CASE WHEN address IS NULL THEN '' ELSE ' 0x' || lpad(i::VARCHAR, 8, '0') END, chr(10) ORDER BY "offset") AS body FROM lines LEFT JOIN first USING (faddr, address) GROUP BY faddr""")
+def _(t: Bound) -> DataFrame:
+    """Functions as text, their addresses lifted to numbers in order of first appearance."""
+    address = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.col("operand") * 65536)), 8, "0"))
+    lines = t.instructions.select("faddr", "offset", F.concat_ws(" ", "mnemonic", address).alias("text"))
+    shown = F.array_sort(F.collect_list(F.struct("offset", "text")))
+    return text.lifted(lines, ["faddr"], "offset").groupBy("faddr").agg(F.array_join(F.transform(shown, lambda x: x.text), "\n").alias("body"))
+
+
 @query("c10_section_hash", "sections objects", "SELECT s.oid, s.name, CASE WHEN s.len > 0 THEN sha256(substr(hex(encode(o.text)), (2 * s.start + 1)::BIGINT, (2 * s.len)::BIGINT)) ELSE '0' END AS hash FROM sections s JOIN objects o USING (oid)")
 def _(t: Bound) -> DataFrame:
     """Of the hexadecimal digits, so that SQL engines without binary hashes can check it."""
@@ -318,6 +330,16 @@ def _(t: Bound) -> DataFrame:
     return surface.extractor(t.contents.select("oid", "data"), lambda data: {"chars": len(bytes(data).decode())}, "chars long")
 
 
+@query("u3_set_analyzer", "members objects", "SELECT substr(oid, 1, 1) AS first, count(*) AS n, sum(size)::BIGINT AS total FROM objects WHERE oid IN (SELECT oid FROM members WHERE name = 'src2') AND size > 500 GROUP BY 1")
+def _(t: Bound) -> DataFrame:
+    """A set of ids and options in, a result out that nothing stores."""
+    sizes = surface.SetAnalyzer(
+        lambda ids, o: t.objects.join(ids, "oid", "left_semi").where(F.col("size") > o["least"]).groupBy(F.substring("oid", 1, 1).alias("first")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")),
+        {"least": ("long", True, 0)},
+    )
+    return sizes(t.members.where("name = 'src2'"), {"least": "500"})
+
+
 @query("u4_options", "objects", "SELECT oid, 1000::BIGINT AS least, size FROM objects WHERE size > 1000")
 def _(t: Bound) -> DataFrame:
     """An operator's options: coerced, filled with defaults, and columns of the result where they are part of its key."""
