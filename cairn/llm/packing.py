@@ -54,6 +54,8 @@ class WordIds:
         return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(AS_PRINTED))]).tobytes()
 
     def word(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self.matches[text.lower()]
         # Plain Latin text without apostrophes falls into letters, single digits and the rest.
         if LATIN(text):
             return b"".join(map(self.matches.__getitem__, MATCH(unicodedata.normalize("NFC", text).lower())))
@@ -61,10 +63,9 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text; the strings of the vocabulary's added tokens are these tokens, as they are for the library."""
-        parts = self.parts(text)
-        if len(parts) == 1:
+        if not any(x in text for x in self.added):
             return self.plain(text)
-        return b"".join([self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(parts)])
+        return b"".join([self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(self.parts(text))])
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
