@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.graph import _least, checkpointed
+from cairn.operators.joins import numbered
+from cairn.operators.sets import running
+
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -24,14 +28,24 @@ def survival(df: DataFrame, time: str, event: str, columns: list[str]) -> DataFr
 def concordance(df: DataFrame, time: str, event: str, predicted: str) -> DataFrame:
     """Share of comparable pairs in the right order, ties half: where an observed time is shorter, the prediction should be, too.
 
-    Rows are first counted by (time, event, prediction), so the inequality join is over distinct values.
+    No pair is made. The places of two times in their order share their upper bits down to one where the shorter time has 0
+    and the longer 1; so each row goes into one group for every bit, and running totals along the predictions of a group
+    count the pairs that part there. A null time is in no pair; a null prediction is in pairs, but never in the right order.
     """
-    counts = df.groupBy(F.col(time).alias("t"), F.col(event).alias("e"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    other = counts.select(F.col("t").alias("t2"), F.col("p").alias("p2"), F.col("n").alias("n2"))
-    pairs = counts.where("e = 1").join(other, F.col("t") < F.col("t2"))
-    w = (F.col("n") * F.col("n2")).cast("double")
-    right = F.sum(w * F.when(F.col("p") < F.col("p2"), 1.0).when(F.col("p") == F.col("p2"), 0.5).otherwise(0.0))
-    return pairs.agg(F.round(right / F.sum(w), 6).alias("concordance"), F.sum(w).cast("long").alias("pairs"))
+    counts = df.where(F.col(time).isNotNull()).groupBy(F.col(time).alias("t"), (F.col(event) == 1).alias("e"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(counts)
+    places = numbered(counts.select("t").distinct(), ["t"], "place")
+    bits = int(places.agg(F.max("place")).first()[0] or 1).bit_length()
+    rows = counts.join(places, "t").select("e", "p", "n", "place", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    upper = rows.withColumn("longer", F.expr("shiftright(place, bit) & 1") == 1).withColumn("upper", F.expr("shiftright(place, bit + 1)"))
+    short, long = F.when(~F.col("longer") & F.col("e"), F.col("n")).otherwise(0), F.when(F.col("longer"), F.col("n")).otherwise(0)
+    sides = checkpointed(upper.groupBy("bit", "upper", "p").agg(F.sum(short).alias("short"), F.sum(long).alias("long")))
+    pairs = sides.groupBy("bit", "upper").agg((F.sum("short").cast("double") * F.sum("long")).alias("pairs")).agg(F.sum("pairs").alias("pairs"))
+    along = running(sides.where("p IS NOT NULL"), ["bit", "upper"], "p", {"so_far": "short"})
+    right = along.agg(F.sum(F.col("long") * (F.col("so_far") - F.col("short") / 2)).alias("right"))
+    both = pairs.unionByName(right, allowMissingColumns=True).agg(F.max("pairs").alias("pairs"), F.coalesce(F.max("right"), F.lit(0.0)).alias("right"))
+    some = F.when(F.col("pairs") > 0, F.col("pairs"))
+    return both.select(F.round(F.col("right") / some, 6).alias("concordance"), some.cast("long").alias("pairs"))
 
 
 def density_clusters(points: DataFrame, columns: list[str], eps: float, least: int, key: str = "id") -> DataFrame:
@@ -47,8 +61,6 @@ def density_clusters(points: DataFrame, columns: list[str], eps: float, least: i
         around = around.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"h{i}") + d for d in (-1, 0, 1)])))
     near = own.join(around, [f"g{i}" for i in range(len(columns))])
     distance = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in columns)
-    from cairn.operators.graph import _least, checkpointed
-
     pairs = checkpointed(near.where(distance <= eps * eps).select("a", "b"))
     core = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("node"))
     core = checkpointed(core)

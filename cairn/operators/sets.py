@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import cid_of
+from cairn.operators.graph import checkpointed
 
 
 def collection(ids: DataFrame, name: str, notes: str = "") -> DataFrame:
@@ -83,33 +84,77 @@ def jaccard_distance(a, b):
     return F.when(union_size == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(a, b)) / union_size)
 
 
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """df sorted in ranges, and written, with __part: the number of a row's range. Rows that are equal in the order share a range."""
+    return checkpointed(df.orderBy(*order).withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 33)))
+
+
+def _carried(rows: DataFrame, by: list[str], ends: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+    """Placed rows with what a group's other ranges tell: ends sums a range's part of a group up in one row, carry looks from there along the group's ranges."""
+    parts = rows.groupBy("__part", *by).agg(*[x.alias(c) for c, x in ends.items()])
+    told = parts.select(F.col("__part").alias("__of"), *[F.col(c).alias(f"__by_{c}") for c in by], *[x.alias(c) for c, x in carry.items()])
+    same = F.col("__part") == F.col("__of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return rows.join(told, same).drop("__of", *[f"__by_{c}" for c in by])
+
+
+def _along(by: list[str]) -> WindowSpec:
+    """A group's ranges in their order: one row for each, so that the window stays small however many rows the group has."""
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part")
+
+
+def running(df: DataFrame, by: list[str], order: str, totals: dict[str, str]) -> DataFrame:
+    """df with running totals (name: column) up to each row in its group, and __next: the order's value in the row after it.
+
+    The order is unique in a group. A group may fill many ranges: totals run within a range, and what the ranges before it hold is added.
+    """
+    within, along = Window.partitionBy("__part", *by).orderBy(order), _along(by)
+    ends = {f"__sum_{c}": F.sum(c) for c in totals.values()} | {"__first": F.min(order)}
+    carry = {f"__carry_{c}": F.coalesce(F.sum(f"__sum_{c}").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in totals.values()}
+    rows = _carried(placed(df, [*by, order]), by, ends, carry | {"__later": F.lead("__first").over(along)})
+    sums = [(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__carry_{c}")).alias(name) for name, c in totals.items()]
+    return rows.select(*df.columns, *sums, F.coalesce(F.lead(order).over(within), F.col("__later")).alias("__next"))
+
+
+def _united(spans: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """(by, start, end): spans of a group as one where a span starts at most gap after the furthest end before it.
+
+    Runs are made within ranges of the sorted spans first; of these, the ones that the ends in earlier ranges reach begin no run of their own.
+    """
+    order, along = Window.partitionBy("__part", *by).orderBy("start", "end"), _along(by)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed(spans.select(*by, "start", "end"), [*by, "start", "end"])
+    begins = lambda reach: F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(0))
+    runs = rows.withColumn("__new", begins(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))).withColumn("__run", F.sum("__new").over(order))
+    runs = checkpointed(runs.groupBy("__part", *by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")))
+    runs = _carried(runs, by, {"__last": F.max("end")}, {"__reach": F.max("__last").over(before)}).withColumn("__new", begins(F.col("__reach")))
+    # without ends before it, a range's first run begins its group, and the others follow it
+    runs = runs.withColumn("__new", F.when(F.col("__reach").isNull() & (F.col("__run") > 0), 1).otherwise(F.col("__new")))
+    runs = _carried(runs, by, {"__n": F.sum("__new")}, {"__before": F.coalesce(F.sum("__n").over(before), F.lit(0))})
+    every = F.sum("__new").over(Window.partitionBy("__part", *by).orderBy("__run")) + F.col("__before")
+    return runs.withColumn("__all", every).groupBy(*by, "__all").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__all")
+
+
 def ranges(offsets: DataFrame, by: list[str], gap: int = 8) -> DataFrame:
-    """(by, start, end): runs of offsets in which none is more than gap after the one before."""
-    order = Window.partitionBy(*by).orderBy("offset") if by else Window.partitionBy(F.lit(0)).orderBy("offset")
-    new = F.coalesce((F.col("offset") - F.lag("offset").over(order) > gap).cast("int"), F.lit(0))
-    runs = offsets.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
-    return runs.groupBy(*by, "__run").agg(F.min("offset").alias("start"), F.max("offset").alias("end")).drop("__run")
+    """(by, start, end): runs of offsets in which none is more than gap after the one before. Nulls count for nothing; a group of nulls only has a run of nulls."""
+    return _united(offsets.select(*by, F.col("offset").alias("start"), F.col("offset").alias("end")), by, gap)
 
 
 def merged(intervals: DataFrame, by: list[str]) -> DataFrame:
     """The union of half-open intervals [start, end) in each group."""
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = intervals.withColumn("__new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0))).withColumn("__run", F.sum("__new").over(order))
-    return runs.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    return _united(intervals, by, 0)
 
 
 def gaps(intervals: DataFrame, by: list[str]) -> DataFrame:
     """Between the merged intervals of a group: the stretches that none covers."""
-    order = Window.partitionBy(*by).orderBy("start")
-    return merged(intervals, by).withColumn("__next", F.lead("start").over(order)).where("`__next` > `end`").select(*by, F.col("end").alias("start"), F.col("__next").alias("end"))
+    return running(merged(intervals, by), by, "start", {}).where("`__next` > `end`").select(*by, F.col("end").alias("start"), F.col("__next").alias("end"))
 
 
 def subtracted(keep: DataFrame, cut: DataFrame, by: list[str]) -> DataFrame:
     """The parts of keep's half-open intervals that no interval of cut covers, by a sweep over end points with counts of open ones."""
     ends = lambda df, k, c: df.select(*by, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*by, "e.at", (F.col("e.d") * k).alias("k"), (F.col("e.d") * c).alias("c"))
     points = ends(keep, 1, 0).unionByName(ends(cut, 0, 1)).groupBy(*by, "at").agg(F.sum("k").alias("k"), F.sum("c").alias("c"))
-    order = Window.partitionBy(*by).orderBy("at")
-    swept = points.withColumn("open", F.sum("k").over(order)).withColumn("closed", F.sum("c").over(order)).withColumn("end", F.lead("at").over(order))
-    pieces = swept.where("open > 0 AND closed = 0 AND `end` IS NOT NULL").select(*by, F.col("at").alias("start"), "end")
+    swept = running(points, by, "at", {"open": "k", "closed": "c"})
+    pieces = swept.where("open > 0 AND closed = 0 AND `__next` IS NOT NULL").select(*by, F.col("at").alias("start"), F.col("__next").alias("end"))
     return merged(pieces, by)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as c
-from cairn.operators import aggregates, filters, graph, joins, sets, surface, windows
+from cairn.operators import aggregates, filters, graph, joins, models, sets, surface, windows
 from cairn.sources import files
 
 relaxed = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -236,6 +236,65 @@ def test_numbers_over_ranges(spark):
     assert joins.numbered(spark.createDataFrame([], "x long"), ["x"]).count() == 0
 
 
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small tables are sorted in one range
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_sweeps_over_ranges(spark, many_ranges, by):
+    rnd = random.Random(7)
+    offsets = [(rnd.choice("aab"), rnd.randrange(6000)) for _ in range(1500)] + [("a", None), ("a", 17), ("a", 17), ("c", None), (None, 5), (None, 11), (None, 40)]
+    spans = [(g, a, a + rnd.randrange(1, 30)) for g, a in offsets[:300]] + [("a", 1000, 4000), (None, 5, 9), (None, 7, 20), (None, 30, 31)]
+    cut = [(g, a, a + 7) for g, a in offsets[300:600]] + [(None, 8, 12)]
+    groups = {g for g, _ in offsets} if by else {0}
+    of = lambda rows, g: [r[1:] for r in rows if not by or r[0] == g]
+    frame = lambda rows: spark.createDataFrame(rows, "g string, start long, end long")
+    got = lambda df: sorted(((r["g"] if by else 0, r["start"], r["end"]) for r in df.collect()), key=repr)
+    want_runs, want_merged, want_gaps, want_left = [], [], [], []
+    for g in groups:
+        runs = []
+        for (x,) in sorted(of(offsets, g), key=lambda r: -1 if r[0] is None else r[0]):
+            if runs and (x is None or runs[-1][1] is None or x - runs[-1][1] <= 8):
+                runs[-1] = (x if runs[-1][0] is None else runs[-1][0], x if x is not None else runs[-1][1])
+            else:
+                runs.append((x, x))
+        want_runs += [(g, a, b) for a, b in runs]
+        union = []
+        for a, b in sorted(of(spans, g)):
+            if union and a <= union[-1][1]:
+                union[-1] = (union[-1][0], max(b, union[-1][1]))
+            else:
+                union.append((a, b))
+        want_merged += [(g, a, b) for a, b in union]
+        want_gaps += [(g, x[1], y[0]) for x, y in zip(union, union[1:], strict=False)]
+        left = sorted({p for a, b in of(spans, g) for p in range(a, b)} - {p for a, b in of(cut, g) for p in range(a, b)})
+        firsts = [p for i, p in enumerate(left) if not i or left[i - 1] != p - 1]
+        lasts = [p + 1 for i, p in enumerate(left) if i + 1 == len(left) or left[i + 1] != p + 1]
+        want_left += [(g, a, b) for a, b in zip(firsts, lasts, strict=True)]
+    points = spark.createDataFrame(offsets, "g string, offset long")
+    assert sets.placed(points, [*by, "offset"]).select("__part").distinct().count() > 3
+    assert got(sets.ranges(points, by)) == sorted(want_runs, key=repr)
+    assert got(sets.merged(frame(spans), by)) == sorted(want_merged, key=repr)
+    assert got(sets.gaps(frame(spans), by)) == sorted(want_gaps, key=repr)
+    assert got(sets.subtracted(frame(spans), frame(cut), by)) == sorted(want_left, key=repr)
+    nothing = frame([])
+    assert not sets.subtracted(nothing, nothing, by).count() and sets.subtracted(frame(spans), nothing, by).count() == len(want_merged)
+
+
+def test_concordance_against_all_pairs(spark, many_ranges):
+    rnd = random.Random(8)
+    schema = "time double, event int, predicted double"
+    some = lambda n, k: [(float(rnd.randrange(k)), rnd.randrange(2), float(rnd.randrange(k))) for _ in range(n)]
+    for rows in (some(300, 40), some(200, 2), [(None, 1, 1.0), (1.0, None, 2.0), (0.5, 1, None), (0.25, 1, 3.0), (2.0, 1, 2.0)], [(1.0, 1, 1.0)] * 3, []):
+        pairs = [(a[2], b[2]) for a in rows for b in rows if a[1] == 1 and a[0] is not None and b[0] is not None and a[0] < b[0]]
+        right = sum(0 if p is None or q is None else 1 if p < q else 0.5 if p == q else 0 for p, q in pairs)
+        got = models.concordance(spark.createDataFrame(rows, schema), "time", "event", "predicted").collect()
+        assert [tuple(r) for r in got] == [(round(right / len(pairs), 6), len(pairs)) if pairs else (None, None)]
+
+
 def test_strong_components_both_ways(spark, monkeypatch):
     rnd = random.Random(5)
     edges = [(g, rnd.randrange(12), rnd.randrange(12)) for g in range(4) for _ in range(10 + 6 * g)]
