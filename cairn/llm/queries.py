@@ -101,6 +101,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op12_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by certain cuts, and their decoding, as digests."""
+    import public_tokenizers
+
+    from cairn.llm.forced_bpe import encode
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -112,5 +128,6 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op12_forced_bpe": op12_forced_bpe,
 }
 ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op7_url_lists": url_lists.ORACLE}
