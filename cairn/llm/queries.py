@@ -101,6 +101,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with the links' counts over all documents."""
+    import public_tokenizers
+
+    from cairn.llm.alignment import aligned, linked
+    from cairn.llm.common import written
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    table = written(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return linked(table).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by certain cuts, and their decoding, as digests."""
     import public_tokenizers
@@ -128,6 +142,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_alignment": op11_alignment,
     "op12_forced_bpe": op12_forced_bpe,
 }
 ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op7_url_lists": url_lists.ORACLE}
