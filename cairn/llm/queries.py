@@ -131,6 +131,13 @@ def op12_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector on the 32 first principal components, with unit variances."""
+    from cairn.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), "embedding", keep=("vec_id",), components=32)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -144,5 +151,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
     "op12_forced_bpe": op12_forced_bpe,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op7_url_lists": url_lists.ORACLE}
