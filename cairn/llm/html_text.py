@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg canvas object".split())
 LEFT_OUT = frozenset("nav footer aside form button select dialog menu head audio video datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-CLASSES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist reply replies respond disqus share sharing social related recommended sidebar newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices notification popup modal overlay breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar widget widgets".split())
+CLASSES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion share sharing social related recommended sidebar newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices notification popup modal overlay breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar widget widgets".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 OUTER_CLASSES = frozenset("header masthead topbar footer footnav copyright banner alert skip".split())
+#: Telling words that also name a page's main part at times; with these alone, the size of the part counts.
+WEAK = OUTER_CLASSES | frozenset("widget widgets modal popup overlay notice notices notification promo promotion menu toolbar related recommended social share sharing".split())
+#: Words that say no more than that something is a part of a page, or what kind of part.
+PARTS = frozenset("area bar block bottom box btn button buttons column container content form global group icon icons inner item items left link links list main message module nav outer overlay page panel post posts primary right row section secondary site strip text thread title top unit widget widgets wrap wrapper".split())
 CLOSES_P = BLOCKS - frozenset("br button option select textarea body html head title tbody td tfoot th thead tr caption".split())
 #: Tag -> those that its start closes, up to the nearest of the limits.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -71,17 +78,24 @@ def tag_end(page: str, start: int, dead: set[int]) -> int:
 
 
 class Frame:
-    __slots__ = ("tag", "start", "drop", "parts", "inner")
+    __slots__ = ("tag", "start", "drop", "soft", "parts", "inner")
 
-    def __init__(self, tag: str, start: int, drop: bool, inner: bool, name: str):
-        self.tag, self.start, self.drop, self.inner, self.parts = tag, start, drop, inner, [name]
+    def __init__(self, tag: str, start: int, drop: bool, soft: str, inner: bool, name: str):
+        self.tag, self.start, self.drop, self.soft, self.inner, self.parts = tag, start, drop, soft, inner, [name]
 
 
-def described(attributes: str) -> tuple[str, set[str], bool]:
-    """Of an element: its class, id and role as written, their words, whether it is hidden; by the names of its attributes, whose first value counts."""
+def telling(name: str) -> set[str]:
+    """The telling words of a class or id, of which every word is telling or a word for a part: sidebar-left and cookieNotice tell, has-sidebar and share-price don't."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    found = words & (CLASSES | COMMENTS | OUTER_CLASSES)
+    return found if found and words <= CLASSES | COMMENTS | OUTER_CLASSES | PARTS else set()
+
+
+def described(attributes: str) -> tuple[str, set[str], set[str], bool]:
+    """Of an element: its class, id and role as written, the telling words of its classes and id, its roles, whether it is hidden; by the names of its attributes, whose first value counts."""
     if not attributes or not TELLING(attributes):
-        return "", set(), False
-    written_as, words, hidden, met = [], set(), False, set()
+        return "", set(), set(), False
+    written_as, words, roles, hidden, met = [], set(), set(), False, set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in met:
@@ -89,32 +103,41 @@ def described(attributes: str) -> tuple[str, set[str], bool]:
         met.add(name)
         if name in ("class", "id", "role"):
             written_as.append(value)
-            words |= {"role:" + w for w in value.lower().split()} if name == "role" else {w.lower() for w in WORDS.findall(value)}
+            if name == "role":
+                roles = set(value.lower().split())
+            else:
+                for token in value.split():
+                    words |= telling(token)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN(value):
             hidden = True
-    return " ".join(written_as), words, hidden
+    return " ".join(written_as), words, roles, hidden
 
 
 def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: set[int] | None = None) -> str:
     """The page's main text without the subtrees in template; seen gets the hashes of subtrees that could be one.
 
     Elements that were never closed end with what holds them, as browsers read them. Subtrees
-    within an article are not taken for a template, so a passage that many articles quote stays.
-    The articles are the main text where they hold at least half of what is left of the page; else, as where an article is a mere
-    teaser, all that is left is. Attributes count by their names, so no word of a link or a title hides its element.
+    within an article are not taken for a template, so a passage that many articles quote stays. Attributes count by their names, so
+    no word of a link or a title hides its element. What a class or id tells is weighed once the page is read, see kept().
+    A main element with text is the main text. Else the articles are, unless a single block outside them is longer
+    than they are together, as where an article is a mere teaser; else all that is left is. Work grows with the length of the page.
     """
     import xxhash
 
     out: list[str] = []
-    articles: list[tuple[int, int]] = []
-    stack = [Frame("#", 0, False, False, "")]
-    is_open: Counter = Counter()
+    articles: list[tuple[int, int, bool]] = []  # outermost ones: from, to, whether it is a main
+    told: list[tuple[int, int, str]] = []  # what classes tell: from, to, kind
+    stack = [Frame("#", 0, False, "", False, "")]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by name
+    menus: list[int] = []  # places of what an article's start ends
     depth = 0  # of articles
 
     def close() -> None:
         nonlocal depth
         f = stack.pop()
-        is_open[f.tag] -= 1
+        places[f.tag].pop()
+        if menus and menus[-1] == len(stack):
+            menus.pop()
         digest = xxhash.xxh64_intdigest("\x00".join(f.parts).encode("utf-8", "surrogatepass")) >> 1
         stack[-1].parts.append(str(digest))
         if f.tag in ("article", "main"):
@@ -126,20 +149,21 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: se
             del out[f.start :]
             while articles and articles[-1][1] > f.start:
                 articles.pop()
-        elif f.tag in ("article", "main") and depth == 0:
-            articles.append((f.start, len(out)))
+            while told and told[-1][1] > f.start:
+                told.pop()
+        else:
+            if f.tag in ("article", "main") and depth == 0:
+                articles.append((f.start, len(out), f.tag == "main"))
+            if f.soft:
+                told.append((f.start, len(out), f.soft))
         if f.tag in BLOCKS:
             out.append(" ")
 
     def close_through(tags: tuple[str, ...], limits: frozenset[str]) -> None:
         """Close the outermost of tags that is open above the nearest limit."""
-        at = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                at = i
-            elif stack[i].tag in limits:
-                break
-        while at and len(stack) > at:
+        limit = max((places[t][-1] for t in limits if places[t] and t not in tags), default=0)
+        found = [own[i] for t in tags if (own := places[t]) and (i := bisect_right(own, limit)) < len(own)]
+        while found and len(stack) > min(found):
             close()
 
     at, end = 0, len(page)
@@ -159,7 +183,7 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: se
         if not tag:
             continue
         if m[1] or m[4]:
-            if is_open[tag] > 0:
+            if places[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -181,31 +205,77 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), seen: se
                 out.append(" ")
             continue
         if tag in ("article", "main"):  # ends a menu or advert that was never closed
-            for i in range(1, len(stack)):
-                if stack[i].drop and stack[i].tag in ("nav", "header", "head", "div", "section", "footer"):
-                    while len(stack) > i:
-                        close()
-                    break
-        if tag in CLOSES_P and is_open["p"] > 0:
+            while menus:
+                close()
+        if tag in CLOSES_P and places["p"]:
             close_through(("p",), LIMITS)
-        if tag in CLOSES and any(is_open[t] > 0 for t in CLOSES[tag]):
+        if tag in CLOSES and any(places[t] for t in CLOSES[tag]):
             close_through(CLOSES[tag], LIMITS - frozenset(CLOSES[tag]))
-        name, words, hidden = described(attributes or "")
+        name, words, roles, hidden = described(attributes or "")
         inner = stack[-1].inner or stack[-1].tag in ("article", "main")
-        left_out = tag in LEFT_OUT or hidden or tag == "header" and not inner or bool(words & CLASSES) or not inner and bool(words & OUTER_CLASSES) or any(w[5:] in ROLES for w in words if w.startswith("role:"))
+        drop = tag not in ("html", "body", "main") and (tag in LEFT_OUT or hidden or tag == "header" and not inner or bool(roles & ROLES))
+        soft = ""
+        if words and tag not in ("html", "body", "main"):
+            words -= OUTER_CLASSES if inner else set()
+            soft = "sure" if words - WEAK else "weak" if words else ""
         if tag in BLOCKS:
             out.append(" ")
-        stack.append(Frame(tag, len(out), left_out and tag not in ("html", "body", "main"), inner, f"{tag}.{name}"))
-        is_open[tag] += 1
+        stack.append(Frame(tag, len(out), drop, soft, inner, f"{tag}.{name}"))
+        places[tag].append(len(stack) - 1)
+        if drop and not menus and tag in ("nav", "header", "head", "div", "section", "footer"):
+            menus.append(len(stack) - 1)
         if tag in ("article", "main"):
             depth += 1
     while len(stack) > 1:
         close()
-    whole = " ".join("".join(out).split())
-    if not articles:
-        return whole
-    text = " ".join(" ".join("".join(out[a:b]) for a, b in articles).split())
-    return text if 2 * len(text) >= len(whole) else whole
+    out = kept(out, articles, told)
+    text = lambda parts: " ".join("".join(parts).split())
+    main = text(x for a, b, is_main in articles if is_main for x in out[a:b])
+    if main:
+        return main
+    own = text(x for a, b, _ in articles for x in out[a:b])
+    if own:
+        longest = size = at = 0
+        for a, b in [*((a, b) for a, b, _ in articles), (len(out), len(out))]:
+            for x in out[at:a]:
+                size = size + len(x) if x != " " else 0
+                longest = max(longest, size)
+            size, at = 0, b
+        if len(own) >= longest:
+            return own
+    return text(out)
+
+
+def kept(out: list[str], articles: list[tuple[int, int, bool]], told: list[tuple[int, int, str]]) -> list[str]:
+    """out with nothing in place of what classes tell to leave out; of nested ones the outermost is looked at first.
+
+    What lies outside the articles goes, where they have text. What holds all articles that have text stays. Else, and within an
+    article, what is surely told, as comments, goes, and other parts go where they have no more than half of the text of the page or of the article.
+    """
+    if not told:
+        return out
+    sizes = list(accumulate((len(x.strip()) for x in out), initial=0))
+    starts, ends = [a for a, _, _ in articles], [b for _, b, _ in articles]
+    own = list(accumulate((sizes[b] - sizes[a] for a, b, _ in articles), initial=0))
+    out, done = list(out), 0
+    for a, b, kind in sorted(told, key=lambda x: (x[0], -x[1])):
+        if a < done:
+            continue
+        inside = sizes[b] - sizes[a]
+        first, last = bisect_left(starts, a), bisect_right(ends, b)
+        around = bisect_right(starts, a) - 1
+        if around >= 0 and ends[around] >= b and (articles[around][0], articles[around][1]) != (a, b):
+            whole = sizes[ends[around]] - sizes[starts[around]]
+            gone = kind == "sure" or 2 * inside <= whole
+        elif own[-1]:
+            held = own[last] - own[first] if last > first else 0
+            gone = held < own[-1]
+        else:
+            gone = kind == "sure" or 2 * inside <= sizes[-1]
+        if gone:
+            out[a:b] = [""] * (b - a)
+            done = b
+    return out
 
 
 def host(url: str = "url") -> Column:
