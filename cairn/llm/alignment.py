@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -69,22 +70,16 @@ def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, in
     return out
 
 
-class Unit:
-    """What a stretch of text has: its groups written out, the tokens of both sides, groups, and its linked pairs with repeats."""
-
-    __slots__ = ("text", "n_a", "n_b", "n_groups", "pairs")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]):
-        parts, pairs = [], array("q")
-        for i, j, k, m in groups(ends_a, ends_b):
-            parts.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
-            while True:  # within a group neighbours overlap until both end
-                pairs.append(a[i] << SIDE | b[k])
-                end_a, end_b = ends_a[i], ends_b[k]
-                i, k = i + (end_a <= end_b), k + (end_b <= end_a)
-                if i == j or k == m:
-                    break
-        self.text, self.n_a, self.n_b, self.n_groups, self.pairs = ";".join(parts), len(a), len(b), len(parts), pairs
+def linked_pairs(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[int]:
+    """Every pair of ids whose tokens overlap within a group, in order: neighbours overlap until both sides end."""
+    if len(a) == 1 or len(b) == 1:
+        return [x << SIDE | y for x in a for y in b]
+    pairs, i, k = [], 0, 0
+    while i < len(a) and k < len(b):
+        pairs.append(a[i] << SIDE | b[k])
+        end_a, end_b = ends_a[i], ends_b[k]
+        i, k = i + (end_a <= end_b), k + (end_b <= end_a)
+    return pairs
 
 
 class Aligner:
@@ -96,56 +91,70 @@ class Aligner:
         self.a = ForcedCodec(path_a, pattern_a, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.size_a = {i: len(x) for i, x in self.a.data.items()}
+        self.size_a = [len(self.a.data.get(i, b"")) for i in range(max(self.a.data) + 1)]
         self.data_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)]
-        # White space that begins a stretch: nothing of either vocabulary reaches across the place before it.
-        reached = {x[i].replace(MARK, " ") for n, x in enumerate(pieces) if not self.b.is_byte(n) for i in range(1, len(x)) if x[i].replace(MARK, " ") != x[i - 1].replace(MARK, " ")}
-        certain = "".join(c for c in self.a.certain if c not in reached)
+        self.size_b = list(map(len, self.data_b))
+        inside = {x[i : i + 2].replace(MARK, " ") for n, x in enumerate(pieces) if not self.b.is_byte(n) for i in range(len(x) - 1)}
+        reached = {p[1] for p in inside if p[0] != p[1]}
+        self.stretches = re.compile(self.shared_cuts("".join(c for c in self.a.certain if c not in reached), inside)).findall
+        #: What is put before a stretch that begins otherwise than by a blank, so that the blank of the library's own stays apart.
+        self.before = self.b.encode("\n") if not any("\n" in p for p in inside) else None
         self.blank = [i for i, x in enumerate(pieces) if x == MARK]
-        self.stretches = re.compile(cut_before(certain, self.a.uncertain)).findall
-        self.known = Memo(self.unit, CACHE_ENTRIES)
-
-    def unit(self, text: str) -> Unit | bool:
-        """False where the tokens of one side do not give the text back."""
-        a = np.frombuffer(self.a.plain(text), "<u4").tolist()
-        if text.startswith(" "):  # the library gives nothing for no text, not even its blank
-            b = self.b.encode(text[1:], num_threads=1) if text != " " else self.blank
-        else:  # the blank that the library puts first is not this text's
-            b = self.b.encode(text, num_threads=1)
-            if b[:1] != self.blank:
-                return False
-            b = b[1:]
-        data_b = [self.data_b[i] for i in b]
-        if b"".join(data_b) != text.encode():
+        self.known, self.coded = Memo(self.unit, CACHE_ENTRIES), {}
+
+    def shared_cuts(self, spaces: str, inside: set[str]) -> str:
+        """A pattern that finds the stretches of a text: cut before spaces that neither vocabulary reaches across, and between a Latin letter or
+        digit and a mark, where the pattern of A cuts and no piece of B reaches across."""
+        uncertain = {c for c in map(chr, range(128, 0x10000)) if not "\ud800" <= c <= "\udfff" and c.encode()[-1] in self.a.uncertain}
+        letters = "".join(c for c in [*map(chr, range(48, 58)), *map(chr, range(65, 91)), *map(chr, range(97, 123)), *map(chr, range(0xC0, 0x250))] if c not in uncertain and c not in "×÷")
+        reached = {p[1] for p in inside if p[0] in letters}
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in reached)
+        space, odd = re.escape(spaces), "".join(sorted(uncertain)) + "\U00010000-\U0010ffff"
+        if not space or not marks:
+            return cut_before(spaces, self.a.uncertain)
+        return f"[{space}]*+(?:[^{space}{letters}{odd}]++|[{odd}]++[{space}]*+|[{letters}]++(?![{marks}]))*+[{letters}]*+"
+
+    def code(self, texts: list[str]) -> None:
+        """B's ids of stretches, all at once."""
+        given = [x[1:] if x[0] == " " else "\n" + x for x in texts]
+        for x, ids in zip(texts, self.b.encode(given, num_threads=1), strict=True):
+            if x == " ":  # the library gives nothing for no text, not even its blank
+                ids = self.blank
+            elif x[0] != " ":
+                ids = ids[len(self.before) :] if self.before and ids[: len(self.before)] == self.before else None
+            self.coded[x] = ids
+
+    def unit(self, text: str) -> tuple[str, int, int, int, bytes] | bool:
+        """Of a stretch: its groups written out, the numbers of both sides' tokens and of groups, its linked pairs with repeats; False where the tokens of one side do not give the text back."""
+        a, b = memoryview(self.a.chunk(text)).cast("I").tolist(), self.coded.pop(text)
+        if b is None or b"".join(map(self.data_b.__getitem__, b)) != text.encode():
             return False
-        ends_a, ends_b, at = [], [], 0
-        for i in a:
-            at += self.size_a[i]
-            ends_a.append(at)
-        at = 0
-        for x in data_b:
-            at += len(x)
-            ends_b.append(at)
-        return Unit(a, b, ends_a, ends_b)
+        if len(a) == 1 or len(b) == 1:  # no end inside both
+            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", len(a), len(b), 1, array("q", linked_pairs(a, b, [], [])).tobytes()
+        ends_a, ends_b = list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b)))
+        parts, pairs = [], array("q")
+        for i, j, k, m in groups(ends_a, ends_b):
+            parts.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
+            pairs.extend(linked_pairs(a[i:j], b[k:m], ends_a[i:j], ends_b[k:m]))
+        return ";".join(parts), len(a), len(b), len(parts), pairs.tobytes()
 
     def align(self, text: str) -> tuple[str, int, int, int, bytes, bytes]:
         """(groups, n_a, n_b, n_groups, pairs, times): each linked pair once, ascending, and how often it is linked."""
-        stretches = self.stretches(" " + text) if text else []
+        stretches = [x for x in self.stretches(" " + text) if x] if text else []
         counts = Counter(stretches)
+        self.code([x for x in counts if x not in self.known and x not in self.known.old])
         units = {x: self.known[x] for x in counts}
         if not counts or not all(units.values()):
             return "", 0, 0, 0, b"", b""
         n_a = n_b = n_groups = 0
-        keys, times = array("q"), array("q")
         for x, n in counts.items():
-            u = units[x]
-            n_a, n_b, n_groups = n_a + n * u.n_a, n_b + n * u.n_b, n_groups + n * u.n_groups
-            keys.extend(u.pairs)
-            times.extend([n] * len(u.pairs))
-        pairs, place = np.unique(np.frombuffer(keys, np.int64), return_inverse=True)
-        linked = np.zeros(len(pairs), np.int64)
-        np.add.at(linked, place, np.frombuffer(times, np.int64))
-        return ";".join([units[x].text for x in stretches]), n_a, n_b, n_groups, pairs.tobytes(), linked.tobytes()
+            _, a, b, g, _ = units[x]
+            n_a, n_b, n_groups = n_a + n * a, n_b + n * b, n_groups + n * g
+        held = [u[4] for u in units.values()]
+        pairs, place = np.unique(np.frombuffer(b"".join(held), np.int64), return_inverse=True)
+        times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) // 8 for x in held])
+        linked = np.bincount(place, times, len(pairs)).astype(np.int64)
+        return ";".join([units[x][0] for x in stretches]), n_a, n_b, n_groups, pairs.tobytes(), linked.tobytes()
 
 
 @lru_cache(maxsize=2)
