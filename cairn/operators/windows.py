@@ -138,18 +138,29 @@ def packed_prefix(ranked: DataFrame, by: list[str], order: list, cost: str, budg
 
 
 def packed_greedy(ranked: DataFrame, by: str, cost: str, budget: int) -> DataFrame:
-    """Of each group by rank every row that still fits the budget; the first one if none does."""
+    """Of each group by rank every row that still fits the budget; the first one if none does. Costs are whole numbers; rows of a null or negative cost never fit.
+
+    A row of a cost is left out only where less is left than it costs, and then so is every later one of that cost; so only the first budget / cost rows
+    of each cost can be taken. They are fewer than budget x (1 + ln budget), however many rows a group has, and the choice among them is made in one
+    call. Ranks are unique within a group. Rows that cost nothing are always taken.
+    """
+    each = Window.partitionBy(by, cost).orderBy("rank")
+    fitting = ranked.where((F.col(cost) > 0) & (F.col(cost) <= budget)).withColumn("__i", F.row_number().over(each)).where(F.col("__i") <= budget)
+    fitting = fitting.where(F.col("__i") <= F.floor(F.lit(budget) / F.col(cost))).drop("__i")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, used, kept = pdf.sort_values("rank"), 0, []
         for c in pdf[cost]:
             kept.append(used + c <= budget)
             used += c * kept[-1]
-        if not any(kept) and len(kept):
-            kept[0] = True
         return pdf[kept]
 
-    return ranked.groupBy(by).applyInPandas(pick, ranked.schema)
+    taken = fitting.groupBy(by).applyInPandas(pick, ranked.schema)
+    free = ranked.where(F.col(cost) == 0)
+    fits = F.coalesce((F.col(cost) >= 0) & (F.col(cost) <= budget), F.lit(False))
+    first = ranked.groupBy(by).agg(F.min_by(F.struct(*[c for c in ranked.columns if c != by]), F.col("rank")).alias("__first"), F.max(fits).alias("__fits")).where("NOT `__fits`")
+    first = first.select(*[F.col(by) if c == by else F.col(f"__first.{c}").alias(c) for c in ranked.columns])
+    return taken.unionByName(free).unionByName(first)
 
 
 def joined_neighbours(strings: DataFrame, gap: int = 4) -> DataFrame:

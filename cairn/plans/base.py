@@ -26,11 +26,11 @@ def _(t: Bound) -> DataFrame:
     return files.new_objects(t.objects, known).select("oid", "size")
 
 
-@query("s1_import_directory", "objects", "SELECT oid, size FROM objects WHERE size > 0 AND size < 2000")
+@query("s1_import_directory", "objects", "SELECT oid, size FROM objects WHERE size > 0")
 def _(t: Bound) -> DataFrame:
-    """Contents written as text files and imported again by their bytes."""
+    """Contents written as text files, a file for each, and imported again by their bytes."""
     path = _folder(t, "files")
-    t.contents.where("size > 0 AND size < 2000").select("oid", F.base64("data").alias("value")).write.partitionBy("oid").text(path)
+    t.contents.where("size > 0").select(F.base64("data").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     found = files.import_directory(t.spark, path)
     content = F.unbase64(F.regexp_replace(F.decode("data", "utf-8"), r"\s", ""))
     return found.where(F.col("name").endswith(".txt")).select(c.oid_of(content).alias("oid"), F.length(content).cast("long").alias("size"))
@@ -115,11 +115,12 @@ def _(t: Bound) -> DataFrame:
     return files.read_ground_truth(t.spark, path).select("sample", "addr", "oid")
 
 
-@query("s12_comparison_series", "collections", "SELECT t.cid AS target, b.cid AS baseline FROM collections t JOIN collections b ON t.name = 'src1' || substr(b.name, 4) WHERE length(b.name) = 4")
+@query("s12_comparison_series", "collections", "SELECT t.cid AS target, b.cid AS baseline FROM collections t JOIN collections b ON t.name = 'src' || (substr(b.name, 4)::INT + 1)")
 def _(t: Bound) -> DataFrame:
+    """Every numbered collection against the one before it."""
     path = _folder(t, "series")
-    line = F.concat_ws(",", F.concat(F.lit("src1"), F.substring("name", 4, 9)), "name")
-    t.collections.where("length(name) = 4").select(line.alias("value")).unionByName(t.spark.createDataFrame([("# a comment",), ("",)], "value string")).write.text(path)
+    after = F.concat(F.lit("src"), (F.substring("name", 4, 9).cast("int") + 1).cast("string"))
+    t.collections.select(F.concat_ws(",", after, "name").alias("value")).unionByName(t.spark.createDataFrame([("# a comment",), ("",)], "value string")).write.text(path)
     return files.read_series(t.spark, path, t.collections)
 
 

@@ -17,7 +17,7 @@ EPOCH = 1_704_067_200
 #: So many ids of repeated contents are broadcast at most.
 MOST_BROADCAST = 2_000_000
 #: Pairs of documents that are less alike are no matches.
-LEAST_ALIKE = 0.1
+LEAST_ALIKE = 0.02
 
 
 class Bound:
@@ -147,5 +147,5 @@ CTES: dict[str, tuple[str, str]] = {
     "imports": ("", "SELECT DISTINCT l_orderkey AS oid, l_suppkey AS library, l_partkey AS name FROM lineitem"),
     "words": ("objects", "SELECT oid, unnest(w) AS value, unnest(range(0, len(w))) AS \"offset\" FROM (SELECT oid, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM objects)"),
     "grams": ("", "SELECT doc_id, source, len(g) AS n, unnest(g) AS g FROM (SELECT doc_id, source, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM (SELECT doc_id, source, string_split(lower(text), ' ') AS w FROM documents WHERE source IN ('src0', 'src1')))"),
-    "matches": ("grams", "SELECT t, b, round(c / (tn + bn - c), 6) AS similarity FROM (SELECT t.doc_id AS t, b.doc_id AS b, t.n AS tn, b.n AS bn, count(*) AS c FROM grams t JOIN grams b ON t.g = b.g AND t.source = 'src1' AND b.source = 'src0' GROUP BY ALL) WHERE c / (tn + bn - c) >= 0.1"),
+    "matches": ("grams", "SELECT t, b, round(c / (tn + bn - c), 6) AS similarity FROM (SELECT t.doc_id AS t, b.doc_id AS b, t.n AS tn, b.n AS bn, count(*) AS c FROM grams t JOIN grams b ON t.g = b.g AND t.source = 'src1' AND b.source = 'src0' GROUP BY ALL) WHERE c / (tn + bn - c) >= 0.02"),
 }

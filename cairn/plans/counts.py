@@ -359,7 +359,8 @@ def _(t: Bound) -> DataFrame:
 
 @query("w15_packed_greedy")
 def _(t: Bound) -> DataFrame:
-    ranked = windows.top_in(scored(t), ["oid"], [F.desc("score"), "value"], 200).select("oid", "value", "rank", F.length("value").cast("long").alias("cost"))
+    order = Window.partitionBy("oid").orderBy(F.desc("score"), "value")
+    ranked = scored(t).select("oid", "value", F.row_number().over(order).cast("long").alias("rank"), F.length("value").cast("long").alias("cost"))
     return windows.packed_greedy(ranked, "oid", "cost", 100)
 
 

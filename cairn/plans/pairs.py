@@ -45,6 +45,12 @@ def _(t: Bound) -> DataFrame:
     return joins.one_to_one(t.matches, "t", "b", "similarity")
 
 
+@query("j5_assigned_pairs")
+def _(t: Bound) -> DataFrame:
+    """Pairs of the largest sum of similarities, by auction."""
+    return joins.assigned(t.matches, "t", "b", "similarity", 1e-4)
+
+
 @query("j6_pair_report")
 def _(t: Bound) -> DataFrame:
     side = lambda s: t.members.where(f"name = '{s}'").select("oid")
@@ -175,7 +181,7 @@ def _(t: Bound) -> DataFrame:
 
 FUNCTION_GRAMS = "WITH g AS (SELECT DISTINCT oid, faddr, mnemonic || ',' || lead(mnemonic, 1) OVER w || ',' || lead(mnemonic, 2) OVER w || ',' || lead(mnemonic, 3) OVER w AS gram FROM instructions WINDOW w AS (PARTITION BY faddr ORDER BY \"offset\")), s AS (SELECT oid, faddr, list_sort(list(gram)) AS grams FROM g WHERE gram IS NOT NULL GROUP BY ALL)"
 CLOSEST = FUNCTION_GRAMS + """, sim AS (SELECT a.faddr AS item, b.faddr AS other, round(len(list_intersect(a.grams, b.grams))::DOUBLE / len(list_distinct(a.grams || b.grams)), 6) AS similarity FROM s a JOIN s b ON a.oid <> b.oid),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, other) AS rank FROM sim WHERE similarity >= 0.1)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, other) AS rank FROM sim WHERE similarity > 0)"""
 
 
 def function_sets(t: Bound) -> DataFrame:

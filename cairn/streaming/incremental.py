@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 LATE = "1 hour"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which transformWithState needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, id: str = "oid", at: str = "ts") -> None:
     """Append the rows of a stream whose id the table at path doesn't have; runs through what is there and ends.
 
@@ -41,18 +56,72 @@ def windowed_counts(stream: DataFrame, key: list[str], at: str = "ts", width: st
     return stream.withWatermark(at, LATE).groupBy(F.window(at, width), *key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ngrams(stream: DataFrame, key: str, value: str, order: list[str], n: int = 3) -> DataFrame:
-    """(key, gram): n-grams of each key's values across batches; the last n - 1 values are the key's state.
-
-    Rows of one batch are taken in order; batches must come in order of time.
+class Grams(StatefulProcessor):
+    """A key's n-grams in order of time: rows wait until the watermark has passed them, the last n - 1 items stay."""
+
+    def __init__(self, key: str, value: str, at: str, order: list[str], n: int, waiting: StructType, idle_ms: int | None):
+        self.key, self.value, self.at, self.order, self.n, self.schema, self.idle_ms = key, value, at, order, n, waiting, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tail = handle.getValueState("tail", "items array<string>, at long")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for batch in rows:
+            batch = batch[batch[self.value].notna() & batch[self.at].notna()]
+            if len(batch):
+                at = batch[self.at].astype("datetime64[us]").astype("int64")
+                self.waiting.appendList([tuple(r) for r in zip(at.tolist(), *[batch[c].tolist() for c in self.order], batch[self.value].tolist(), strict=True)])
+                latest = max(latest or 0, int(at.max()))
+        if latest is not None:
+            self.handle.registerTimer(latest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        items, last = self.tail.get() if self.tail.exists() else ([], None)
+        items, grams = list(items), []
+        for row in ready:
+            if self.idle_ms is not None and last is not None and row[0] - last > self.idle_ms * 1000:
+                items = []
+            last = row[0]
+            items.append(row[-1])
+            if len(items) >= self.n:
+                items = items[len(items) - self.n :]
+                grams.append(",".join(items))
+        if ready:
+            keep = self.n - 1
+            self.tail.update((items[len(items) - keep :] if len(items) > keep else items, last))
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        elif self.idle_ms is not None and not rows and last is not None and passed - last > self.idle_ms * 1000:
+            self.tail.clear()
+        if ready and self.idle_ms is not None:
+            self.handle.registerTimer(last // 1000 + self.idle_ms + 2)
+        yield pd.DataFrame({self.key: pd.Series([key[0]] * len(grams), dtype=object), "gram": pd.Series(grams, dtype=object)})
+
+
+def ngrams(stream: DataFrame, key: str, value: str, at: str, order: list[str] | None = None, n: int = 3, late: str = LATE, idle_ms: int | None = None) -> DataFrame:
+    """(key, gram): the n-grams of each key's values in order of time, then of the columns in order, however the rows fall into batches.
+
+    A row waits in the key's state until the watermark (the latest time less `late`) has passed it, then its grams are given out; the
+    last n - 1 values stay as state for the next ones. So rows of an open stream's last stretch are given out once later rows of any key
+    move the watermark on. A row that comes once an earlier batch has seen the watermark pass it is dropped. A null value or time is no item, an empty value is one. Equal
+    rows are as many items; a null key is a key like others. Keys are whole numbers, strings or dates. With idle_ms a key that has no row for so long in event time forgets its values, and no gram spans such a gap.
     """
+    if n < 1:
+        raise ValueError("n must be 1 at least")
+    order = order or []
     kind = stream.schema[key].dataType.simpleString()
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
-        items = [x for x in (state.get[0].split("\x00") if state.exists else []) if x] + list(rows[value])
-        state.update(("\x00".join(items[-(n - 1) :]),))
-        grams = [",".join(items[i : i + n]) for i in range(len(items) - n + 1)]
-        yield pd.DataFrame({key: [k[0]] * len(grams), "gram": grams})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, gram string", "last string", "append", GroupStateTimeout.NoTimeout)
+    waiting = StructType([StructField("at", LongType()), *[StructField(f"o{i}", stream.schema[c].dataType) for i, c in enumerate(order)], StructField("item", StringType())])
+    # A null among numbers would reach the workers as one of many floats; so keys travel as text, with a letter for null.
+    marked = F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n")).alias(key)
+    given = stream.select(marked, F.col(at).cast("timestamp").alias(at), *[c for c in order if c not in (key, at, value)], F.col(value).cast("string").alias(value)).withWatermark(at, late)
+    grams = given.groupBy(key).transformWithStateInPandas(Grams(key, value, at, order, n, waiting, idle_ms), f"`{key}` string, gram string", "append", "eventTime")
+    return grams.select(F.when(F.col(key) != "n", F.expr(f"substring(`{key}`, 2)")).cast(kind).alias(key), "gram")

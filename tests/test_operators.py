@@ -332,3 +332,85 @@ def test_nearest_of_each_query_in_blocks(spark, monkeypatch):
     assert not got
     by_label = text.nearest_each(df, df.where("vec_id = 5"), 2, within="label").collect()
     assert sorted((r.label, r["rank"]) for r in by_label) == [(g, k) for g in range(3) for k in (1, 2)]
+
+
+def largest_sum(rows):
+    """The largest sum of a one-to-one choice, by trying all of the smaller side (bit masks)."""
+    left, right = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    best = {0: 0.0}
+    for t in left:
+        new = dict(best)
+        for mask, total in best.items():
+            for a, b, s in rows:
+                bit = 1 << right.index(b)
+                if a == t and not mask & bit and s > 0:
+                    new[mask | bit] = max(new.get(mask | bit, 0.0), total + s)
+        best = new
+    return max(best.values())
+
+
+def test_auction_reaches_the_largest_sum():
+    rnd = random.Random(9)
+    for case in range(150):
+        n, m = rnd.randrange(1, 9), rnd.randrange(1, 9)
+        kind = rnd.choice([lambda: 1.0, lambda: rnd.random(), lambda: rnd.choice([0.5, 0.9, 1.0])])
+        rows = [(t, b, kind()) for t in range(n) for b in range(m) if rnd.random() < rnd.choice([0.3, 0.8, 1.0])]
+        if rows:
+            got = joins.auction(*map(list, zip(*rows, strict=True)), joins._epsilons(1.0, 1e-4))
+            chosen = [rows[i] for i in got]
+            assert len({r[0] for r in chosen}) == len({r[1] for r in chosen}) == len(chosen)
+            assert sum(r[2] for r in chosen) >= largest_sum(rows) - 1e-4 * len(chosen) - 1e-9, case
+
+
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_assignment_in_tasks_and_by_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(joins, "SMALL_AUCTION", small)
+    rnd = random.Random(10)
+    rows = [(t, b, rnd.choice([0.25, 0.5, 0.51, 1.0])) for t in range(7) for b in range(6) if rnd.random() < 0.6] + [(20, 30, 0.9), (20, 31, 0.8), (21, 30, 0.85), (21, 32, 0.0)]
+    given = [*rows, (None, 1, 1.0), (1, None, 1.0), (5, 99, -1.0), (20, 30, 0.1)]
+    got = [tuple(r) for r in joins.assigned(spark.createDataFrame(given, "t long, b int, s double"), "t", "b", "s", 0.01).collect()]
+    assert len({r[0] for r in got}) == len({r[1] for r in got}) == len(got) and set(got) <= set(rows)
+    assert sum(r[2] for r in got) >= largest_sum(rows) - 0.01 * len(got)
+    assert {(20, 31), (21, 30)} <= {r[:2] for r in got}  # the greedy choice of (20, 30) leaves 21 alone
+    assert joins.assigned(spark.createDataFrame([(1, 2, 0.0)], "t long, b int, s double"), "t", "b", "s").count() == 0
+
+
+def test_points_in_intervals_of_any_length(spark):
+    rnd = random.Random(11)
+    spans = [(rnd.choice("ab"), rnd.randrange(-50, 5000), rnd.choice([0, 1, 2, 3, 7, 8, 100, 4096, 5000])) for _ in range(120)] + [("a", 0, 1 << 40), ("a", -(1 << 62), 1 << 62), ("b", 1 << 62, (1 << 62) - 1), ("b", None, 5), ("b", 3, None), (None, 0, 10)]
+    points = [(rnd.choice("abc"), rnd.randrange(-60, 9000)) for _ in range(400)] + [("a", (1 << 40) - 1), ("a", 1 << 40), ("b", (1 << 63) - 2), ("b", None), ("a", -(1 << 62)), (None, 3)]
+    p, s = spark.createDataFrame(points, "oid string, offset long"), spark.createDataFrame(spans, "oid string, start long, len long")
+    got = sorted((r.oid, r.offset, r.start, r.len) for r in joins.contained(p, s).collect())
+    assert got == sorted((o, x, a, n) for o, x in points for g, a, n in spans if o == g and None not in (o, x, a, n) and a <= x < a + n)
+    assert joins.contained(p, s.limit(0)).count() == 0
+    joined = joins.contained(p, s.where("len > 1000000"))
+    assert joined.count() == sum(o == g and None not in (x, a, n) and n > 1_000_000 and a <= x < a + n for o, x in points for g, a, n in spans)
+
+
+def test_greedy_packing_of_long_groups(spark):
+    rnd = random.Random(12)
+    rows = [(g, i, rnd.choice([1, 2, 3, 5, 8, 30, 31, 60, 0, None, -1])) for g in "abc" for i in range(400)] + [("d", 1, 61), ("d", 2, 99), ("e", 5, None), ("e", 7, 70), ("f", 1, 0), ("f", 2, 100), (None, 1, 4)]
+    got = {(r.oid, r["rank"]) for r in windows.packed_greedy(spark.createDataFrame(rows, "oid string, rank long, cost long"), "oid", "cost", 60).collect()}
+    want = set()
+    for g in {r[0] for r in rows}:
+        used, kept = 0, []
+        own = sorted((r[1], r[2]) for r in rows if r[0] == g) if g != "e" else [(5, None), (7, 70)]
+        for i, c in own:
+            if c is not None and c >= 0 and used + c <= 60:
+                used += c
+                kept.append(i)
+        want |= {(g, i) for i in kept or [own[0][0]]}
+    assert got == want
+
+
+def test_closest_sets_without_a_floor(spark):
+    rnd = random.Random(13)
+    sets = [(rnd.randrange(4), i, [f"g{min(rnd.randrange(40), rnd.randrange(40))}" for _ in range(rnd.choice([0, 1, 3, 12, 20]))]) for i in range(80)] + [(9, 100, ["g1", "g2"]), (8, 101, ["g1", "g2"]), (7, 102, ["lone"])]
+    df = spark.createDataFrame(sets, "object long, item long, grams array<string>")
+    like = lambda a, b: round(len(set(a) & set(b)) / len(set(a) | set(b)), 6) if a or b else 0.0
+    for k, least in ((1, 0.0), (3, 0.0), (2, 0.3)):
+        want = set()
+        for o, i, a in sets:
+            best = sorted((-like(a, b), j) for p, j, b in sets if p != o and like(a, b) > 0 and like(a, b) >= least)[:k]
+            want |= {(i, j, -s, r + 1) for r, (s, j) in enumerate(best)}
+        assert {(r.item, r.other, r.similarity, r["rank"]) for r in joins.closest(df, k, least).collect()} == want

@@ -70,7 +70,7 @@ def packed(duck, rows):
     want = set()
     for oid, values in ranked.items():
         used, kept = 0, []
-        for v in values[:200]:
+        for v in values:
             if used + len(v) <= 100:
                 used += len(v)
                 kept.append(v)
@@ -126,7 +126,20 @@ def linear(duck, rows):
     assert np.allclose([r["coefficient"] for r in rows], fit, rtol=1e-4, atol=1e-3)
 
 
+def largest_assignment(duck, rows):
+    """One to one, of given pairs, and no pair left out and no two pairs exchanged make the sum larger by more than epsilon."""
+    scores = {(t, b): s for t, b, s in duck.sql(ORACLE["j7_function_mapping"].replace("SELECT t, b, tn.name", "SELECT t, b, similarity, tn.name").replace("similarity, tn.name AS t_name, bn.name AS b_name", "similarity")).fetchall()}
+    t, b = {r["t"]: r for r in rows}, {r["b"]: r for r in rows}
+    assert rows and len(t) == len(b) == len(rows) and all(scores[r["t"], r["b"]] == r["similarity"] for r in rows)
+    value = lambda of, key: of[key]["similarity"] if key in of else 0.0
+    for (i, j), s in scores.items():
+        if i not in t or j not in b or t[i]["b"] != j:
+            other = scores.get((b[j]["t"], t[i]["b"]), 0.0) if i in t and j in b else 0.0
+            assert s + other <= value(t, i) + value(b, j) + 3e-4
+
+
 PROPERTIES = {
+    "j5_assigned_pairs": largest_assignment,
     "j4_name_pairs": name_pairs, "j6_pair_report": pair_report, "w8_random_sample": sampled, "w9_shuffle": lambda duck, rows: sampled(duck, rows, 1), "w15_packed_greedy": packed,
     "g9_betweenness": betweenness, "m1_survival": survival, "m4_principal_components": components, "m5_linear": linear,
 }
