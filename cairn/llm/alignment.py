@@ -126,6 +126,8 @@ class Aligner:
 
     def unit(self, text: str) -> tuple[str, int, int, int, bytes] | bool:
         """Of a stretch: its groups written out, the numbers of both sides' tokens and of groups, its linked pairs with repeats; False where the tokens of one side do not give the text back."""
+        if text not in self.coded:  # it was known a moment ago, but the cache has turned over since
+            self.code([text])
         a, b = memoryview(self.a.chunk(text)).cast("I").tolist(), self.coded.pop(text)
         if b is None or b"".join(map(self.data_b.__getitem__, b)) != text.encode():
             return False

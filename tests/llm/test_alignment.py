@@ -72,6 +72,16 @@ def test_words_in_many_languages_and_special_strings(both):
     assert sum(check(both, rnd.choice(["", " "]).join(rnd.choice(words) for _ in range(rnd.randrange(1, 30)))) for _ in range(300)) > 250
 
 
+def test_a_small_cache_changes_nothing(both):
+    own = al.Aligner(A, P.PATTERN, B)
+    own.known.entries = 3
+    rnd = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["a", "b,", "cc", "über", "dd.", "x y", "\n"]) for _ in range(12))
+        assert own.align(text)[:4] == both[0].align(text)[:4]
+        assert not own.coded
+
+
 def test_groups_at_shared_cuts():
     rnd = random.Random(2)
     for _ in range(2000):
