@@ -149,18 +149,18 @@ def kth_key(table: DataFrame, k: int, column: str = "gumbel_key", bits: int = 16
     return low
 
 
-def sampled(table: DataFrame, labels: DataFrame, seed: int = SEED, passage: int = PASSAGE, k: int | None = None) -> DataFrame:
+def sampled(table: DataFrame, labels: DataFrame, seed: int = SEED, passage: int = PASSAGE, k: int | None = None, judged: DataFrame | None = None) -> DataFrame:
     """A written table of weighed() rows with gumbel_key and kept: whether a row is among the k largest keys.
 
     The key is per_gram times passage, with noise that doc_id and seed fix.
     Texts without words carry no evidence and keep their weight of 0. Repeated rows have equal
-    keys and stay or go together; ties with the k-th key stay. Without k, and without labels of both kinds, all
-    rows are kept. An empty table gives no rows.
+    keys and stay or go together; ties with the k-th key stay. Without k it is the number of rows above the cut that parts the labelled rows of judged
+    (a weighed() table, the rows themselves if not given) best; without labels of both kinds all rows are kept. An empty table gives no rows.
     """
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     table = table.withColumn("gumbel_key", F.col("per_gram") * float(passage) - F.log(-F.log(uniform)))
     if k is None:
-        at = cut(table, labels)
+        at = cut(table if judged is None else judged, labels)
         if at == -float("inf"):
             return table.withColumn("kept", F.lit(True))
         k = table.where(F.col("per_gram") >= at).count()
@@ -168,7 +168,16 @@ def sampled(table: DataFrame, labels: DataFrame, seed: int = SEED, passage: int
     return table.withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least))
 
 
-def resample(df: DataFrame, labels: DataFrame, text: str = "text", keep_text: bool = False, seed: int = SEED, passage: int = PASSAGE, k: int | None = None) -> DataFrame:
-    """df with its weights, keys and verdicts; see sampled(). The weighed rows are a written table."""
-    target, raw = models(df, labels, text)
-    return sampled(written(weighed(df, log_ratio(target, raw), text, keep_text), "weighed"), labels, seed, passage, k)
+def resample(df: DataFrame, labels: DataFrame, text: str = "text", keep_text: bool = False, seed: int = SEED, passage: int = PASSAGE, k: int | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """df with its weights, keys and verdicts; see sampled(). The weighed rows are a written table.
+
+    raw (doc_id and text) is the text that df was chosen from, df itself if not given: the models are counted on it, and the cut is found on its labelled
+    rows. So rows that an earlier filter has taken out still show what is to go.
+    """
+    source = df if raw is None else raw
+    ratio = log_ratio(*models(source, labels, text))
+    judged = None
+    if raw is not None:
+        known = F.broadcast(labelled(labels).select(F.col("doc_id").alias("__id")))  # MOST_LABELLED rows, about
+        judged = written(weighed(raw.join(known, F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", text), ratio, text), "judged")
+    return sampled(written(weighed(df, ratio, text, keep_text), "weighed"), labels, seed, passage, k, judged)

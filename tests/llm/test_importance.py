@@ -36,6 +36,18 @@ def test_without_labels_all_stay(spark):
     assert im.resample(df, odd).count() == 4
 
 
+def test_raw_rows_that_are_gone_still_teach(spark):
+    """A filter has taken out nearly all bad rows; models and cut come from the rows before it, so the bad ones that it left go."""
+    rows, labels = corpus(random.Random(6))
+    schema = "doc_id long, text string"
+    raw = spark.createDataFrame([r[:2] for r in rows], schema)
+    bad = set(range(5, 105, 10))
+    left = [r[:2] for r in rows if r[0] % 5 or r[0] in bad]
+    out = im.resample(spark.createDataFrame(left, schema), spark.createDataFrame(labels, "doc_id long, quality int"), raw=raw).collect()
+    kept = {r.doc_id for r in out if r.kept}
+    assert len(out) == len(left) and len(kept & bad) <= 2 and len(kept - bad) >= 0.95 * (len(left) - len(bad))
+
+
 def test_kth_key_is_exact(spark):
     rnd = random.Random(3)
     values = [rnd.gauss(0, 1) for _ in range(3000)] + [1e9, -1e9, 5.0, 5.0, 5.0]
