@@ -60,9 +60,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage(1)
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps (operator 6), by the labels that come with the input."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _together(importance.resample(_apart(docs, "doc_id"), labels, keep_text=True).where("kept"), docs)
+    """Documents that importance resampling keeps (operator 6), by the labels that come with the input.
+
+    Raw text are all documents of the input: of those that the rules have left, few are labelled bad, and little could be learnt from them.
+    """
+    labels, raw = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _together(importance.resample(_apart(docs, "doc_id"), labels, keep_text=True, raw=raw).where("kept"), docs)
 
 
 @_stage(2)
