@@ -174,6 +174,54 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
+def correlation_tests(df: DataFrame, columns: list[str], targets: list[str], method: str = "pearson") -> DataFrame:
+    """(target, column, r, p, rank) of every column with each target, by falling r: the correlation and the two-sided probability of one as large by chance, by Student's t with n - 2 degrees.
+
+    method is pearson or spearman (ranks, ties averaged). Rows with a null are left out. A column without variation, and fewer than three rows, have no r or p.
+    """
+    wanted = list(dict.fromkeys([*columns, *targets]))
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in wanted]).na.drop()
+    n = rows.count()
+    found = {(r.a, r.b): r.r for r in correlations(rows, wanted, method).collect()} if n > 1 else {}  # a row for each two columns
+    out = []
+    for t in targets:
+        own = [(c, found.get((t, c))) for c in columns if c != t]
+        own = [(c, None if r is None or r != r else max(-1.0, min(1.0, r))) for c, r in own]
+        for rank, (c, r) in enumerate(sorted(own, key=lambda x: (x[1] is None, -(x[1] or 0.0), x[0])), 1):
+            out.append((t, c, r, None if r is None or n < 3 else t_tail(r, n - 2), rank))
+    return df.sparkSession.createDataFrame(out, "target string, column string, r double, p double, rank int")
+
+
+def t_tail(r: float, degrees: int) -> float:
+    """The probability that Student's t is further from nought than that of a correlation r: the regularised incomplete beta function of 1 - r^2, by its continued fraction (Lentz)."""
+    from math import exp, lgamma, log
+
+    x, a, b = 1 - r * r, degrees / 2, 0.5
+    if x <= 0:
+        return 0.0
+    if x >= 1:
+        return 1.0
+
+    def fraction(x: float, a: float, b: float) -> float:
+        tiny, c = 1e-300, 1.0
+        d = 1 - (a + b) * x / (a + 1)
+        d = 1 / (d if abs(d) > tiny else tiny)
+        out = d
+        for m in range(1, 500):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 + num * d
+                d = 1 / (d if abs(d) > tiny else tiny)
+                c = 1 + num / c
+                c = c if abs(c) > tiny else tiny
+                out *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return out
+
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
 def first_reason(rules: list[tuple[str, Column]], otherwise: str = "kept") -> Column:
     out = F.lit(otherwise)
     for name, test in reversed(rules):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,65 @@ def survival(df: DataFrame, time: str, event: str, columns: list[str]) -> DataFr
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
 
 
+def cox(df: DataFrame, time: str, event: str, columns: list[str], most_steps: int = 30) -> DataFrame:
+    """(term, coefficient, error) of Cox's proportional hazards model: hazards multiply by exp(coefficient) for each unit of a column; event 1 is observed, others are censored.
+
+    Newton steps on the partial likelihood, ties by Efron's method. A step sums each time's rows, so ties cost no pairs; running totals from the longest time
+    down give the sums over those still at risk. Of these only the gradient and the matrix of second derivatives, columns times columns, come to the driver. A step that
+    lowers the likelihood is halved. Rows with a null are left out; no events, or a column without variation, are an error.
+    """
+    k = range(len(columns))
+    known = df.select(F.col(time).cast("double").alias("t"), (F.col(event) == 1).alias("e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).na.drop()
+    known = checkpointed(known)
+    means = known.agg(*[F.avg(f"x{i}") for i in k], F.count_if("e")).first()
+    if not means[-1]:
+        raise ValueError("no events")
+    rows = known.select("t", "e", *[(F.col(f"x{i}") - means[i]).alias(f"x{i}") for i in k])
+    products = [(i, j) for i in k for j in k if i <= j]
+    names = ["w", *[f"w{i}" for i in k], *[f"w{i}_{j}" for i, j in products]]
+
+    def derivatives(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        score = sum((F.col(f"x{i}") * float(beta[i]) for i in k), F.lit(0.0))
+        weighed = rows.withColumn("s", score).withColumn("w", F.exp("s"))
+        sums = {"w": F.col("w")} | {f"w{i}": F.col("w") * F.col(f"x{i}") for i in k} | {f"w{i}_{j}": F.col("w") * F.col(f"x{i}") * F.col(f"x{j}") for i, j in products}
+        died = lambda x: F.sum(F.when(F.col("e"), x).otherwise(0.0))
+        at = weighed.groupBy((-F.col("t")).alias("o")).agg(*[F.sum(x).alias(n) for n, x in sums.items()], *[died(x).alias(f"d{n}") for n, x in sums.items()], F.count_if("e").alias("d"), died(F.col("s")).alias("ds"), *[died(F.col(f"x{i}")).alias(f"dx{i}") for i in k])
+        risk = running(at, [], "o", {f"r{n}": n for n in names}).where("d > 0")
+        # Efron: of d tied deaths, the l-th sees the shares l / d of those who die taken from the risk.
+        each = risk.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1))).withColumn("c", F.col("l") / F.col("d"))
+        left = {n: F.col(f"r{n}") - F.col("c") * F.col(f"d{n}") for n in names}
+        first = lambda x: F.sum(F.when(F.col("l") == 0, x).otherwise(0.0))
+        mean = [left[f"w{i}"] / left["w"] for i in k]
+        got = each.agg(first(F.col("ds")).alias("a"), F.sum(F.log(left["w"])).alias("b"), *[first(F.col(f"dx{i}")) for i in k], *[F.sum(m) for m in mean], *[F.sum(left[f"w{i}_{j}"] / left["w"] - mean[i] * mean[j]) for i, j in products]).first()
+        n = len(columns)
+        slope = np.array(got[2 : 2 + n]) - np.array(got[2 + n : 2 + 2 * n])
+        curve = np.zeros((n, n))
+        for (i, j), v in zip(products, got[2 + 2 * n :], strict=True):
+            curve[i, j] = curve[j, i] = v
+        return got[0] - got[1], slope, curve
+
+    beta = np.zeros(len(columns))
+    value, slope, curve = derivatives(beta)
+    for _ in range(most_steps):
+        step = np.linalg.solve(curve, slope)
+        while True:
+            new = derivatives(beta + step)
+            if new[0] >= value - 1e-9 * abs(value) or np.abs(step).max() < 1e-12:
+                break
+            step = step / 2
+        beta, (value, slope, curve) = beta + step, new
+        if np.abs(step).max() < 1e-9 * max(1.0, np.abs(beta).max()):
+            break
+    errors = np.sqrt(np.diag(np.linalg.inv(curve)))
+    return df.sparkSession.createDataFrame([(c, float(b), float(s)) for c, b, s in zip(columns, beta, errors, strict=True)], "term string, coefficient double, error double")
+
+
+def hazard(df: DataFrame, fit: DataFrame, name: str = "hazard") -> DataFrame:
+    """df with the log hazard that a cox() fit gives each row; its terms are columns of df."""
+    terms = {r.term: r.coefficient for r in fit.collect()}  # a row for each column
+    return df.withColumn(name, sum((F.col(c) * v for c, v in terms.items()), F.lit(0.0)))
+
+
 def concordance(df: DataFrame, time: str, event: str, predicted: str) -> DataFrame:
     """Share of comparable pairs in the right order, ties half: where an observed time is shorter, the prediction should be, too.
 

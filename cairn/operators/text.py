@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,6 +185,45 @@ def changed_lines(target: DataFrame, baseline: DataFrame, by: list[str]) -> Data
     return both.groupBy(*by).agg(F.sum(F.greatest(F.col("t") - F.col("b"), F.lit(0))).alias("added"), F.sum(F.greatest(F.col("b") - F.col("t"), F.lit(0))).alias("removed"))
 
 
+def common_in_order(a: list, b: list) -> int:
+    """Length of the longest common subsequence, in as many steps over one long number as the shorter list has items; memory is linear."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = sorted((a[start : len(a) - end], b[start : len(b) - end]), key=len)
+    masks: dict = {}
+    for i, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full  # a bit is 0 where the length grows
+    for x in a:
+        met = row & masks.get(x, 0)
+        row = (row + met | row - met) & full
+    return start + end + len(b) - row.bit_count()
+
+
+def ordered_changes(target: DataFrame, baseline: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
+    """(by, added, removed, moved): lines of target that a shortest edit of baseline's lines adds, and those that it removes; moved are those that it removes in one place and adds in another.
+
+    Both have their lines in the order of a column (unique within a group). moved is what both have in common as bags less the longest common subsequence, so it
+    doesn't depend on which shortest edit is taken; it counts in added and removed, too. A null line is a line like others. A group that only one side has counts there. A group is the lines of one pair, compared in a task.
+    """
+    side = lambda df: df.select(*by, F.col(order).alias("o"), F.col(line).cast("string").alias("line"))
+    kinds = ", ".join(f"`{c}` {target.schema[c].dataType.simpleString()}" for c in by)
+
+    def compare(key: tuple, t: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        lines = lambda pdf: [None if pd.isna(x) else x for x in pdf.sort_values("o")["line"]]
+        own = lines(t), lines(b)
+        same = common_in_order(*own)
+        bag = sum((Counter(own[0]) & Counter(own[1])).values())
+        return pd.DataFrame([[*key, len(own[0]) - same, len(own[1]) - same, bag - same]], columns=[*by, "added", "removed", "moved"])
+
+    return side(target).groupBy(*by).cogroup(side(baseline).groupBy(*by)).applyInPandas(compare, f"{kinds}, added long, removed long, moved long")
+
+
 ADDRESS = "0x[0-9a-fA-F]{8,}"
 
 

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.graph import checkpointed
+from cairn.operators.joins import numbered
+
 
 def byte_ngrams(objects: DataFrame, n: int = 3, data: str = "data") -> DataFrame:
     """Counts of the overlapping byte n-grams (n is 7 at most), keyed by decimal values with commas; a gram never spans two objects. Counted in Arrow batches and added up by Spark."""
@@ -101,11 +104,45 @@ def strided(blocked: DataFrame, stride: int) -> DataFrame:
     return placed.where((F.col("i") % stride == 0) & F.col("last").isNotNull()).select("faddr", "block", F.col("mnemonic").alias("first"), "last")
 
 
+def smallest(table: DataFrame, key: str, n: int, bits: int = 12) -> int | None:
+    """The n-th smallest value of a whole-number column of a written table, exactly; None if there are less. A few jobs count 2^bits buckets at most, each within the bucket found before."""
+    low, high = table.agg(F.min(key), F.max(key)).first()
+    left = n
+    while low is not None and left > 0:
+        width = max(1, -(-(high - low + 1) // (1 << bits)))
+        inside = table.where(F.col(key).between(low, high))
+        place = ((F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("decimal(38,10)")
+        counts = sorted(inside.groupBy(F.floor(place).cast("long").alias("at")).agg(F.count(F.lit(1)), F.min(key), F.max(key)).collect())
+        for _, count, least, most in counts:
+            if left <= count:
+                low, high = least, most
+                break
+            left -= count
+        else:
+            return None
+        if low == high:
+            return low
+    return None
+
+
 def sample(df: DataFrame, n: int | None = None, percent: float | None = None, seed: int = 1) -> DataFrame:
-    """n rows, or a percentage (10 without either), rounded, at least one."""
+    """n rows by chance, or a percentage (10 without either), rounded, at least one.
+
+    Every row of the written df gets a hash as its key, and those up to the n-th smallest key are the sample; the keys are counted in buckets, so no task sorts
+    or gathers the sample. Fewer rows than n are all taken. Repeated rows are drawn one by one.
+    """
+    table = checkpointed(df.withColumn("__at", F.monotonically_increasing_id())).withColumn("__key", F.xxhash64("__at", F.lit(seed)))
+    rows = table.count()
     if n is None:
-        n = max(1, round(df.count() * (10 if percent is None else percent) / 100))
-    return df.orderBy(F.rand(seed)).limit(n)
+        n = max(1, round(rows * (10 if percent is None else percent) / 100))
+    if n >= rows:
+        return table.select(*df.columns)
+    if n <= 0:
+        return table.limit(0).select(*df.columns)
+    last = smallest(table, "__key", n)
+    less = table.where(F.col("__key") < last)
+    same = table.where(F.col("__key") == last).orderBy("__at").limit(n - less.count())  # one row, but for a collision of hashes
+    return less.unionByName(same).select(*df.columns)
 
 
 def shuffled(df: DataFrame, seed: int = 1) -> DataFrame:
@@ -123,11 +160,16 @@ def top_in(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank"
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """A page of the rows in order, each with the total and whether more follow."""
+    """A page of the rows in order, each with the total and whether more follow; equal rows of the order come in any order.
+
+    Rows are numbered in sorted ranges, so no task takes the rows before the page.
+    """
     if offset < 0 or limit < 0:
         raise ValueError("offset and limit can't be negative")
+    placed = numbered(df, order, "__n")
     total = df.count()
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(total).cast("long")).withColumn("has_more", F.lit(offset + limit < total))
+    own = placed.where((F.col("__n") > offset) & (F.col("__n") <= offset + limit)).orderBy("__n").drop("__n")
+    return own.withColumn("total", F.lit(total).cast("long")).withColumn("has_more", F.lit(offset + limit < total))
 
 
 def packed_prefix(ranked: DataFrame, by: list[str], order: list, cost: str, budget: int) -> DataFrame:

@@ -224,6 +224,13 @@ def _(t: Bound) -> DataFrame:
     return a.correlations(t.raw("lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
 
 
+@query("a31_correlation_tests")
+def _(t: Bound) -> DataFrame:
+    """Columns by their correlation with two targets, with the probability of one as large by chance."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+    return a.correlation_tests(t.raw("lineitem"), columns, ["l_quantity", "l_tax"]).select("target", "column", "r", F.round("p", 6).alias("p"), "rank")
+
+
 @query("a32_functions_per_object", "", "SELECT round(avg(n), 6) AS mean, sum(n)::BIGINT AS total, count(*) AS objects, count(*) FILTER (n = 0) AS without FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
 def _(t: Bound) -> DataFrame:
     n = t.raw("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))

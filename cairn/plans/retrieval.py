@@ -162,6 +162,13 @@ def _(t: Bound) -> DataFrame:
     return text.changed_lines(i.where("offset % 8 = 0"), i.where("offset % 8 <> 0"), ["faddr"])
 
 
+@query("t16_ordered_changes")
+def _(t: Bound) -> DataFrame:
+    """Lines that an edit adds, removes and moves, in order."""
+    i = t.instructions.select("faddr", F.col("mnemonic").alias("line"), "offset")
+    return text.ordered_changes(i.where("offset % 8 = 0"), i.where("offset % 8 <> 0"), ["faddr"], "offset")
+
+
 @query("l2_top_similar", "", SIMS + f" SELECT query, vec_id, round(sim, 6) AS sim, {TOP} FROM sims WHERE query <> vec_id QUALIFY rank <= 5")
 def _(t: Bound) -> DataFrame:
     """The five most similar others of every query."""
@@ -289,6 +296,25 @@ def _(t: Bound) -> DataFrame:
     return models.survival(f, "time", "event", ["price", "l_discount"]).select("term", F.round("coefficient", 3).alias("coefficient"))
 
 
+def timed(t: Bound) -> DataFrame:
+    return t.raw("lineitem").select("l_orderkey", F.col("l_quantity").alias("time"), (F.col("l_quantity") > 1.5).cast("int").alias("event"), (F.col("l_extendedprice") / 10_000).alias("price"), "l_discount", "l_tax")
+
+
+@query("m1_cox")
+def _(t: Bound) -> DataFrame:
+    return models.cox(timed(t), "time", "event", ["price", "l_discount", "l_tax"]).select("term", F.round("coefficient", 5).alias("coefficient"), F.round("error", 5).alias("error"))
+
+
+@query("m1_cox_held_out")
+def _(t: Bound) -> DataFrame:
+    """Concordance on a fifth of the orders of a model of the others: a low hazard predicts a long time."""
+    rows = timed(t)
+    held = F.col("l_orderkey") % 5 == 0
+    fit = models.cox(rows.where(~held), "time", "event", ["price", "l_discount", "l_tax"])
+    scored = models.hazard(rows.where(held), fit).withColumn("predicted", F.round(-F.col("hazard"), 3))
+    return models.concordance(scored, "time", "event", "predicted")
+
+
 @query("m2_concordance", "", "WITH c AS (SELECT l_quantity AS t, (l_quantity > 1.5)::INT AS e, round(l_extendedprice / 5000) AS p, count(*) AS n FROM lineitem GROUP BY ALL) SELECT round(sum(a.n * b.n * CASE WHEN a.p < b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / sum(a.n * b.n), 6) AS concordance, sum(a.n * b.n)::BIGINT AS pairs FROM c a JOIN c b ON a.e = 1 AND a.t < b.t")
 def _(t: Bound) -> DataFrame:
     f = t.raw("lineitem").select(F.col("l_quantity").alias("time"), (F.col("l_quantity") > 1.5).cast("int").alias("event"), F.round(F.col("l_extendedprice") / 5000).alias("predicted"))

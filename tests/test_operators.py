@@ -414,3 +414,87 @@ def test_closest_sets_without_a_floor(spark):
             best = sorted((-like(a, b), j) for p, j, b in sets if p != o and like(a, b) > 0 and like(a, b) >= least)[:k]
             want |= {(i, j, -s, r + 1) for r, (s, j) in enumerate(best)}
         assert {(r.item, r.other, r.similarity, r["rank"]) for r in joins.closest(df, k, least).collect()} == want
+
+
+def test_samples_and_pages_without_one_task(spark):
+    rows = [(i % 7, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    got = [tuple(r) for r in windows.sample(df, 300, seed=3).collect()]
+    assert len(got) == len(set(got)) == 300 and set(got) <= set(rows)
+    assert abs(sum(b for _, b in got) / 300 - 1000) < 120 and set(windows.sample(df, 300, seed=4).collect()) != set(got)
+    assert windows.sample(df, 5000).count() == 2000 and windows.sample(df, 0).count() == 0 and windows.sample(df, percent=0.01).count() == 1
+    assert windows.sample(df.limit(0), 5).count() == 0 and windows.sample(df.select(F.lit(1).alias("x")), 77).count() == 77
+    page = [(r.a, r.b, r.total, r.has_more) for r in windows.page(df, ["a", "b"], 995, 20).collect()]
+    assert page == [(a, b, 2000, True) for a, b in sorted(rows)[995:1015]]
+    assert windows.page(df, ["b"], 1990, 50).count() == 10 and windows.page(df, ["b"], 3000, 5).count() == 0
+    values = graph.checkpointed(spark.createDataFrame([(v,) for v in (-(1 << 63), (1 << 63) - 1, 0, 0, 0, 5, -7)], "k long"))
+    assert [windows.smallest(values, "k", n) for n in range(9)] == [None, -(1 << 63), -7, 0, 0, 0, 5, (1 << 63) - 1, None]
+
+
+def test_common_lines_in_order():
+    from cairn.operators.text import common_in_order
+
+    rnd = random.Random(14)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(14))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert common_in_order(a, b) == table[-1][-1]
+    assert common_in_order(list(range(20_000)), list(range(1, 20_001))) == 19_999 and common_in_order([None, 1], [1, None]) == 1
+
+
+def test_ordered_changes_of_lone_groups(spark):
+    from cairn.operators.text import ordered_changes
+
+    t = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "x"), (4, 1, None)], "g long, o long, line string")
+    b = spark.createDataFrame([(1, 1, "c"), (1, 2, "a"), (1, 3, "b"), (3, 1, "y"), (3, 2, "y"), (4, 9, None)], "g long, o long, line string")
+    assert {tuple(r) for r in ordered_changes(t, b, ["g"], "o").collect()} == {(1, 1, 1, 1), (2, 1, 0, 0), (3, 0, 2, 0), (4, 0, 0, 0)}
+    assert ordered_changes(t.limit(0), b.limit(0), ["g"], "o").count() == 0
+
+
+def test_tail_of_t_against_a_numeric_integral():
+    import numpy as np
+
+    for degrees in (1, 2, 3, 10, 57):
+        for r in (0.0, 0.05, -0.3, 0.7, 0.99):
+            at = abs(r) * math.sqrt(degrees / (1 - r * r))
+            # by the angle whose tangent is t / sqrt(degrees), where the density is a power of its cosine
+            angles = np.linspace(0, math.pi / 2, 400_001)
+            density = np.cos(angles) ** (degrees - 1)
+            share = np.trapezoid(np.where(angles >= math.atan(at / math.sqrt(degrees)), density, 0), angles) / np.trapezoid(density, angles)
+            assert abs(aggregates.t_tail(r, degrees) - share) < 1e-4, (degrees, r)
+    assert aggregates.t_tail(1.0, 5) == 0 and abs(aggregates.t_tail(0.632, 8) - 0.05) < 1e-3
+
+
+def test_correlation_tests_with_ties_and_constants(spark):
+    rnd = random.Random(15)
+    rows = [(float(rnd.randrange(4)), float(rnd.randrange(3)), 1.0) for _ in range(60)]
+    rows = [(a, b + a, c) for a, b, c in rows] + [(None, 1.0, 1.0)]
+    got = {r.column: r for r in aggregates.correlation_tests(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], ["a"], "spearman").collect()}
+
+    def ranks(x):
+        return [sum(y < v for y in x) + (sum(y == v for y in x) + 1) / 2 for v in x]
+
+    a, b = ranks([r[0] for r in rows[:-1]]), ranks([r[1] for r in rows[:-1]])
+    mean = lambda x: sum(x) / len(x)
+    cov = lambda x, y: sum((p - mean(x)) * (q - mean(y)) for p, q in zip(x, y, strict=True))
+    assert abs(got["b"].r - cov(a, b) / math.sqrt(cov(a, a) * cov(b, b))) < 1e-5 and got["b"].p < 1e-6
+    assert got["c"].r is None and got["c"].p is None and got["b"]["rank"] == 1 and set(got) == {"b", "c"}
+
+
+def test_cox_of_ties_and_errors(spark):
+    import numpy as np
+
+    from tests.test_queries import cox_of
+
+    rnd = random.Random(16)
+    rows = [(float(rnd.randrange(1, 9)), int(rnd.random() < 0.7), rnd.random() * 3, float(rnd.randrange(2))) for _ in range(150)]
+    df = spark.createDataFrame([*rows, (None, 1, 1.0, 1.0), (1.0, 1, None, 1.0)], "t double, e int, x double, y double")
+    got = {r.term: (r.coefficient, r.error) for r in models.cox(df, "t", "e", ["x", "y"]).collect()}
+    x = np.array(rows)
+    beta, errors = cox_of(x[:, 2:], x[:, 0], x[:, 1] == 1)
+    assert np.allclose([got["x"], got["y"]], np.column_stack([beta, errors]), atol=1e-4)
+    with pytest.raises(ValueError):
+        models.cox(df.withColumn("e", F.lit(0)), "t", "e", ["x"])

@@ -138,7 +138,72 @@ def largest_assignment(duck, rows):
             assert s + other <= value(t, i) + value(b, j) + 3e-4
 
 
+def cox_of(x, times, events):
+    """Newton's method on Efron's partial likelihood, a death at a time."""
+    beta = np.zeros(x.shape[1])
+    x = x - x.mean(0)
+    for _ in range(12):
+        w, slope, curve = np.exp(x @ beta), np.zeros(len(beta)), np.zeros((len(beta),) * 2)
+        for t in np.unique(times[events]):
+            risk, dead = times >= t, (times == t) & events
+            d = dead.sum()
+            sums = [[(w[m, None] * x[m]).sum(0), (x[m].T * w[m]) @ x[m], w[m].sum()] for m in (risk, dead)]
+            slope += x[dead].sum(0)
+            for k in range(d):
+                first, second, total = (a - k / d * b for a, b in zip(*sums, strict=True))
+                slope -= first / total
+                curve += second / total - np.outer(first, first) / total**2
+        beta = beta + np.linalg.solve(curve, slope)
+    return beta, np.sqrt(np.diag(np.linalg.inv(curve)))
+
+
+def cox(duck, rows):
+    x = columns_of(duck, "SELECT l_extendedprice / 10000, l_discount, l_tax, l_quantity FROM lineitem")
+    beta, errors = cox_of(x[:, :3], x[:, 3], x[:, 3] > 1.5)
+    got = {r["term"]: r for r in rows}
+    assert np.allclose([got[c]["coefficient"] for c in ("price", "l_discount", "l_tax")], beta, atol=1e-4, rtol=1e-4)
+    assert np.allclose([got[c]["error"] for c in ("price", "l_discount", "l_tax")], errors, atol=1e-4, rtol=1e-4)
+
+
+def held_out(duck, rows):
+    x = columns_of(duck, "SELECT l_extendedprice / 10000, l_discount, l_tax, l_quantity, l_orderkey FROM lineitem")
+    test = x[:, 4] % 5 == 0
+    beta, _ = cox_of(x[~test, :3], x[~test, 3], x[~test, 3] > 1.5)
+    time, predicted = x[test, 3], np.round(-x[test, :3] @ beta, 3)
+    earlier = (time[:, None] < time[None, :]) & (time > 1.5)[:, None]
+    right = (predicted[:, None] < predicted[None, :]) + 0.5 * (predicted[:, None] == predicted[None, :])
+    assert len(rows) == 1 and rows[0]["pairs"] == earlier.sum() and abs(rows[0]["concordance"] - right[earlier].mean()) < 1e-3
+
+
+def correlation_tests(duck, rows):
+    x = columns_of(duck, "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_partkey, l_suppkey FROM lineitem")
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+    r = np.corrcoef(x.T)
+    assert len(rows) == 10
+    for row in rows:
+        want = r[names.index(row["target"]), names.index(row["column"])]
+        assert abs(row["r"] - want) < 2e-6 and 0 <= row["p"] <= 1
+    for target in ("l_quantity", "l_tax"):
+        own = sorted((r for r in rows if r["target"] == target), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == [1, 2, 3, 4, 5] and [r["r"] for r in own] == sorted((r["r"] for r in own), reverse=True)
+
+
+def ordered_changes(duck, rows):
+    lines = duck.sql("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 2 AS odd, event_type FROM events ORDER BY user_id, ts, event_id").fetchall()
+    want = {}
+    for f in {x[0] for x in lines}:
+        t, b = ([x[2] for x in lines if x[0] == f and x[1] == odd] for odd in (0, 1))
+        table = [[0] * (len(b) + 1) for _ in range(len(t) + 1)]
+        for i, p in enumerate(t):
+            for j, q in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
+        same = table[-1][-1]
+        want[f] = (len(t) - same, len(b) - same, sum((Counter(t) & Counter(b)).values()) - same)
+    assert {r["faddr"]: (r["added"], r["removed"], r["moved"]) for r in rows} == want
+
+
 PROPERTIES = {
+    "m1_cox": cox, "m1_cox_held_out": held_out, "a31_correlation_tests": correlation_tests, "t16_ordered_changes": ordered_changes,
     "j5_assigned_pairs": largest_assignment,
     "j4_name_pairs": name_pairs, "j6_pair_report": pair_report, "w8_random_sample": sampled, "w9_shuffle": lambda duck, rows: sampled(duck, rows, 1), "w15_packed_greedy": packed,
     "g9_betweenness": betweenness, "m1_survival": survival, "m4_principal_components": components, "m5_linear": linear,
