@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.common import Memo, small_batches, text_or_empty, written
-from cairn.llm.forced_bpe import ForcedCodec, cut_before
+from cairn.llm.forced_bpe import LATIN, ForcedCodec, cut_before
 
 #: For each of two generations of stretches, in each Python worker.
 CACHE_ENTRIES = 150_000
@@ -128,7 +128,9 @@ class Aligner:
         """Of a stretch: its groups written out, the numbers of both sides' tokens and of groups, its linked pairs with repeats; False where the tokens of one side do not give the text back."""
         if text not in self.coded:  # it was known a moment ago, but the cache has turned over since
             self.code([text])
-        a, b = memoryview(self.a.chunk(text)).cast("I").tolist(), self.coded.pop(text)
+        word = text[1:] if text[0] == " " else text
+        coded = self.a.match(text) if word.isalpha() and LATIN(word) else self.a.chunk(text)  # a word is one match
+        a, b = memoryview(coded).cast("I").tolist(), self.coded.pop(text)
         if b is None or b"".join(map(self.data_b.__getitem__, b)) != text.encode():
             return False
         if len(a) == 1 or len(b) == 1:  # no end inside both
@@ -142,7 +144,9 @@ class Aligner:
 
     def align(self, text: str) -> tuple[str, int, int, int, bytes, bytes]:
         """(groups, n_a, n_b, n_groups, pairs, times): each linked pair once, ascending, and how often it is linked."""
-        stretches = [x for x in self.stretches(" " + text) if x] if text else []
+        stretches = self.stretches(" " + text) if text else []
+        if stretches and not stretches[-1]:  # the pattern also matches the end
+            stretches.pop()
         counts = Counter(stretches)
         self.code([x for x in counts if x not in self.known and x not in self.known.old])
         units = {x: self.known[x] for x in counts}

@@ -39,7 +39,7 @@ def noting() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _noted.remove(paths)
+        _noted[:] = [x for x in _noted if x is not paths]
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
