@@ -172,9 +172,24 @@ def path_counts(edges: DataFrame, by: list[str], start: DataFrame, end: int, dep
         at = at.select(*by, F.col("node").alias("src"), "paths").join(once, [*by, "src"]).groupBy(*by, F.col("dst").alias("node")).agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
         hit = at.where(F.col("node") == end).select(*by, "paths")
         total = hit if total is None else total.unionByName(hit)
+    if total is None:  # no steps: the paths of length nought don't count
+        return at.select(*by, "paths").limit(0).withColumn("paths", F.col("paths").cast("long"))
     return total.groupBy(*by).agg(F.sum("paths").cast("long").alias("paths"))
 
 
+def sibling_kinds(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(x, y, n): how many unordered pairs of callees of one function have the kinds x and y (x no later than y), over all functions. kinds is (node, kind), a kind for each node.
+
+    A function's callees are counted by kind first, so a hub makes a row for each two kinds among its callees, however many callees it has.
+    """
+    of = kinds.select(F.col("node").alias("dst"), "kind")
+    held = checkpointed(edges.select("src", "dst").distinct().join(of, "dst").groupBy("src", "kind").agg(F.count(F.lit(1)).alias("c")))
+    other = held.select("src", F.col("kind").alias("y"), F.col("c").alias("d"))
+    both = held.withColumnRenamed("kind", "x").join(other, "src").where("x <= y")
+    pairs = F.when(F.col("x") == F.col("y"), F.col("c") * (F.col("c") - 1) / 2).otherwise(F.col("c") * F.col("d"))
+    return both.groupBy("x", "y").agg(F.sum(pairs.cast("long")).alias("n")).where("n > 0")
+
+
 def sibling_pairs(edges: DataFrame) -> DataFrame:
     """(src, a, b): the unordered pairs of callees of one function."""
     once = edges.select("src", "dst").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,27 +111,76 @@ def concordance(df: DataFrame, time: str, event: str, predicted: str) -> DataFra
 
 
 def density_clusters(points: DataFrame, columns: list[str], eps: float, least: int, key: str = "id") -> DataFrame:
-    """(key, cluster): clusters of points within eps of a core point, which has `least` of them with itself; null for noise.
+    """(key, cluster): clusters of points within eps of a core point, which has `least` of them with itself; null for noise, and for points with a null.
 
-    Neighbours meet in grid cells of width eps (each point is sent to the 3^d cells around its own), then the
-    exact distance decides. A cluster's number is its smallest core point's key; a border point goes to the smallest.
+    Cells of width eps / sqrt(dimensions) hold only points within eps of each other, so all points of a cell with `least` of them are core points, and all core points of a cell are in one
+    cluster: no pairs are made within a cell. Only points of other cells, fewer than `least` a cell, meet the points around them. Whether core points of two neighbouring cells are
+    within eps is found by halving both cells as long as some point of either half might be near (see _touching). A cluster's number is its smallest core point's key; a border point goes to the smallest cluster near. Keys are unique.
+    """
+    d = len(columns)
+    width = eps / d**0.5 * (1 - 1e-9)
+    reach = int(eps / width) + 1
+    near = [o for o in product(range(-reach, reach + 1), repeat=d) if sum(max(abs(x) - 1, 0) ** 2 for x in o) * width**2 <= eps**2]
+    g, x = [f"g{i}" for i in range(d)], [f"x{i}" for i in range(d)]
+    whole = points.na.drop(subset=[key, *columns])
+    base = checkpointed(whole.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, x, strict=True)], *[F.floor(F.col(c) / width).cast("long").alias(n) for c, n in zip(columns, g, strict=True)]))
+    crowded = base.groupBy(*g).agg((F.count(F.lit(1)) >= least).alias("full"))
+    base = checkpointed(base.join(crowded, g))
+
+    def around(some: DataFrame, others: DataFrame) -> DataFrame:
+        """(id, other columns) of points of some with those of others, in cells near by, that are within eps."""
+        offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in near])
+        moved = some.select("id", *[F.col(n).alias(f"a_{n}") for n in x], *g, F.explode(offsets).alias("o"))
+        moved = moved.select("id", *[f"a_{n}" for n in x], *[(F.col(n) + F.col("o")[i]).alias(n) for i, n in enumerate(g)])
+        distance = sum((F.col(f"a_{n}") - F.col(n)) ** 2 for n in x)
+        return moved.join(others, g).where(distance <= eps * eps)
+
+    lone = base.where("NOT full")
+    found = around(lone, base.drop("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("id")
+    core = checkpointed(base.where("full").unionByName(lone.join(found, "id", "left_semi")).drop("full"))
+    cells = checkpointed(core.groupBy(*g).agg(F.min("id").alias("node")))
+    half = F.array(*[F.array(*[F.lit(v) for v in o]) for o in near if o > (0,) * d])
+    moved = cells.select(F.col("node").alias("a"), *[F.col(n).alias(f"a_{n}") for n in g], F.explode(half).alias("o")).withColumns({n: F.col(f"a_{n}") + F.col("o")[i] for i, n in enumerate(g)})
+    pairs = moved.join(cells.withColumnRenamed("node", "b"), g).select("a", "b", *[f"a_{n}" for n in g], *[F.col(n).alias(f"b_{n}") for n in g])
+    edges = _touching(checkpointed(pairs), core, width, eps, d)
+    both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = _least(both, cells.select("node"), [], "a", "b")
+    named = cells.join(labels, "node").select(*g, "label")
+    inner = core.join(named, g).select("id", F.col("label").alias("cluster"))
+    border = around(lone.join(core.select("id"), "id", "left_anti"), core.join(named, g).select(*x, *g, "label")).groupBy("id").agg(F.min("label").alias("cluster"))
+    return points.select(key).join(inner.unionByName(border).withColumnRenamed("id", key), key, "left").select(key, "cluster")
+
+
+def _touching(pairs: DataFrame, core: DataFrame, width: float, eps: float, d: int, most_levels: int = 40) -> DataFrame:
+    """(a, b) of the pairs of cells of which some core points are within eps.
+
+    pairs is (a, b, a_g0.., b_g0..). A part of a cell is known by one of its points: if those of two parts are within eps, the cells touch; parts that are further apart than eps are dropped; the
+    others are halved along each side, and only halves with points go on. Parts with one place each are decided. After most_levels halvings a part is a point for all purposes.
     """
-    cells = [F.floor(F.col(c) / eps).cast("long") for c in columns]
-    own = points.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns], *[x.alias(f"g{i}") for i, x in enumerate(cells)])
-    around = points.select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns], *[x.alias(f"h{i}") for i, x in enumerate(cells)])
-    for i in range(len(columns)):
-        around = around.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"h{i}") + d for d in (-1, 0, 1)])))
-    near = own.join(around, [f"g{i}" for i in range(len(columns))])
-    distance = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in columns)
-    pairs = checkpointed(near.where(distance <= eps * eps).select("a", "b"))
-    core = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("node"))
-    core = checkpointed(core)
-    inner = pairs.join(core.select(F.col("node").alias("a")), "a", "left_semi").join(core.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = _least(inner, core, [], "src", "dst")
-    of = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("cluster"))
-    own_label = labels.select(F.col("node").alias("a"), F.col("label").alias("own"))
-    out = points.select(F.col(key).alias("a")).join(of, "a", "left").join(own_label, "a", "left")
-    return out.select(F.col("a").alias(key), F.coalesce("own", "cluster").alias("cluster"))
+    g, x = [f"g{i}" for i in range(d)], [f"x{i}" for i in range(d)]
+    out = None
+    for level in range(most_levels + 1):
+        size = width / 2**level
+        place = [F.floor(F.col(n) / size).cast("long").alias(m) for n, m in zip(x, g, strict=True)]
+        parts = core.select(*place, F.struct(*x).alias("p")).groupBy(*g).agg(F.min("p").alias("p"), (F.min("p") == F.max("p")).alias("one"))
+        side = lambda s, parts=parts: parts.select(*[F.col(n).alias(f"{s}_{n}") for n in g], F.col("p").alias(f"{s}_p"), F.col("one").alias(f"{s}_one"))
+        if level:  # halves of the parts that are left
+            up = lambda s: [F.shiftright(F.col(f"{s}_{n}"), 1).alias(f"{s}_up{n}") for n in g]
+            for s in "ab":
+                pairs = pairs.join(side(s).select("*", *up(s)), [f"{s}_up{n}" for n in g])
+        else:
+            for s in "ab":
+                pairs = pairs.join(side(s), [f"{s}_{n}" for n in g])
+        apart = sum((F.greatest(F.abs(F.col(f"a_{n}") - F.col(f"b_{n}")) - 1, F.lit(0)).cast("double") * size) ** 2 for n in g)
+        distance = sum((F.col(f"a_p.{n}") - F.col(f"b_p.{n}")) ** 2 for n in x)
+        seen = checkpointed(pairs.where(apart <= eps * eps * (1 + 1e-9)).withColumn("near", distance <= eps * eps))
+        found = seen.where("near").select("a", "b").distinct()
+        out = found if out is None else out.unionByName(found)
+        left = seen.where("NOT near AND NOT (a_one AND b_one)").join(found, ["a", "b"], "left_anti")
+        pairs = checkpointed(left.select("a", "b", *[F.col(f"{s}_{n}").alias(f"{s}_up{n}") for s in "ab" for n in g]))
+        if not pairs.limit(1).count():
+            break
+    return out
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int) -> DataFrame:

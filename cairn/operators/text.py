@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ def bm25(documents: DataFrame, query: str, key: list[str], k: int | None = 10, k
 
     Only the query's terms are exploded; lengths and document frequencies are aggregates over all documents.
     """
-    terms = sorted(set(__import__("re").findall("[a-z]{3,}", query.lower())))
+    terms = sorted(set(re.findall("[a-z]{3,}", query.lower())))
     if not terms:
         return documents.select(*key, F.lit(0.0).alias("score")).limit(0)
     sized = documents.withColumn("dl", F.size("tokens"))
@@ -40,7 +41,7 @@ def bm25(documents: DataFrame, query: str, key: list[str], k: int | None = 10, k
 
 def bm25_within(strings: DataFrame, query: str) -> DataFrame:
     """(oid, value, score): the same inside each object, over its distinct strings."""
-    terms = sorted(set(__import__("re").findall("[a-z]{3,}", query.lower())))
+    terms = sorted(set(re.findall("[a-z]{3,}", query.lower())))
     each = strings.select("oid", "value").distinct().withColumn("tokens", tokens(F.col("value"))).withColumn("dl", F.size("tokens"))
     total = each.groupBy("oid").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     hits = each.select("oid", "value", "dl", F.explode(F.filter("tokens", lambda t: t.isin(terms))).alias("term")).groupBy("oid", "value", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -123,9 +123,7 @@ def _(t: Bound) -> DataFrame:
 
 @query("g12_sibling_pairs", "call_edges", "SELECT least(x.p_type, y.p_type) AS x, greatest(x.p_type, y.p_type) AS y, count(*) AS n FROM call_edges a JOIN call_edges b ON a.src = b.src AND a.dst < b.dst JOIN part x ON a.dst = x.p_partkey JOIN part y ON b.dst = y.p_partkey GROUP BY 1, 2")
 def _(t: Bound) -> DataFrame:
-    kind = lambda k, n: t.raw("part").select(F.col("p_partkey").alias(k), F.col("p_type").alias(n))
-    named = graph.sibling_pairs(t.call_edges).join(kind("a", "ta"), "a").join(kind("b", "tb"), "b")
-    return named.groupBy(F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.sibling_kinds(t.call_edges, t.raw("part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("kind")))
 
 
 @query("g13_path_counts", "block_edges", "WITH RECURSIVE e AS (SELECT DISTINCT * FROM block_edges), walk AS (SELECT DISTINCT faddr, 0::BIGINT AS node, 0 AS depth FROM e UNION ALL SELECT w.faddr, e.dst, depth + 1 FROM walk w JOIN e ON e.faddr = w.faddr AND e.src = w.node WHERE depth < 6) SELECT faddr, count(*) AS paths FROM walk WHERE node = 5 AND depth > 0 GROUP BY faddr")

@@ -498,3 +498,54 @@ def test_cox_of_ties_and_errors(spark):
     assert np.allclose([got["x"], got["y"]], np.column_stack([beta, errors]), atol=1e-4)
     with pytest.raises(ValueError):
         models.cox(df.withColumn("e", F.lit(0)), "t", "e", ["x"])
+
+
+def test_sibling_kinds_of_a_hub(spark):
+    rnd = random.Random(17)
+    edges = [(0, i) for i in range(300)] + [(rnd.randrange(1, 9), rnd.randrange(300)) for _ in range(200)] + [(0, 5)]
+    kinds = [(i, f"k{i % 7}") for i in range(290)]
+    got = {(r.x, r.y): r.n for r in graph.sibling_kinds(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(kinds, "node long, kind string")).collect()}
+    want = {}
+    of = dict(kinds)
+    for s in range(9):
+        callees = sorted({d for a, d in edges if a == s and d in of})
+        for i, a in enumerate(callees):
+            for b in callees[i + 1 :]:
+                key = tuple(sorted((of[a], of[b])))
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_no_steps_are_no_paths(spark):
+    edges = spark.createDataFrame([(1, 0, 5)], "g int, src long, dst long")
+    assert graph.path_counts(edges, ["g"], spark.createDataFrame([(1, 0)], "g int, node long"), 5, 0).count() == 0
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_density_clusters_against_all_pairs(spark, d):
+    rnd = random.Random(18 + d)
+    centres = [[rnd.uniform(-6, 6) for _ in range(d)] for _ in range(6)]
+    points = [[rnd.gauss(c, 0.4) for c in rnd.choice(centres)] for _ in range(260)] + [[rnd.uniform(-9, 9) for _ in range(d)] for _ in range(40)]
+    points += [points[0]] * 3 + [[0.5 * k] + [20.0] * (d - 1) for k in range(12)]  # copies, and a chain whose steps are eps
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(900, None, *[1.0] * (d - 1))], ", ".join(["id long", *[f"c{i} double" for i in range(d)]]))
+    near = [[j for j, q in enumerate(points) if sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= 0.25] for p in points]
+    core = {i for i, n in enumerate(near) if len(n) >= 4}
+    label = {i: i for i in core}
+    for _ in core:
+        new = {i: min([label[j] for j in near[i] if j in core]) for i in core}
+        if new == label:
+            break
+        label = new
+    want = {i: label[i] if i in core else min([label[j] for j in near[i] if j in core], default=None) for i in range(len(points))} | {900: None}
+    assert {r.id: r.cluster for r in models.density_clusters(df, [f"c{i}" for i in range(d)], 0.5, 4).collect()} == want
+
+
+def test_density_clusters_of_crowded_cells(spark):
+    """Two cells of 50,000 points, apart by a little more than eps or by a little less."""
+    for gap, clusters in ((1.0001, 2), (0.9999, 1)):
+        left = spark.range(50_000).selectExpr("id", "-0.3 * rand(1) AS x", "0.3 * rand(2) AS y")
+        right = spark.range(50_000, 100_000).selectExpr("id", f"{gap} + 0.3 * rand(3) AS x", "0.3 * rand(4) AS y")
+        lone = spark.createDataFrame([(200_000, 0.0, 0.1), (200_001, gap, 0.1), (200_002, 50.0, 50.0)], "id long, x double, y double")
+        got = models.density_clusters(left.unionByName(right).unionByName(lone), ["x", "y"], 1.0, 4)
+        counts = {r.cluster: r["count"] for r in got.groupBy("cluster").count().collect()}
+        assert counts.pop(None) == 1 and sorted(counts) == ([0, 50_000] if clusters == 2 else [0]) and sum(counts.values()) == 100_002
