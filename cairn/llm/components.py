@@ -14,7 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round is two aggregations and two joins whose one side has a row for each node, so a
     node with very many neighbours is a skewed key of a join that adaptive execution splits.
     Rounds end when the edges no longer change; their number grows with the logarithm of the
-    longest path. Self loops and repeated edges change nothing; no edges give no rows.
+    longest path. Self loops, repeated edges and edges with a null change nothing; no edges give no rows.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None

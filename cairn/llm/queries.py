@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by tree reduction, and their decoding, as digests; null texts are empty."""
     import public_tokenizers
 
     from cairn.llm.bpe import encode
@@ -28,6 +29,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and both verdicts of every document; null texts have no words."""
     from cairn.llm.common import written
     from cairn.llm.quality_rules import BASE, judge, measured
 
@@ -36,18 +38,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null and empty pages have none."""
     from cairn.llm.html_text import extract
 
     return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in every document: coverage and span of each."""
     from cairn.llm.licenses import scan
 
     return scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next one's beginning, and near fingerprints of every twentieth id."""
     from cairn.llm.common import written
     from cairn.llm.fingerprints import with_next, within
 
@@ -61,6 +66,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, Gumbel keys and verdicts of every document."""
     from cairn.llm.importance import resample
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +74,7 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the list entries that were active at its capture."""
     pages = _table(spark, sf_dir, "pages")
     captures = spark.sql(url_lists.CAPTURES.replace("FROM pages", "FROM {pages}"), pages=pages)
     entries = spark.sql(url_lists.ENTRIES.replace("FROM pages", "FROM {pages}"), pages=pages)
@@ -75,6 +82,7 @@ def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; fingerprints link at two bits."""
     from cairn.llm.common import written
     from cairn.llm.simhash_dedup import dedup, fingerprints
 
@@ -84,6 +92,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the spans of personal data in every document."""
     from cairn.llm import pii
     from cairn.llm.common import written
 
@@ -93,6 +102,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences."""
     import public_tokenizers
 
     from cairn.llm.packing import packed
