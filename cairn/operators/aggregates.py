@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.graph import checkpointed
+
 CHUNK = 1024
 
 
@@ -156,6 +158,35 @@ def import_coverage(imports: DataFrame, share: float, covered: float = 1.0) -> D
     return needs.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY rank)").cast("long").alias("functions"), F.count(F.lit(1)).alias("files"))
 
 
+def adaptive_coverage(imports: DataFrame, share: float, covered: float = 0.9, step: float = 0.1) -> DataFrame:
+    """(round, functions, files): how many functions were chosen, and how many files had `covered` of their imports among them, after each round, until a share of the files has.
+
+    Popularity counts only files that are not covered yet. A round chooses every function with at least 1 - step of the largest popularity left; so each was within that factor of the best
+    choice of its round, and the number of rounds grows with the logarithm of the popularity, not with the number of functions. With step 0 a round takes the most popular function and its ties.
+    Files without imports don't count; null files and names are no imports. Only counts come to the driver.
+    """
+    held = checkpointed(imports.where("oid IS NOT NULL AND name IS NOT NULL").select("oid", "name").distinct())
+    sizes = held.groupBy("oid").agg(F.count(F.lit(1)).alias("n"))
+    files = sizes.count()
+    left = checkpointed(held.join(sizes, "oid"))  # imports of files that are not covered, of functions not chosen: n is the file's size
+    chosen, done, rows = 0, 0, []
+    while done < share * files - 1e-9:
+        popular = left.groupBy("name").agg(F.count(F.lit(1)).alias("files"))
+        popular = checkpointed(popular)
+        most = popular.agg(F.max("files")).first()[0]
+        if most is None:
+            break
+        now = popular.where(F.col("files") >= most * (1 - step)).select("name")
+        rest = left.join(now, "name", "left_anti")
+        # What a file still lacks: it is covered when that is no more than the share that it may lack.
+        lacking = rest.groupBy("oid", "n").agg(F.count(F.lit(1)).alias("lacks"))
+        open_ = checkpointed(lacking.where(F.col("lacks") > F.col("n") * (1 - covered) + 1e-9).select("oid"))
+        chosen, done = chosen + now.count(), files - open_.count()
+        rows.append((len(rows) + 1, chosen, done))
+        left = checkpointed(rest.join(open_, "oid", "left_semi"))
+    return imports.sparkSession.createDataFrame(rows, "round int, functions long, files long")
+
+
 def pair_occurrences(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Unordered pairs with counts and percent of all."""
     counts = pairs.groupBy(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
