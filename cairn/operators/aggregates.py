@@ -158,6 +158,29 @@ def import_coverage(imports: DataFrame, share: float, covered: float = 1.0) -> D
     return needs.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY rank)").cast("long").alias("functions"), F.count(F.lit(1)).alias("files"))
 
 
+def file_statistics(files: DataFrame, names: DataFrame | None = None, sections: DataFrame | None = None, blocked: DataFrame | None = None, rtti: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """files (oid and more) with what the tables that are given tell of each, null where they have nothing of a file.
+
+    names (oid, name): names. sections (oid, name, start): sections, parts (their names by start). blocked instructions (oid, faddr, block, mnemonic): functions, blocks, instructions, listed (the
+    functions), top (the commonest mnemonics, at most `most`). rtti (oid, rtti): whether run-time type information was found. Each list is as long as the file's own names, sections or functions.
+    """
+    out = files
+    if names is not None:
+        out = out.join(names.groupBy("oid").agg(F.array_sort(F.collect_set("name")).alias("names")), "oid", "left")
+    if sections is not None:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"])
+        out = out.join(sections.groupBy("oid").agg(F.count(F.lit(1)).alias("sections"), parts.alias("parts")), "oid", "left")
+    if blocked is not None:
+        shape = blocked.groupBy("oid").agg(F.count_distinct("faddr").alias("functions"), F.count_distinct("faddr", "block").alias("blocks"), F.count(F.lit(1)).alias("instructions"), F.array_sort(F.collect_set("faddr")).alias("listed"))
+        ranked = Window.partitionBy("oid").orderBy(F.desc("n"), "mnemonic")
+        best = blocked.groupBy("oid", "mnemonic").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most)
+        top = best.groupBy("oid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "mnemonic"))), lambda x: x["mnemonic"]).alias("top"))
+        out = out.join(shape, "oid", "left").join(top, "oid", "left")
+    if rtti is not None:
+        out = out.join(rtti.select("oid", "rtti"), "oid", "left")
+    return out
+
+
 def adaptive_coverage(imports: DataFrame, share: float, covered: float = 0.9, step: float = 0.1) -> DataFrame:
     """(round, functions, files): how many functions were chosen, and how many files had `covered` of their imports among them, after each round, until a share of the files has.
 

@@ -60,12 +60,29 @@ def orphans(objects: DataFrame, members: DataFrame) -> DataFrame:
     return objects.select("oid").join(members, "oid", "left_anti")
 
 
+#: Tools, groups or prompts that a query crosses with all rows, at most.
+MOST_FEW = 2_000
+
+
+def few(df: DataFrame, column: str, most: int = MOST_FEW) -> list:
+    """The distinct values of a column that are few by their nature, as tools are; more than `most` are an error."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(found)
+
+
+def each_of(values: list, kind: str) -> Column:
+    """A row for each of some values."""
+    return F.explode(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"))
+
+
 def difference_matrix(items: DataFrame, group: str, item: list[str]) -> DataFrame:
     """(y, x, only): how many items of y are not in x, and in rows with x null all of y's."""
     one = items.select(group, *item).distinct()
     totals = one.groupBy(F.col(group).alias("y")).agg(F.count(F.lit(1)).alias("total"))
     common = one.withColumnRenamed(group, "y").join(one.withColumnRenamed(group, "x"), item).groupBy("y", "x").agg(F.count(F.lit(1)).alias("common"))
-    pairs = totals.crossJoin(F.broadcast(totals.select(F.col("y").alias("x"))))  # a row for each pair of tools, of which there are few
+    pairs = totals.withColumn("x", each_of(few(one, group), one.schema[group].dataType.simpleString()))
     cells = pairs.join(common, ["y", "x"], "left").select("y", "x", (F.col("total") - F.coalesce("common", F.lit(0))).alias("only"))
     return cells.unionByName(totals.select("y", F.lit(None).cast(cells.schema["x"].dataType).alias("x"), F.col("total").alias("only")))
 

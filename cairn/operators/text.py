@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.sets import few
+
 #: Okapi's parameters.
 K1, B = 1.5, 0.75
 
@@ -81,7 +83,8 @@ VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 1024
 
 
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, vec_id, label, sim): cosine of every vector with each of a few queries (prompts), which are broadcast."""
+    """(query, vec_id, label, sim): cosine of every vector with each of a few queries (prompts), which are broadcast; more than MOST_FEW are an error."""
+    few(queries, "vec_id")
     q = queries.select(F.col("vec_id").alias("query"), unit("embedding").alias("q"))
     return vectors.select("vec_id", "label", unit("embedding").alias("v")).crossJoin(F.broadcast(q)).select("query", "vec_id", "label", dot("q", "v").alias("sim"))
 

@@ -125,18 +125,13 @@ TOP = "SELECT oid, mnemonic, n, row_number() OVER (PARTITION BY oid ORDER BY n D
 
 @query("a16_file_statistics", "blocked instructions", f"SELECT oid, functions, blocks, listed, top FROM (SELECT oid, count(DISTINCT faddr) AS functions, count(DISTINCT (faddr, block)) AS blocks, list_sort(list(DISTINCT faddr)) AS listed FROM blocked GROUP BY oid) JOIN (SELECT oid, list(mnemonic ORDER BY rank) AS top FROM ({TOP}) WHERE rank <= 10 GROUP BY oid) USING (oid)")
 def _(t: Bound) -> DataFrame:
-    shape = t.blocked.groupBy("oid").agg(F.count_distinct("faddr").alias("functions"), F.count_distinct("faddr", "block").alias("blocks"), F.array_sort(F.collect_set("faddr")).alias("listed"))
-    best = windows.top_in(t.instructions.groupBy("oid", "mnemonic").agg(F.count(F.lit(1)).alias("n")), ["oid"], [F.desc("n"), "mnemonic"], 10)
-    listed = best.groupBy("oid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "mnemonic"))), lambda x: x.mnemonic).alias("top"))
-    return shape.join(listed, "oid", "left")
+    return a.file_statistics(t.blocked.select("oid").distinct(), blocked=t.blocked).select("oid", "functions", "blocks", "listed", "top")
 
 
 @query("a16_object_statistics", "objects names sections", "SELECT oid, size, sections, parts, names FROM objects JOIN (SELECT oid, count(*) AS sections, list(name ORDER BY start, name) AS parts FROM sections GROUP BY oid) USING (oid) JOIN (SELECT oid, list_sort(list(DISTINCT name)) AS names FROM names GROUP BY oid) USING (oid)")
 def _(t: Bound) -> DataFrame:
     """Of every object its size, names and sections."""
-    parts = t.sections.groupBy("oid").agg(F.count(F.lit(1)).alias("sections"), F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]).alias("parts"))
-    named = t.names.groupBy("oid").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    return t.objects.select("oid", "size").join(parts, "oid").join(named, "oid").select("oid", "size", "sections", "parts", "names")
+    return a.file_statistics(t.objects.select("oid", "size"), names=t.names, sections=t.sections).select("oid", "size", "sections", "parts", "names")
 
 
 @query("a17_file_vector", "blocked", "SELECT oid, [count(DISTINCT faddr), count(DISTINCT (faddr, block)), count(*), count(*) FILTER (mnemonic = 'purchase')] AS vector FROM blocked GROUP BY oid")

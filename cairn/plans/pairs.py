@@ -57,7 +57,8 @@ def _(t: Bound) -> DataFrame:
     by_id = t.documents.select("doc_id", "oid")
     scored = t.matches.join(by_id.select(F.col("doc_id").alias("t"), F.col("oid").alias("to")), "t").join(by_id.select(F.col("doc_id").alias("b"), F.col("oid").alias("bo")), "b").groupBy(F.col("to").alias("t"), F.col("bo").alias("b")).agg(F.max("similarity").alias("score"))
     named = lambda s: t.documents.where(f"source = '{s}'").select("oid", F.concat_ws("_", "lang", "n_chars").alias("name"))
-    pairs = named("src1").withColumnRenamed("oid", "t").join(named("src0").withColumnRenamed("oid", "b"), "name").select("t", "b").distinct()
+    both = side("src1").join(side("src0"), "oid", "left_semi")
+    pairs = joins.pair_by_name(named("src1").join(both, "oid", "left_anti"), named("src0").join(both, "oid", "left_anti"))
     return joins.pair_files(side("src1"), side("src0"), pairs, scored)
 
 

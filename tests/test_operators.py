@@ -549,3 +549,27 @@ def test_density_clusters_of_crowded_cells(spark):
         got = models.density_clusters(left.unionByName(right).unionByName(lone), ["x", "y"], 1.0, 4)
         counts = {r.cluster: r["count"] for r in got.groupBy("cluster").count().collect()}
         assert counts.pop(None) == 1 and sorted(counts) == ([0, 50_000] if clusters == 2 else [0]) and sum(counts.values()) == 100_002
+
+
+def test_file_statistics_of_all_tables(spark):
+    files_ = spark.createDataFrame([("a",), ("b",), ("c",)], "oid string")
+    names = spark.createDataFrame([("a", "z"), ("a", "y"), ("a", "y"), ("b", "x")], "oid string, name string")
+    sections = spark.createDataFrame([("a", "text", 64), ("a", "head", 0)], "oid string, name string, start long")
+    blocked = spark.createDataFrame([("a", 1, 1, "mov"), ("a", 1, 2, "mov"), ("a", 2, 9, "add"), ("b", 5, 5, "ret")], "oid string, faddr long, block long, mnemonic string")
+    rtti = spark.createDataFrame([("a", True), ("b", False)], "oid string, rtti boolean")
+    got = {r.oid: r.asDict() for r in aggregates.file_statistics(files_, names, sections, blocked, rtti, most=1).collect()}
+    assert got["a"] == {"oid": "a", "names": ["y", "z"], "sections": 2, "parts": ["head", "text"], "functions": 2, "blocks": 3, "instructions": 3, "listed": [1, 2], "top": ["mov"], "rtti": True}
+    assert got["b"]["functions"] == 1 and got["b"]["sections"] is None and got["b"]["rtti"] is False
+    assert len(got) == 3 and all(v is None for k, v in got["c"].items() if k != "oid")
+
+
+def test_pairs_by_name_of_files_with_several_names(spark):
+    rnd = random.Random(19)
+    some = lambda side: [(f"{side}{i:03}", f"n{min(rnd.randrange(9), rnd.randrange(9))}") for i in range(60) for _ in range(rnd.randrange(1, 4))] + [(None, "n1"), ("x", None)]
+    t, b = some("t"), some("b")
+    got = [tuple(r) for r in joins.pair_by_name(spark.createDataFrame(t, "oid string, name string"), spark.createDataFrame(b, "oid string, name string")).collect()]
+    names = lambda rows: {o: {n for p, n in rows if p == o} for o, _ in rows}
+    of_t, of_b = names(t), names(b)
+    assert len({x for x, _ in got}) == len({y for _, y in got}) == len(got) > 40 and all((of_t[x] & of_b[y]) - {None} for x, y in got)
+    left = [set().union(*[n for o, n in of.items() if o and o not in {r[k] for r in got}]) - {None} for k, of in ((0, of_t), (1, of_b))]
+    assert not left[0] & left[1]
