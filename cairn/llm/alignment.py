@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from cairn.llm.common import Memo, small_batches, text_or_empty, written
 from cairn.llm.forced_bpe import LATIN, ForcedCodec, cut_before
 
 #: For each of two generations of stretches, in each Python worker.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 MARK = "▁"
 #: A block's documents and bytes of text, at most (but a longer text is a block of its own).
 BLOCK_ROWS, BLOCK_BYTES = 2000, 16 << 20
@@ -129,18 +130,24 @@ class Aligner:
         if text not in self.coded:  # it was known a moment ago, but the cache has turned over since
             self.code([text])
         word = text[1:] if text[0] == " " else text
-        coded = self.a.match(text) if word.isalpha() and LATIN(word) else self.a.chunk(text)  # a word is one match
-        a, b = memoryview(coded).cast("I").tolist(), self.coded.pop(text)
+        a = self.a.word(text) if word.isalpha() and LATIN(word) else memoryview(self.a.chunk(text)).cast("I").tolist()
+        b = self.coded.pop(text)
         if b is None or b"".join(map(self.data_b.__getitem__, b)) != text.encode():
             return False
+        if len(a) == 1 == len(b):
+            return f"{a[0]}|{b[0]}", 1, 1, 1, array("q", [a[0] << SIDE | b[0]]).tobytes()
         if len(a) == 1 or len(b) == 1:  # no end inside both
             return f"{','.join(map(str, a))}|{','.join(map(str, b))}", len(a), len(b), 1, array("q", linked_pairs(a, b, [], [])).tobytes()
         ends_a, ends_b = list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b)))
-        parts, pairs = [], array("q")
+        parts, pairs = [], []
         for i, j, k, m in groups(ends_a, ends_b):
-            parts.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
-            pairs.extend(linked_pairs(a[i:j], b[k:m], ends_a[i:j], ends_b[k:m]))
-        return ";".join(parts), len(a), len(b), len(parts), pairs.tobytes()
+            if j - i == 1 == m - k:
+                parts.append(f"{a[i]}|{b[k]}")
+                pairs.append(a[i] << SIDE | b[k])
+            else:
+                parts.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
+                pairs += linked_pairs(a[i:j], b[k:m], ends_a[i:j], ends_b[k:m])
+        return ";".join(parts), len(a), len(b), len(parts), array("q", pairs).tobytes()
 
     def align(self, text: str) -> tuple[str, int, int, int, bytes, bytes]:
         """(groups, n_a, n_b, n_groups, pairs, times): each linked pair once, ascending, and how often it is linked."""
@@ -152,15 +159,14 @@ class Aligner:
         units = {x: self.known[x] for x in counts}
         if not counts or not all(units.values()):
             return "", 0, 0, 0, b"", b""
-        n_a = n_b = n_groups = 0
-        for x, n in counts.items():
-            _, a, b, g, _ = units[x]
-            n_a, n_b, n_groups = n_a + n * a, n_b + n * b, n_groups + n * g
-        held = [u[4] for u in units.values()]
+        written_out, a, b, g, held = zip(*units.values(), strict=True)
+        often = list(counts.values())
+        n_a, n_b, n_groups = (sum(map(mul, often, x)) for x in (a, b, g))
         pairs, place = np.unique(np.frombuffer(b"".join(held), np.int64), return_inverse=True)
-        times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) // 8 for x in held])
+        times = np.repeat(often, np.fromiter(map(len, held), np.int64, len(held)) // 8)
         linked = np.bincount(place, times, len(pairs)).astype(np.int64)
-        return ";".join([units[x][0] for x in stretches]), n_a, n_b, n_groups, pairs.tobytes(), linked.tobytes()
+        text_of = dict(zip(units, written_out, strict=True))
+        return ";".join(map(text_of.__getitem__, stretches)), n_a, n_b, n_groups, pairs.tobytes(), linked.tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -17,6 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,7 @@ LATIN = re.compile("[\x00-ɏ]*\\Z").match
 PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 AS_PRINTED = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
 AS_BYTE = {chr(AS_PRINTED.get(b, b)): b for b in range(256)}
+BLANK = chr(AS_PRINTED[32])
 SPACES = "\t\n\x0b\x0c\r "
 
 
@@ -90,6 +92,8 @@ class ForcedCodec:
     def fragments(self, match: str) -> list[str]:
         """A match, as printed, cut at every pair that is inside no token."""
         inside, start, out = self.inside, 0, []
+        if all(map(inside.__contains__, map(add, match, match[1:]))):
+            return [match]
         for i in range(1, len(match)):
             if match[i - 1 : i + 1] not in inside:
                 out.append(match[start:i])
@@ -104,6 +108,13 @@ class ForcedCodec:
         cut = self.fragments(printed(text.encode()))
         return self.fragment(cut[0]) if len(cut) == 1 else b"".join(map(self.pieces.__getitem__, cut))
 
+    def word(self, text: str) -> list[int]:
+        """Ids of letters, with or without a blank before them: one match."""
+        cut = self.fragments(text.replace(" ", BLANK) if text.isascii() else printed(text.encode()))
+        if len(cut) == 1:
+            return [t.id for t in self.model.tokenize(cut[0])]
+        return [i for f in cut for i in memoryview(self.pieces[f]).cast("I")]
+
     def chunk(self, text: str) -> bytes:
         if LATIN(text):
             return b"".join(map(self.known.__getitem__, self.matches(text)))
