@@ -95,6 +95,7 @@ class Aligner:
         self.size_a = [len(self.a.data.get(i, b"")) for i in range(max(self.a.data) + 1)]
         self.data_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)]
         self.size_b = list(map(len, self.data_b))
+        self.names = list(map(str, range(max(len(self.size_a), len(self.size_b)))))
         inside = {x[i : i + 2].replace(MARK, " ") for n, x in enumerate(pieces) if not self.b.is_byte(n) for i in range(len(x) - 1)}
         reached = {p[1] for p in inside if p[0] != p[1]}
         self.stretches = re.compile(self.shared_cuts("".join(c for c in self.a.certain if c not in reached), inside)).findall
@@ -134,18 +135,20 @@ class Aligner:
         b = self.coded.pop(text)
         if b is None or b"".join(map(self.data_b.__getitem__, b)) != text.encode():
             return False
+        names = self.names
+        listed = lambda ids: ",".join(map(names.__getitem__, ids))
         if len(a) == 1 == len(b):
-            return f"{a[0]}|{b[0]}", 1, 1, 1, array("q", [a[0] << SIDE | b[0]]).tobytes()
+            return f"{names[a[0]]}|{names[b[0]]}", 1, 1, 1, array("q", [a[0] << SIDE | b[0]]).tobytes()
         if len(a) == 1 or len(b) == 1:  # no end inside both
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", len(a), len(b), 1, array("q", linked_pairs(a, b, [], [])).tobytes()
+            return f"{listed(a)}|{listed(b)}", len(a), len(b), 1, array("q", linked_pairs(a, b, [], [])).tobytes()
         ends_a, ends_b = list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b)))
         parts, pairs = [], []
         for i, j, k, m in groups(ends_a, ends_b):
             if j - i == 1 == m - k:
-                parts.append(f"{a[i]}|{b[k]}")
+                parts.append(f"{names[a[i]]}|{names[b[k]]}")
                 pairs.append(a[i] << SIDE | b[k])
             else:
-                parts.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
+                parts.append(f"{listed(a[i:j])}|{listed(b[k:m])}")
                 pairs += linked_pairs(a[i:j], b[k:m], ends_a[i:j], ends_b[k:m])
         return ";".join(parts), len(a), len(b), len(parts), array("q", pairs).tobytes()
 
