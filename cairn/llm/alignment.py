@@ -126,8 +126,8 @@ class Aligner:
                 ids = ids[len(self.before) :] if self.before and ids[: len(self.before)] == self.before else None
             self.coded[x] = ids
 
-    def unit(self, text: str) -> tuple[str, int, int, int, bytes] | bool:
-        """Of a stretch: its groups written out, the numbers of both sides' tokens and of groups, its linked pairs with repeats; False where the tokens of one side do not give the text back."""
+    def unit(self, text: str) -> tuple[str, bytes] | bool:
+        """Of a stretch: its groups written out; as 64-bit numbers how many tokens both sides have, how many groups, and its linked pairs with repeats. False where the tokens of one side do not give the text back."""
         if text not in self.coded:  # it was known a moment ago, but the cache has turned over since
             self.code([text])
         word = text[1:] if text[0] == " " else text
@@ -138,9 +138,9 @@ class Aligner:
         names = self.names
         listed = lambda ids: ",".join(map(names.__getitem__, ids))
         if len(a) == 1 == len(b):
-            return f"{names[a[0]]}|{names[b[0]]}", 1, 1, 1, array("q", [a[0] << SIDE | b[0]]).tobytes()
+            return f"{names[a[0]]}|{names[b[0]]}", array("q", (1, 1, 1, a[0] << SIDE | b[0])).tobytes()
         if len(a) == 1 or len(b) == 1:  # no end inside both
-            return f"{listed(a)}|{listed(b)}", len(a), len(b), 1, array("q", linked_pairs(a, b, [], [])).tobytes()
+            return f"{listed(a)}|{listed(b)}", array("q", (len(a), len(b), 1, *linked_pairs(a, b, [], []))).tobytes()
         ends_a, ends_b = list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b)))
         parts, pairs = [], []
         for i, j, k, m in groups(ends_a, ends_b):
@@ -150,7 +150,7 @@ class Aligner:
             else:
                 parts.append(f"{listed(a[i:j])}|{listed(b[k:m])}")
                 pairs += linked_pairs(a[i:j], b[k:m], ends_a[i:j], ends_b[k:m])
-        return ";".join(parts), len(a), len(b), len(parts), array("q", pairs).tobytes()
+        return ";".join(parts), array("q", (len(a), len(b), len(parts), *pairs)).tobytes()
 
     def align(self, text: str) -> tuple[str, int, int, int, bytes, bytes]:
         """(groups, n_a, n_b, n_groups, pairs, times): each linked pair once, ascending, and how often it is linked."""
@@ -162,14 +162,16 @@ class Aligner:
         units = {x: self.known[x] for x in counts}
         if not counts or not all(units.values()):
             return "", 0, 0, 0, b"", b""
-        written_out, a, b, g, held = zip(*units.values(), strict=True)
-        often = list(counts.values())
-        n_a, n_b, n_groups = (sum(map(mul, often, x)) for x in (a, b, g))
-        pairs, place = np.unique(np.frombuffer(b"".join(held), np.int64), return_inverse=True)
-        times = np.repeat(often, np.fromiter(map(len, held), np.int64, len(held)) // 8)
-        linked = np.bincount(place, times, len(pairs)).astype(np.int64)
+        written_out, held = zip(*units.values(), strict=True)
+        data, size = np.frombuffer(b"".join(held), np.int64), np.fromiter(map(len, held), np.int64, len(held)) // 8
+        often, first = np.fromiter(counts.values(), np.int64, len(held)), np.cumsum(size) - size
+        n_a, n_b, n_groups = (int(data[first + i] @ often) for i in range(3))
+        linked = np.ones(len(data), bool)
+        linked[np.concatenate([first, first + 1, first + 2])] = False
+        pairs, place = np.unique(data[linked], return_inverse=True)
+        times = np.bincount(place, np.repeat(often, size - 3), len(pairs)).astype(np.int64)
         text_of = dict(zip(units, written_out, strict=True))
-        return ";".join(map(text_of.__getitem__, stretches)), n_a, n_b, n_groups, pairs.tobytes(), linked.tobytes()
+        return ";".join(map(text_of.__getitem__, stretches)), n_a, n_b, n_groups, pairs.tobytes(), times.tobytes()
 
 
 @lru_cache(maxsize=2)
