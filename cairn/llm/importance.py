@@ -172,12 +172,14 @@ def resample(df: DataFrame, labels: DataFrame, text: str = "text", keep_text: bo
     """df with its weights, keys and verdicts; see sampled(). The weighed rows are a written table.
 
     raw (doc_id and text) is the text that df was chosen from, df itself if not given: the models are counted on it, and the cut is found on its labelled
-    rows. So rows that an earlier filter has taken out still show what is to go.
+    rows. So rows that an earlier filter has taken out still show what is to go. Of raw's labelled rows one half, by a hash of their ids, is the target, and the
+    cut is found on the other half: a row weighs more where it is in the target itself, so a cut among these would take clean rows without a label for worse.
     """
-    source = df if raw is None else raw
-    ratio = log_ratio(*models(source, labels, text))
-    judged = None
-    if raw is not None:
-        known = F.broadcast(labelled(labels).select(F.col("doc_id").alias("__id")))  # MOST_LABELLED rows, about
-        judged = written(weighed(raw.join(known, F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", text), ratio, text), "judged")
-    return sampled(written(weighed(df, ratio, text, keep_text), "weighed"), labels, seed, passage, k, judged)
+    if raw is None:
+        return sampled(written(weighed(df, log_ratio(*models(df, labels, text)), text, keep_text), "weighed"), labels, seed, passage, k)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2))
+    ratio = log_ratio(*models(raw, labels.where(half == 0), text))
+    held = labels.where(half == 1)
+    known = F.broadcast(labelled(held).select(F.col("doc_id").alias("__id")))  # MOST_LABELLED rows, about
+    judged = written(weighed(raw.join(known, F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", text), ratio, text), "judged")
+    return sampled(written(weighed(df, ratio, text, keep_text), "weighed"), held, seed, passage, k, judged)
