@@ -100,16 +100,23 @@ def collocations(grams: DataFrame, k: int = 20) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").crossJoin(F.broadcast(total)).select("x", "y", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "x", "y").limit(k)
 
 
-def size_bucket(size: Column) -> Column:
-    return F.when(size < 1_000, "<1k").when(size < 10_000, "<10k").when(size < 100_000, "<100k").when(size < 1_000_000, "<1M").when(size < 10_000_000, "<10M").otherwise("above")
+#: Limits of the size buckets and their names; what no limit is above is "above".
+SIZES = ((1_000, "<1k"), (10_000, "<10k"), (100_000, "<100k"), (1_000_000, "<1M"), (10_000_000, "<10M"))
 
 
-def corpus_summary(objects: DataFrame, names: DataFrame) -> DataFrame:
+def size_bucket(size: Column, limits: tuple[tuple[int, str], ...] = SIZES) -> Column:
+    out = F.lit("above")
+    for limit, name in reversed(limits):
+        out = F.when(size < limit, name).otherwise(out)
+    return out
+
+
+def corpus_summary(objects: DataFrame, names: DataFrame, limits: tuple[tuple[int, str], ...] = SIZES) -> DataFrame:
     """(what, value, n): extensions by name, one type for each object, size buckets."""
     from cairn.functions.columns import extension_of
 
     one = lambda df, what, value: df.groupBy(F.lit(what).alias("what"), F.coalesce(value, F.lit("none")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return one(names, "extension", extension_of("name")).unionByName(one(objects, "type", F.array_min("types"))).unionByName(one(objects, "size", size_bucket(F.col("size"))))
+    return one(names, "extension", extension_of("name")).unionByName(one(objects, "type", F.array_min("types"))).unionByName(one(objects, "size", size_bucket(F.col("size"), limits)))
 
 
 def triage(objects: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
