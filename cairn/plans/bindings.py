@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import cid_of, oid_of
+from cairn.operators.alike import alike_pairs
 from cairn.operators.graph import checkpointed
-from cairn.operators.joins import alike_pairs
 from cairn.session import table
 
 #: Epoch second of 2024-01-01, the first import.
@@ -124,10 +124,12 @@ class Bound:
     def matches(self) -> DataFrame:
         """Scored pairs of documents of src1 (target) and src0 (baseline): Jaccard of their sets of word trigrams."""
         words = self.raw("documents").where("source IN ('src0', 'src1')").select("doc_id", "source", F.split(F.lower("text"), " ").alias("w"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
-        sets = checkpointed(words.select("doc_id", "source", grams.alias("grams")))
-        side = lambda source: sets.where(f"source = '{source}'").select(F.col("doc_id").alias("id"), "grams")
-        return checkpointed(alike_pairs(side("src1"), side("src0"), LEAST_ALIKE).select(F.col("left").alias("t"), F.col("right").alias("b"), "similarity"))
+        # Of three lists: a function of places would split the text again for each of them.
+        at = lambda i: F.slice("w", i, F.greatest(F.size("w") - 2, F.lit(0)))
+        joined = lambda x, y: F.concat(x, F.lit(" "), y)
+        grams = F.when(F.size("w") < 3, F.array(F.array_join("w", " "))).otherwise(F.zip_with(F.zip_with(at(1), at(2), joined), at(3), joined))
+        side = lambda source: words.where(f"source = '{source}'").select(F.col("doc_id").alias("id"), grams.alias("grams"))
+        return alike_pairs(side("src1"), side("src0"), LEAST_ALIKE).select(F.col("left").alias("t"), F.col("right").alias("b"), "similarity")
 
 
 #: Name -> (bindings it reads, SELECT).

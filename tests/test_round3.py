@@ -34,3 +34,34 @@ def test_sizes_from_100_000_bytes_on(spark, tables):
     folder = tables(documents=documents(spark, ["x" * n for n in (5, 999, 1000, 99_999, 100_000, 2_000_000)]))
     got = sorted(tuple(r) for r in queries()["a12_corpus_summary"](spark, f"file://{folder}").collect())
     assert got == sorted(by_sql("a12_corpus_summary", folder))
+
+
+def test_likeness_by_blocks(spark, monkeypatch):
+    """Several blocks, elements of many sets and of few, nulls; before, all pairs that shared an element carried both their sets."""
+    import random
+
+    from cairn.operators import alike
+
+    monkeypatch.setattr(alike, "SETS_IN_BLOCK", 16)
+    monkeypatch.setattr(alike, "CELLS", 64)
+    rnd = random.Random(5)
+    sets = [(f"d{i:02}", [f"g{min(rnd.randrange(60), rnd.randrange(60))}" for _ in range(rnd.choice([0, 1, 3, 12, 40]))]) for i in range(70)]
+    df = spark.createDataFrame([(i, [*g, None]) for i, g in sets] + [(None, ["g1"])], "id string, grams array<string>")
+    left, right = df.where("id IS NULL OR id < 'd50'"), df.where("id IS NULL OR id > 'd30'")
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+    for least in (0.02, 0.4):
+        want = {(i, j, round(like(a, b), 6)) for i, a in sets if i < "d50" for j, b in sets if j > "d30" and like(a, b) >= least}
+        assert {tuple(r) for r in alike.alike_pairs(left, right, least).collect()} == want
+    best = set()
+    for x, (i, a) in enumerate(sets):
+        near = sorted((-round(like(a, b), 6), j) for y, (j, b) in enumerate(sets) if y % 3 != x % 3 and like(a, b) > 0)[:3]
+        best |= {(i, j, -s, r + 1) for r, (s, j) in enumerate(near)}
+    objects = spark.createDataFrame([(x % 3, i, g) for x, (i, g) in enumerate(sets)], "object long, item string, grams array<string>")
+    assert {tuple(r) for r in alike.closest(objects, 3).collect()} == best
+
+
+def test_matches_are_those_of_the_sql(spark, tables):
+    texts = ["a b c d e f g h", "A b c d x y z", "one", "one", "two words", "two words", "", "", "a  b c d", "b c d e f", "q r s t", "q r s t u"]
+    folder = tables(documents=documents(spark, texts))
+    for name in ("w3_similarity_rank", "a18_file_classes", "j5_similarity_pairs"):
+        assert sorted(map(tuple, queries()[name](spark, f"file://{folder}").collect()), key=str) == sorted(by_sql(name, folder), key=str), name
