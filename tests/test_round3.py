@@ -65,3 +65,15 @@ def test_matches_are_those_of_the_sql(spark, tables):
     folder = tables(documents=documents(spark, texts))
     for name in ("w3_similarity_rank", "a18_file_classes", "j5_similarity_pairs"):
         assert sorted(map(tuple, queries()[name](spark, f"file://{folder}").collect()), key=str) == sorted(by_sql(name, folder), key=str), name
+
+
+def test_rows_of_a_truth_file_go_alone(spark, tmp_path):
+    import re
+
+    from cairn.sources import files
+
+    (tmp_path / "a.truth").write_text('[{"oid": "x", "type": "functions"},\n[5, "f"],\n[9, "g"]]')
+    found = files.read_truth(spark, f"file://{tmp_path}/a.truth")
+    assert [(r.oid, r.type, r.position, r.offset, list(r.fields)) for r in found.orderBy("offset").collect()] == [("x", "functions", 0, 5, ["f"]), ("x", "functions", 1, 9, ["g"])]
+    carried = re.search(r"Generate posexplode\(.*\), \[([^]]*)\], ", found._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert "oid" in carried and "rows" not in carried
