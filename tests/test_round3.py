@@ -103,3 +103,24 @@ def test_points_of_objects_with_few_intervals_are_not_repeated(spark, monkeypatc
         monkeypatch.setattr(joins, "FEW_INTERVALS", few)
         assert sorted((r.oid, r.offset, r.start, r.len) for r in joins.contained(p, s).collect()) == want
     assert "explode" not in joins.contained(p, s)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_closures_of_many_anchors(spark):
+    import random
+
+    from cairn.operators import graph
+
+    rnd = random.Random(8)
+    edges = {(rnd.randrange(120), rnd.randrange(120)) for _ in range(170)}
+    start = {(a, rnd.randrange(120)) for a in range(-3, 140) for _ in range(2)}
+    want = set()
+    for anchor, node in start:
+        seen, queue = {node}, [node]
+        for x in queue:
+            new = {d for s, d in edges if s == x} - seen
+            seen |= new
+            queue.extend(new)
+        want |= {(anchor, x) for x in seen}
+    got = graph.reachable_from_each(spark.createDataFrame([*edges, (None, 1)], "src long, dst long"), spark.createDataFrame([*start, (None, 1), (1, None)], "anchor long, node long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert graph.reachable_from_each(spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([], "anchor long, node long")).count() == 0
