@@ -124,3 +124,13 @@ def test_closures_of_many_anchors(spark):
     got = graph.reachable_from_each(spark.createDataFrame([*edges, (None, 1)], "src long, dst long"), spark.createDataFrame([*start, (None, 1), (1, None)], "anchor long, node long"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert graph.reachable_from_each(spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([], "anchor long, node long")).count() == 0
+
+
+def test_files_are_written_side_by_side(spark, tables):
+    from pathlib import Path
+
+    folder = tables(documents=documents(spark, [f"text {i}" for i in range(30)] + ["text 1", ""]))
+    got = sorted(map(tuple, queries()["s1_import_directory"](spark, f"file://{folder}").collect()))
+    assert got == sorted(by_sql("s1_import_directory", folder)) and len(got) == 30
+    made = max(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("files-*"), key=lambda p: p.stat().st_mtime)
+    assert len({p.parent for p in made.rglob("*.txt")}) > 8
