@@ -87,6 +87,12 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(own / share)
 
 
+def shrunk_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log of found over expected target counts for every bucket, SMOOTHING added to both: where raw text would have few in so much target, the bucket tells little, and nothing where raw has none."""
+    share = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
+    return np.log((target + SMOOTHING) / (share * target.sum() + SMOOTHING))
+
+
 def weighed(df: DataFrame, ratio: np.ndarray, text: str = "text", keep_text: bool = False) -> DataFrame:
     """df with n_grams, log_weight and per_gram, which is log_weight over n_grams, or 0 without any."""
     new = ["n_grams", "log_weight", "per_gram"]
@@ -174,11 +180,12 @@ def resample(df: DataFrame, labels: DataFrame, text: str = "text", keep_text: bo
     raw (doc_id and text) is the text that df was chosen from, df itself if not given: the models are counted on it, and the cut is found on its labelled
     rows. So rows that an earlier filter has taken out still show what is to go. Of raw's labelled rows one half, by a hash of their ids, is the target, and the
     cut is found on the other half: a row weighs more where it is in the target itself, so a cut among these would take clean rows without a label for worse.
+    Half of the labelled rows know few words, so a word that they don't have is no sign against a text; see shrunk_ratio().
     """
     if raw is None:
         return sampled(written(weighed(df, log_ratio(*models(df, labels, text)), text, keep_text), "weighed"), labels, seed, passage, k)
     half = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2))
-    ratio = log_ratio(*models(raw, labels.where(half == 0), text))
+    ratio = shrunk_ratio(*models(raw, labels.where(half == 0), text))
     held = labels.where(half == 1)
     known = F.broadcast(labelled(held).select(F.col("doc_id").alias("__id")))  # MOST_LABELLED rows, about
     judged = written(weighed(raw.join(known, F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", text), ratio, text), "judged")

@@ -112,3 +112,12 @@ def test_models_weights_and_choice_against_brute_force(spark):
     assert abs(np.mean(list(noise.values())) - 0.5772) < 0.2 and len(set(noise.values())) == len(noise)
     by_weight = sorted((r.per_gram for r in out), reverse=True)[99]
     assert sum(r.kept != (r.per_gram >= by_weight) for r in out) > 10  # noise decides where weights are close
+
+
+def test_words_that_no_target_text_has_are_no_sign_against_a_text():
+    target, raw = np.zeros(im.BUCKETS), np.zeros(im.BUCKETS)
+    target[0], raw[:2] = 50_000, 100_000
+    raw[2] = 1
+    ratio = im.shrunk_ratio(target, raw)
+    assert ratio[0] > 0 > ratio[1] and ratio[1] < -9
+    assert abs(ratio[2]) < 0.5 and abs(ratio[3]) < 0.3
