@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,34 +218,72 @@ def sibling_pairs(edges: DataFrame) -> DataFrame:
     return once.select("src", F.col("dst").alias("a")).join(once.select("src", F.col("dst").alias("b")), "src").where("a < b")
 
 
+def edge_counts(edges: DataFrame, by: str) -> DataFrame:
+    """(by, edges, nodes) of many graphs; repeated edges are one."""
+    end = lambda column, n: F.struct(F.col(column).alias("node"), F.lit(n).alias("edge"))
+    each = edges.select(by, "src", "dst").distinct().select(by, F.explode(F.array(end("src", 1), end("dst", 0))).alias("x"))
+    nodes = each.groupBy(by, F.col("x.node").alias("node")).agg(F.sum("x.edge").alias("edges"))
+    return nodes.groupBy(by).agg(F.sum("edges").alias("edges"), F.count("node").alias("nodes"))
+
+
+#: A graph of so many nodes at most is taken as a matrix.
+MATRIX_NODES = 512
+
+
 def betweenness(edges: DataFrame, by: str) -> DataFrame:
-    """(by, nodes, edges, mean_betweenness) of many small graphs, each within one task, by Brandes' accumulation."""
+    """(by, nodes, edges, mean_betweenness) of many small graphs, each within one task, by Brandes' accumulation: as a matrix, from all nodes at once, where there are few."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        after: dict = {n: sorted(set(g)) for n, g in pdf.groupby("src")["dst"]}
-        score = dict.fromkeys(nodes, 0.0)
-        for s in nodes:
-            order, before, paths, far = [], {n: [] for n in nodes}, dict.fromkeys(nodes, 0), {s: 0}
-            paths[s], queue = 1, [s]
-            for v in queue:
-                order.append(v)
-                for w in after.get(v, ()):
-                    if w not in far:
-                        far[w] = far[v] + 1
-                        queue.append(w)
-                    if far[w] == far[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            credit = dict.fromkeys(nodes, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    credit[v] += paths[v] / paths[w] * (1 + credit[w])
-                if w != s:
-                    score[w] += credit[w]
+        nodes = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
         n = len(nodes)
         scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "nodes": [n], "edges": [len(pdf)], "mean_betweenness": [sum(score.values()) * scale / n]})
+        total = _between_matrix(np.searchsorted(nodes, pdf["src"]), np.searchsorted(nodes, pdf["dst"]), n) if n <= MATRIX_NODES else _between_walks(pdf, nodes.tolist())
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "nodes": [n], "edges": [len(pdf)], "mean_betweenness": [total * scale / n]})
 
     kind = edges.schema[by].dataType.simpleString()
     return edges.select(by, "src", "dst").distinct().groupBy(by).applyInPandas(run, f"{by} {kind}, nodes long, edges long, mean_betweenness double")
+
+
+def _between_matrix(src: np.ndarray, dst: np.ndarray, n: int) -> float:
+    """The sum of all nodes' betweenness; rows are starts, and a level has the numbers of shortest paths to the nodes that are so far away."""
+    ahead = np.zeros((n, n))
+    ahead[src, dst] = 1
+    front = np.eye(n)
+    seen, levels = front > 0, [front]
+    while True:
+        front = front @ ahead
+        front[seen] = 0
+        if not front.any():
+            break
+        seen |= front > 0
+        levels.append(front)
+    credit = np.zeros((n, n))
+    for far in range(len(levels) - 1, 0, -1):
+        share = np.divide(1 + credit, levels[far], out=np.zeros((n, n)), where=levels[far] > 0)
+        credit += (share @ ahead.T) * levels[far - 1]
+    return float(credit.sum() - np.trace(credit))
+
+
+def _between_walks(pdf: pd.DataFrame, nodes: list) -> float:
+    """The same by a walk from each node."""
+    after: dict = {n: sorted(set(g)) for n, g in pdf.groupby("src")["dst"]}
+    out = 0.0
+    for s in nodes:
+        order, before, paths, far = [], {n: [] for n in nodes}, dict.fromkeys(nodes, 0), {s: 0}
+        paths[s], queue = 1, [s]
+        for v in queue:
+            order.append(v)
+            for w in after.get(v, ()):
+                if w not in far:
+                    far[w] = far[v] + 1
+                    queue.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        credit = dict.fromkeys(nodes, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                credit[v] += paths[v] / paths[w] * (1 + credit[w])
+            if w != s:
+                out += credit[w]
+    return out

@@ -2,7 +2,10 @@
 
 import random
 
-from cairn.operators import joins
+import numpy as np
+import pandas as pd
+
+from cairn.operators import graph, joins
 
 
 def greedy(pairs):
@@ -27,3 +30,18 @@ def test_greedy_matching_does_not_write_its_pairs_in_every_round(spark, monkeypa
     out = {tuple(r) for r in joins.one_to_one(given, "t", "b", "s").select("t", "b", "s").collect()}
     assert out == greedy(pairs)
     assert sum(rows) <= 4 * len(pairs)
+
+
+def test_betweenness_by_matrix_equals_walks():
+    rnd = random.Random(7)
+    for n, m in ((1, 1), (2, 1), (6, 9), (40, 130), (60, 61)):
+        pdf = pd.DataFrame([(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)], columns=["src", "dst"]).drop_duplicates()
+        nodes = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
+        got = graph._between_matrix(np.searchsorted(nodes, pdf["src"]), np.searchsorted(nodes, pdf["dst"]), len(nodes))
+        assert abs(got - graph._between_walks(pdf, nodes.tolist())) < 1e-9
+
+
+def test_edge_counts_need_no_paths(spark):
+    rows = [("a", 1, 2), ("a", 1, 2), ("a", 2, 2), ("a", 3, 1), ("b", 5, 5)]
+    got = graph.edge_counts(spark.createDataFrame(rows, "f string, src long, dst long"), "f")
+    assert {(r.f, r.edges, r.nodes) for r in got.collect()} == {("a", 3, 3), ("b", 1, 1)}
