@@ -64,7 +64,8 @@ def reachable_from_each(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, start: int, depth: int, most: int) -> DataFrame:
     """(node, depth, truncated): within depth steps either way, at most `most` nodes: the nearest, then the smallest."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    edges = checkpointed(edges.select("src", "dst"))
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     found = reachable(both, edges.sparkSession.createDataFrame([(start,)], "node long"), rounds=depth)
     return found.orderBy("depth", "node").limit(most).withColumn("truncated", F.lit(found.count() > most))
 
