@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.graph import checkpointed
+from cairn.session import small_batches
 
 CHUNK = 1024
 
@@ -27,6 +28,7 @@ def byte_counts(objects: DataFrame, by: list[str], data: str = "data") -> DataFr
             row, byte = np.nonzero(table)
             yield batch[by].iloc[row].assign(byte=byte.astype("int32"), n=table[row, byte]) if by else pd.DataFrame({"byte": byte.astype("int32"), "n": table[row, byte]})
 
+    small_batches(objects.sparkSession)
     return objects.select(*by, data).mapInPandas(run, schema).groupBy(*by, "byte").agg(F.sum("n").alias("n"))
 
 

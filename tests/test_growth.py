@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 
-from cairn.operators import graph, joins
+from cairn.operators import graph, joins, text, windows
 
 
 def greedy(pairs):
@@ -45,3 +45,28 @@ def test_edge_counts_need_no_paths(spark):
     rows = [("a", 1, 2), ("a", 1, 2), ("a", 2, 2), ("a", 3, 1), ("b", 5, 5)]
     got = graph.edge_counts(spark.createDataFrame(rows, "f string, src long, dst long"), "f")
     assert {(r.f, r.edges, r.nodes) for r in got.collect()} == {("a", 3, 3), ("b", 1, 1)}
+
+
+def test_words_of_a_content_are_ranked_where_it_is_read(spark):
+    rows = [("a", "cccc bbbb cccc dd eeeeeeee"), ("b", "x" * 9 + " yyyy"), ("c", None), ("d", "a-b")]
+    given = spark.createDataFrame(rows, "oid string, text string")
+    of = lambda choose: windows.best_words(given, 4, choose)
+    key = lambda df: {(r.oid, r.value, r.score, r["rank"], r.total) for r in df.collect()}
+    assert key(of(windows.first_words(2))) == {("a", "cccc", 2, 1, 0), ("a", "bbbb", 1, 2, 0), ("b", "x" * 9, 1, 1, 0), ("b", "yyyy", 1, 2, 0)}
+    assert key(of(windows.prefix_words(8))) == {("a", "cccc", 2, 1, 4), ("a", "bbbb", 1, 2, 8), ("b", "x" * 9, 1, 1, 9)}
+    assert key(of(windows.fitting_words(8))) == {("a", "cccc", 2, 1, 4), ("a", "bbbb", 1, 2, 4), ("b", "yyyy", 1, 2, 4)}
+    assert key(of(windows.fitting_words(3))) == {("a", "cccc", 2, 1, 4), ("b", "x" * 9, 1, 1, 9)}
+    assert "Exchange" not in of(windows.first_words(2))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_come_to_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    windows.printable_runs(spark.createDataFrame([("a", bytearray(b"hello"))], "oid string, data binary"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_two_blocks_of_vectors_are_a_batch(spark, monkeypatch):
+    asked, kept = [], text.row_by_row
+    monkeypatch.setattr(text, "row_by_row", lambda df: asked.append(1) or kept(df))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "vec_id long, embedding array<double>")
+    assert text.nearest_each(vectors, vectors.where("vec_id = 0"), 2).count() == 2 and asked
