@@ -1,11 +1,13 @@
 """What the rounds of an operator read and write must not outgrow its input."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 
-from cairn.operators import graph, joins, text, windows
+from cairn.operators import aggregates, graph, joins, text, windows
 
 
 def greedy(pairs):
@@ -70,3 +72,13 @@ def test_two_blocks_of_vectors_are_a_batch(spark, monkeypatch):
     monkeypatch.setattr(text, "row_by_row", lambda df: asked.append(1) or kept(df))
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "vec_id long, embedding array<double>")
     assert text.nearest_each(vectors, vectors.where("vec_id = 0"), 2).count() == 2 and asked
+
+
+def test_pieces_of_a_long_text_are_cut_in_one_pass(spark):
+    long = "ab\n\u00e9\U0001f600\r\u2028 e\u0301" * 100_000  # 1,000,000 characters
+    texts = [long, "", None, "abc", "abcd", "\n\n\n\n\n"]
+    want = Counter(x[i : i + 4] for x in texts if x for i in range(0, len(x), 4))
+    began = time.monotonic()
+    got = {r.gram: r.n for r in aggregates.chunk_counts(spark.createDataFrame([(x,) for x in texts], "text string"), 4).collect()}
+    assert got == want
+    assert time.monotonic() - began < 30
