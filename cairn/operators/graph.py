@@ -24,6 +24,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task gets, about, where their number is known.
+ROWS_IN_TASK = 500_000
+
+
+def dealt(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """df, of so many rows, dealt by columns to as many tasks as keep each near ROWS_IN_TASK rows, however many rows there are; Spark chooses where that is no more than a task for each core."""
+    tasks = -(-rows // ROWS_IN_TASK)
+    return df.repartition(tasks, *by) if tasks > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*by)
+
+
 def reachable(edges: DataFrame, start: DataFrame, by: list[str] | None = None, rounds: int | None = None) -> DataFrame:
     """(by, node, depth): all nodes that paths from start's nodes reach, with the fewest steps; start has depth 0.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import cid_of
-from cairn.operators.graph import checkpointed
+from cairn.operators.graph import checkpointed, dealt
 
 
 def collection(ids: DataFrame, name: str, notes: str = "") -> DataFrame:
@@ -134,8 +136,55 @@ def running(df: DataFrame, by: list[str], order: str, totals: dict[str, str]) ->
     return rows.select(*df.columns, *sums, F.coalesce(F.lead(order).over(within), F.col("__later")).alias("__next"))
 
 
+#: A group of more rows than this is sorted in ranges; others are whole in a task.
+MOST_ALONE = 1 << 20
+#: Buckets of groups that are counted first, and those that are looked into for large groups.
+BUCKETS, FEW_BUCKETS = 1 << 16, 1_000
+
+
+def crowded(df: DataFrame, by: list[str]) -> tuple[DataFrame | None, int]:
+    """The groups of more than MOST_ALONE rows, None if there are none, and the number of all rows.
+
+    Groups are counted in buckets first, which shuffles next to nothing; each group by itself only where a bucket has so many rows.
+    """
+    bucket = F.pmod(F.xxhash64(*by), F.lit(BUCKETS))
+    sizes = df.groupBy(bucket.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    rows, full = sizes.agg(F.sum("n"), F.collect_list(F.when(F.col("n") > MOST_ALONE, F.col("at")))).first()
+    if not full:
+        return None, rows or 0
+    some = df.where(bucket.isin(full)) if len(full) <= FEW_BUCKETS else df
+    large = checkpointed(some.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ALONE).select(*by))
+    return (large if large.limit(1).count() else None), rows
+
+
+def _by_size(df: DataFrame, by: list[str], alone: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups that fit a task by `alone`, after one shuffle, larger ones by `ranged`."""
+    if not by:
+        return ranged(df)
+    large, rows = crowded(df, by)
+    if large is None:
+        return alone(dealt(df, by, rows))
+    told = large.select(*[F.col(c).alias(f"__by_{c}") for c in by])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return alone(dealt(df.join(told, same, "left_anti"), by, rows)).unionByName(ranged(df.join(told, same, "left_semi")))
+
+
 def _united(spans: DataFrame, by: list[str], gap: int) -> DataFrame:
-    """(by, start, end): spans of a group as one where a span starts at most gap after the furthest end before it.
+    """(by, start, end): spans of a group as one where a span starts at most gap after the furthest end before it."""
+    return _by_size(spans.select(*by, "start", "end"), by, lambda df: _united_alone(df, by, gap), lambda df: _united_ranges(df, by, gap))
+
+
+def _united_alone(spans: DataFrame, by: list[str], gap: int) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("__new", F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(0))).withColumn("__run", F.sum("__new").over(order))
+    return runs.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+
+
+def _united_ranges(spans: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """As _united, for groups of any size.
 
     Runs are made within ranges of the sorted spans first; of these, the ones that the ends in earlier ranges reach begin no run of their own.
     """
@@ -165,7 +214,15 @@ def merged(intervals: DataFrame, by: list[str]) -> DataFrame:
 
 def gaps(intervals: DataFrame, by: list[str]) -> DataFrame:
     """Between the merged intervals of a group: the stretches that none covers."""
-    return running(merged(intervals, by), by, "start", {}).where("`__next` > `end`").select(*by, F.col("end").alias("start"), F.col("__next").alias("end"))
+
+    def alone(df: DataFrame) -> DataFrame:
+        after = F.lead("start").over(Window.partitionBy(*by).orderBy("start"))
+        return _united_alone(df, by, 0).select(*by, F.col("end").alias("start"), after.alias("end"))
+
+    def ranged(df: DataFrame) -> DataFrame:
+        return running(_united_ranges(df, by, 0), by, "start", {}).select(*by, F.col("end").alias("start"), F.col("__next").alias("end"))
+
+    return _by_size(intervals.select(*by, "start", "end"), by, alone, ranged).where("`end` > `start`")
 
 
 def subtracted(keep: DataFrame, cut: DataFrame, by: list[str]) -> DataFrame:

@@ -360,7 +360,7 @@ runs AS (SELECT *, sum(new) OVER (PARTITION BY oid ORDER BY start, "end") AS run
 m AS (SELECT oid, run, min(start) AS start, max("end") AS "end" FROM runs GROUP BY oid, run)
 SELECT oid, start, "end" FROM (SELECT oid, "end" AS start, lead(start) OVER (PARTITION BY oid ORDER BY start) AS "end" FROM m) WHERE "end" > start""")
 def _(t: Bound) -> DataFrame:
-    iv = t.imports.select("oid", (F.col("name") % 500).alias("start"), (F.col("name") % 500 + 10 + F.col("library") % 20).alias("end"))
+    iv = t.listed_imports.select("oid", (F.col("name") % 500).alias("start"), (F.col("name") % 500 + 10 + F.col("library") % 20).alias("end"))
     return sets.gaps(iv, ["oid"])
 
 
@@ -368,8 +368,8 @@ def _(t: Bound) -> DataFrame:
 WITH iv AS (SELECT DISTINCT oid, unnest(range(name % 500, name % 500 + 10 + library % 20)) AS p FROM imports)
 SELECT oid, count(*) AS bytes, round(100 * count(*) / 530, 4) AS percent FROM iv GROUP BY oid""")
 def _(t: Bound) -> DataFrame:
-    iv = t.imports.select("oid", (F.col("name") % 500).alias("start"), (F.col("name") % 500 + 10 + F.col("library") % 20).alias("end"))
-    return aggregates.coverage(iv, t.imports.select("oid").distinct().withColumn("size", F.lit(530)), ["oid"])
+    iv = t.listed_imports.select("oid", (F.col("name") % 500).alias("start"), (F.col("name") % 500 + 10 + F.col("library") % 20).alias("end"))
+    return aggregates.coverage(iv, t.listed_imports.select("oid").distinct().withColumn("size", F.lit(530)), ["oid"])
 
 
 @query("c20_tags", "tags", "SELECT oid, tag, arg_max(value, version) AS value FROM tags GROUP BY oid, tag")

@@ -112,7 +112,12 @@ class Bound:
 
     @cached_property
     def imports(self) -> DataFrame:
-        return self.raw("lineitem").select(F.col("l_orderkey").alias("oid"), F.col("l_suppkey").alias("library"), F.col("l_partkey").alias("name")).distinct()
+        return self.listed_imports.distinct()
+
+    @cached_property
+    def listed_imports(self) -> DataFrame:
+        """Imports with their repeats, for what doesn't count them."""
+        return self.raw("lineitem").select(F.col("l_orderkey").alias("oid"), F.col("l_suppkey").alias("library"), F.col("l_partkey").alias("name"))
 
     @cached_property
     def words(self) -> DataFrame:

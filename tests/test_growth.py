@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
-from cairn.operators import aggregates, graph, joins, text, windows
+from cairn.operators import aggregates, graph, joins, sets, text, windows
 
 
 def greedy(pairs):
@@ -82,3 +82,34 @@ def test_pieces_of_a_long_text_are_cut_in_one_pass(spark):
     got = {r.gram: r.n for r in aggregates.chunk_counts(spark.createDataFrame([(x,) for x in texts], "text string"), 4).collect()}
     assert got == want
     assert time.monotonic() - began < 30
+
+
+def covered(spans):
+    """Of each group its merged intervals, in order."""
+    out = {}
+    for g, a, b in sorted(spans, key=lambda x: (str(x[0]), x[1], x[2])):
+        own = out.setdefault(g, [])
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], b)
+        else:
+            own.append([a, b])
+    return out
+
+
+def test_intervals_of_small_groups_are_united_in_one_shuffle(spark, monkeypatch):
+    rnd = random.Random(11)
+    spans = [(g, a := rnd.randrange(400), a + rnd.randrange(1, 12)) for g in [*range(30), None] for _ in range(rnd.randrange(1, 30))] + [(99, rnd.randrange(4000), 4000) for _ in range(300)]
+    want = covered(spans)
+    given = spark.createDataFrame(spans, "g long, start long, end long").repartition(4)
+    key = lambda r: sorted(map(tuple, r), key=str)
+    written, kept = [], sets.checkpointed
+    monkeypatch.setattr(sets, "checkpointed", lambda df: written.append(1) or kept(df))
+    monkeypatch.setattr(graph, "ROWS_IN_TASK", 50)
+    for most, bucket in ((1 << 20, 1 << 16), (20, 4), (0, 1 << 16)):  # all alone, some of both, all in ranges
+        monkeypatch.setattr(sets, "MOST_ALONE", most)
+        monkeypatch.setattr(sets, "BUCKETS", bucket)
+        assert key(sets.merged(given, ["g"]).collect()) == key((g, *x) for g, own in want.items() for x in own)
+        assert key(sets.gaps(given, ["g"]).collect()) == key((g, x[1], y[0]) for g, own in want.items() for x, y in zip(own, own[1:], strict=False))
+        if most == 1 << 20:
+            assert not written and sets.merged(given, ["g"]).rdd.getNumPartitions() >= len(spans) // 50  # tasks grow in number, not in size
+    assert written
