@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import small_batches
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from a table in the folder that driver and executors share (spark.checkpoint.dir; our own where it is unset)."""
@@ -87,23 +91,37 @@ SMALL_GRAPH = 100_000
 def strong_components(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, component) for many graphs at once; component is the least node of it. Edges between given nodes count.
 
-    Graphs of at most SMALL_GRAPH edges are walked in one task each; larger ones go by rounds of joins.
+    Graphs of at most SMALL_GRAPH edges are a row each and walked where it is, many in a batch; larger ones go by rounds of joins.
     """
     nodes = nodes.select(*by, "node").distinct()
     if not by:
         return _strong_by_rounds(edges, nodes, by)
     sized = checkpointed(edges.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_GRAPH).select(*by))
-    small = lambda df: df.join(sized, by, "left_anti")
+    some_large = bool(sized.limit(1).count())
+    small = lambda df: df.join(sized, by, "left_anti") if some_large else df
     kind = edges.schema["src"].dataType.simpleString()
     kinds = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by)
-    rows = small(edges.select(*by, "src", "dst").distinct()).unionByName(small(nodes.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _strong(pdf["src"].tolist(), pdf["dst"].tolist())
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(found) for c in by}, "node": list(found), "component": list(found.values())})
-
-    out = rows.groupBy(*by).applyInPandas(run, f"{kinds}, node {kind}, component {kind}").join(nodes, [*by, "node"], "left_semi")
-    if not sized.limit(1).count():
+    none = F.lit(None).cast(kind)
+    rows = small(edges.select(*by, "src", "dst", none.alias("node"))).unionByName(small(nodes.select(*by, none.alias("src"), none.alias("dst"), "node")))
+    walk = F.collect_set(F.when(F.col("src").isNotNull() & F.col("dst").isNotNull(), F.struct("src", "dst"))).alias("walk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            walks, given = batch.column(len(by)), batch.column(len(by) + 1)
+            at, found, least = [], [], []
+            for i in range(len(batch)):
+                of, ends = given[i].as_py(), walks[i].values
+                part = _strong([*of, *ends.field("src").to_pylist()], [*of, *ends.field("dst").to_pylist()])
+                at += [i] * len(of)
+                found += of
+                least += [part[x] for x in of]
+            own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, given.type.value_type), pa.array(least, given.type.value_type)], names=[*by, "node", "component"])
+
+    small_batches(edges.sparkSession, 200)
+    graphs = rows.groupBy(*by).agg(walk, F.collect_set("node").alias("given"))
+    out = graphs.mapInArrow(run, f"{kinds}, node {kind}, component {kind}")
+    if not some_large:
         return out
     large = lambda df: df.join(sized, by, "left_semi")
     return out.unionByName(_strong_by_rounds(large(edges), large(nodes), by))

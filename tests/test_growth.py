@@ -113,3 +113,14 @@ def test_intervals_of_small_groups_are_united_in_one_shuffle(spark, monkeypatch)
         if most == 1 << 20:
             assert not written and sets.merged(given, ["g"]).rdd.getNumPartitions() >= len(spans) // 50  # tasks grow in number, not in size
     assert written
+
+
+def test_small_graphs_are_walked_many_in_a_batch(spark):
+    edges = [(g, i, (i + 1) % 5) for g in range(40) for i in range(4 + g % 2)] + [(None, 1, 2), (None, 2, 1), (7, None, 1)]
+    e = spark.createDataFrame(edges, "g long, src long, dst long")
+    n = e.select("g", e.src.alias("node")).union(e.select("g", "dst")).union(spark.createDataFrame([(3, 77), (90, 1)], "g long, node long"))
+    out = graph.strong_components(e.where("g IS NOT NULL AND src IS NOT NULL"), n.where("g IS NOT NULL AND node IS NOT NULL"), ["g"])
+    want = {(g, i): 0 if g % 2 else i for g in range(40) for i in range(5)} | {(3, 77): 77, (90, 1): 1}
+    assert {(r.g, r.node): r.component for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
