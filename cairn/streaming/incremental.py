@@ -13,6 +13,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 LATE = "1 hour"
+#: Groups that the keys of a stream's n-grams are dealt to, each with one state.
+GROUPS = 1024
 
 
 @contextmanager
@@ -57,71 +59,84 @@ def windowed_counts(stream: DataFrame, key: list[str], at: str = "ts", width: st
 
 
 class Grams(StatefulProcessor):
-    """A key's n-grams in order of time: rows wait until the watermark has passed them, the last n - 1 items stay."""
+    """The n-grams of a group of keys, each key's in order of time: rows wait until the watermark has passed them, a key's last n - 1 items stay.
+
+    A group has one state, so that a key costs no calls of its own: the rows that wait, and the tails (key, items, at of the last).
+    """
 
     def __init__(self, key: str, value: str, at: str, order: list[str], n: int, waiting: StructType, idle_ms: int | None):
         self.key, self.value, self.at, self.order, self.n, self.schema, self.idle_ms = key, value, at, order, n, waiting, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tail = handle.getValueState("tail", "items array<string>, at long")
+        self.tails = handle.getListState("tails", "key string, items array<string>, at long")
         self.waiting = handle.getListState("waiting", self.schema)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        first, came = None, []
         for batch in rows:
             batch = batch[batch[self.value].notna() & batch[self.at].notna()]
             if len(batch):
                 at = batch[self.at].astype("datetime64[us]").astype("int64")
-                self.waiting.appendList([tuple(r) for r in zip(at.tolist(), *[batch[c].tolist() for c in self.order], batch[self.value].tolist(), strict=True)])
-                latest = max(latest or 0, int(at.max()))
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
+                came += zip(batch[self.key].tolist(), at.tolist(), *[batch[c].tolist() for c in self.order], batch[self.value].tolist(), strict=True)
+                first = int(at.min()) if first is None else min(first, int(at.min()))
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        items, last = self.tail.get() if self.tail.exists() else ([], None)
-        items, grams = list(items), []
-        for row in ready:
-            if self.idle_ms is not None and last is not None and row[0] - last > self.idle_ms * 1000:
+        ready: list[tuple] = []
+        later: list[tuple] = []
+        for row in map(tuple, self.waiting.get()):
+            (ready if row[1] <= passed else later).append(row)
+        idle = None if self.idle_ms is None else self.idle_ms * 1000
+        if not ready and idle is None:  # another timer has done it
+            return
+        tails = {k: (list(items), at) for k, items, at in self.tails.get()}
+        keys, grams, keep = [], [], self.n - 1
+        for row in sorted(ready):
+            items, last = tails.get(row[0], ([], None))
+            if idle is not None and last is not None and row[1] - last > idle:
                 items = []
-            last = row[0]
             items.append(row[-1])
             if len(items) >= self.n:
-                items = items[len(items) - self.n :]
-                grams.append(",".join(items))
-        if ready:
-            keep = self.n - 1
-            self.tail.update((items[len(items) - keep :] if len(items) > keep else items, last))
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
-        elif self.idle_ms is not None and not rows and last is not None and passed - last > self.idle_ms * 1000:
-            self.tail.clear()
-        if ready and self.idle_ms is not None:
-            self.handle.registerTimer(last // 1000 + self.idle_ms + 2)
-        yield pd.DataFrame({self.key: pd.Series([key[0]] * len(grams), dtype=object), "gram": pd.Series(grams, dtype=object)})
-
-
-def ngrams(stream: DataFrame, key: str, value: str, at: str, order: list[str] | None = None, n: int = 3, late: str = LATE, idle_ms: int | None = None) -> DataFrame:
+                keys.append(row[0])
+                grams.append(",".join(items[len(items) - self.n :]))
+            tails[row[0]] = (items[len(items) - keep :] if len(items) > keep else items, row[1])
+        if idle is not None:
+            still = {row[0] for row in later}
+            tails = {k: x for k, x in tails.items() if k in still or passed - x[1] <= idle}
+        if tails:
+            self.tails.put([(k, items, at) for k, (items, at) in tails.items()])
+        else:
+            self.tails.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(row[1] for row in later) // 1000 + 1)
+        elif ready:
+            self.waiting.clear()
+        if idle is not None and tails:
+            self.handle.registerTimer(max(max(at for _, at in tails.values()) + idle, passed) // 1000 + 2)
+        yield pd.DataFrame({self.key: pd.Series(keys, dtype=object), "gram": pd.Series(grams, dtype=object)})
+
+
+def ngrams(stream: DataFrame, key: str, value: str, at: str, order: list[str] | None = None, n: int = 3, late: str = LATE, idle_ms: int | None = None, groups: int = GROUPS) -> DataFrame:
     """(key, gram): the n-grams of each key's values in order of time, then of the columns in order, however the rows fall into batches.
 
     A row waits in the key's state until the watermark (the latest time less `late`) has passed it, then its grams are given out; the
     last n - 1 values stay as state for the next ones. So rows of an open stream's last stretch are given out once later rows of any key
     move the watermark on. A row that comes once an earlier batch has seen the watermark pass it is dropped. A null value or time is no item, an empty value is one. Equal
-    rows are as many items; a null key is a key like others. Keys are whole numbers, strings or dates. With idle_ms a key that has no row for so long in event time forgets its values, and no gram spans such a gap.
+    rows are as many items; a null key is a key like others. Keys are whole numbers, strings or dates. Keys share `groups` states, a number that stays for a checkpoint's life; a group's waiting rows and tails are in one task's memory. With idle_ms a key that has no row for so long in event time forgets its values, and no gram spans such a gap.
     """
     if n < 1:
         raise ValueError("n must be 1 at least")
     order = order or []
     kind = stream.schema[key].dataType.simpleString()
-    waiting = StructType([StructField("at", LongType()), *[StructField(f"o{i}", stream.schema[c].dataType) for i, c in enumerate(order)], StructField("item", StringType())])
+    waiting = StructType([StructField("key", StringType()), StructField("at", LongType()), *[StructField(f"o{i}", stream.schema[c].dataType) for i, c in enumerate(order)], StructField("item", StringType())])
     # A null among numbers would reach the workers as one of many floats; so keys travel as text, with a letter for null.
     marked = F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n")).alias(key)
     given = stream.select(marked, F.col(at).cast("timestamp").alias(at), *[c for c in order if c not in (key, at, value)], F.col(value).cast("string").alias(value)).withWatermark(at, late)
-    grams = given.groupBy(key).transformWithStateInPandas(Grams(key, value, at, order, n, waiting, idle_ms), f"`{key}` string, gram string", "append", "eventTime")
+    grams = given.withColumn("__group", F.pmod(F.xxhash64(key), F.lit(groups))).groupBy("__group").transformWithStateInPandas(Grams(key, value, at, order, n, waiting, idle_ms), f"`{key}` string, gram string", "append", "eventTime")
     return grams.select(F.when(F.col(key) != "n", F.expr(f"substring(`{key}`, 2)")).cast(kind).alias(key), "gram")

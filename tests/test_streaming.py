@@ -62,3 +62,26 @@ def test_no_rows_and_no_grams(spark, tmp_path):
     assert run(spark, tmp_path, [[("a", START, 0, "x")], [(None, START + timedelta(days=1), 0, None)]], n=2) == Counter()
     with pytest.raises(ValueError):
         incremental.ngrams(spark.createDataFrame([], SCHEMA), "k", "v", "ts", n=0)
+
+
+def test_keys_share_states_and_are_given_out_in_time(spark, tmp_path):
+    """A state for each key cost calls of its own; a key's grams don't wait for later rows of a key that shares its state."""
+    at = lambda hours: START + timedelta(hours=hours)
+    batches = [[(f"k{k}", at(i / 9), i, str(i)) for k in range(40) for i in range(3)] + [("far", at(50), 0, "x"), ("far", at(51), 1, "y")], [("far", at(52), 2, "z")], [(None, at(99), 3, None)]]
+    got = run(spark, tmp_path, batches, n=2, groups=2)
+    assert got == batch_grams(sum(batches, []), 2)
+    state = incremental.Grams("k", "v", "ts", ["i"], 2, None, None)
+    put = {}
+
+    class Timed:
+        def __init__(self, rows): self.rows = rows  # noqa: E704
+        def get(self): return iter(self.rows)  # noqa: E704
+        def put(self, rows): self.rows = rows  # noqa: E704
+        def clear(self): self.rows = []  # noqa: E704
+        def getCurrentWatermarkInMs(self): return 5  # noqa: E704
+        def registerTimer(self, ms): put["timer"] = ms  # noqa: E704
+
+    state.handle, state.tails, state.waiting = Timed([]), Timed([("va", ["p"], 1000)]), Timed([("va", 4000, 0, "q"), ("vb", 9000, 0, "r"), ("va", 3000, 1, "s")])
+    (out,) = state.handleExpiredTimer((0,), Timed([]), None)
+    assert list(zip(out["k"], out["gram"], strict=True)) == [("va", "p,s"), ("va", "s,q")]
+    assert state.waiting.rows == [("vb", 9000, 0, "r")] and put["timer"] == 10 and state.tails.rows == [("va", ["q"], 4000)]
