@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.graph import checkpointed
+from cairn.operators.graph import checkpointed, dealt
 from cairn.session import small_batches
 
 CHUNK = 1024
@@ -146,10 +146,33 @@ def log_bin(time: Column, ends: list[float]) -> Column:
     return out.cast("int")
 
 
+#: Parts that the files of one library or function are counted in first.
+SALTS = 64
+
+
 def import_popularity(imports: DataFrame) -> DataFrame:
-    """Files for each library, each library's function and each function, in one pass of grouping sets; a function also has the number of its libraries."""
-    once = imports.select("oid", "library", "name").distinct()
-    return once.groupingSets([[F.col("library")], [F.col("library"), F.col("name")], [F.col("name")]], F.col("library"), F.col("name")).agg(F.count_distinct("oid").alias("files"), F.when(F.grouping("library") == 1, F.count_distinct("library")).alias("libraries"))
+    """Files for each library, each library's function and each function; a function also has the number of its libraries. Repeated rows count once.
+
+    Files are counted in parts, so a function that every file imports is no task of its own, and a task's rows don't grow with the table.
+    """
+    rows = imports.count()
+    none = F.lit(None).cast("long")
+
+    def parts(*by: str) -> DataFrame:
+        salt = F.pmod(F.xxhash64("oid"), F.lit(SALTS)).alias("__salt")
+        once = dealt(imports.select("oid", *by, salt), [*by, "__salt"], rows).distinct()
+        return once.groupBy(*by, "__salt").agg(F.count("oid").alias("files")).drop("__salt")
+
+    def added(df: DataFrame, *by: str) -> DataFrame:
+        return dealt(df, list(by), rows).groupBy(*by).agg(*[F.sum(c).alias(c) for c in df.columns if c not in by])
+
+    pairs = added(parts("library", "name"), "library", "name")
+    names = added(parts("name").withColumn("libraries", F.lit(0).cast("long")).unionByName(pairs.select("name", F.lit(0).cast("long").alias("files"), F.col("library").isNotNull().cast("long").alias("libraries"))), "name")
+    libraries = added(parts("library"), "library")
+    kind = lambda c: imports.schema[c].dataType
+    out = libraries.select("library", F.lit(None).cast(kind("name")).alias("name"), "files", none.alias("libraries"))
+    out = out.unionByName(pairs.withColumn("libraries", none))
+    return out.unionByName(names.select(F.lit(None).cast(kind("library")).alias("library"), "name", "files", "libraries"))
 
 
 def import_coverage(imports: DataFrame, share: float, covered: float = 1.0) -> DataFrame:

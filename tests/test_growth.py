@@ -124,3 +124,17 @@ def test_small_graphs_are_walked_many_in_a_batch(spark):
     assert {(r.g, r.node): r.component for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_files_of_imports_are_counted_in_parts(spark, monkeypatch):
+    rnd = random.Random(2)
+    pick = lambda k: rnd.choice([*range(k), None])
+    rows = [(pick(40), pick(4), pick(9)) for _ in range(400)]
+    files = lambda at, key: len({r[0] for r in rows if at(r) == key and r[0] is not None})
+    want = {(r[1], None, files(lambda x: x[1], r[1]), None, "library") for r in rows}
+    want |= {(r[1], r[2], files(lambda x: x[1:], r[1:]), None, "pair") for r in rows}
+    want |= {(None, r[2], files(lambda x: x[2], r[2]), len({x[1] for x in rows if x[2] == r[2] and x[1] is not None}), "name") for r in rows}
+    monkeypatch.setattr(graph, "ROWS_IN_TASK", 20)
+    out = aggregates.import_popularity(spark.createDataFrame(rows, "oid long, library long, name long"))
+    assert Counter(tuple(r) for r in out.collect()) == Counter(x[:4] for x in want)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
