@@ -221,25 +221,25 @@ def adaptive_coverage(imports: DataFrame, share: float, covered: float = 0.9, st
     choice of its round, and the number of rounds grows with the logarithm of the popularity, not with the number of functions. With step 0 a round takes the most popular function and its ties.
     Files without imports don't count; null files and names are no imports. Only counts come to the driver.
     """
-    held = checkpointed(imports.where("oid IS NOT NULL AND name IS NOT NULL").select("oid", "name").distinct())
-    sizes = held.groupBy("oid").agg(F.count(F.lit(1)).alias("n"))
-    files = sizes.count()
-    left = checkpointed(held.join(sizes, "oid"))  # imports of files that are not covered, of functions not chosen: n is the file's size
+    given = imports.where("oid IS NOT NULL AND name IS NOT NULL").select("oid", "name")
+    of = Window.partitionBy("oid")
+    first = (F.row_number().over(of.orderBy("name")) == 1).alias("first")
+    # Imports of files that are not covered, of functions not chosen: n is the file's size, first marks a row of each file. A round writes them once.
+    left = checkpointed(dealt(given, ["oid"], imports.count()).distinct().select("oid", "name", F.count(F.lit(1)).over(of).alias("n"), first))
+    files = left.where("first").count()
     chosen, done, rows = 0, 0, []
     while done < share * files - 1e-9:
-        popular = left.groupBy("name").agg(F.count(F.lit(1)).alias("files"))
-        popular = checkpointed(popular)
+        popular = checkpointed(left.groupBy("name").agg(F.count(F.lit(1)).alias("files")))
         most = popular.agg(F.max("files")).first()[0]
         if most is None:
             break
         now = popular.where(F.col("files") >= most * (1 - step)).select("name")
-        rest = left.join(now, "name", "left_anti")
         # What a file still lacks: it is covered when that is no more than the share that it may lack.
-        lacking = rest.groupBy("oid", "n").agg(F.count(F.lit(1)).alias("lacks"))
-        open_ = checkpointed(lacking.where(F.col("lacks") > F.col("n") * (1 - covered) + 1e-9).select("oid"))
-        chosen, done = chosen + now.count(), files - open_.count()
+        rest = dealt(left.join(now, "name", "left_anti").select("oid", "name", "n"), ["oid"], left.count())
+        rest = rest.select("oid", "name", "n", F.count(F.lit(1)).over(of).alias("lacks"), first)
+        left = checkpointed(rest.where(F.col("lacks") > F.col("n") * (1 - covered) + 1e-9).drop("lacks"))
+        chosen, done = chosen + now.count(), files - left.where("first").count()
         rows.append((len(rows) + 1, chosen, done))
-        left = checkpointed(rest.join(open_, "oid", "left_semi"))
     return imports.sparkSession.createDataFrame(rows, "round int, functions long, files long")
 
 

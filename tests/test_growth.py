@@ -138,3 +138,11 @@ def test_files_of_imports_are_counted_in_parts(spark, monkeypatch):
     out = aggregates.import_popularity(spark.createDataFrame(rows, "oid long, library long, name long"))
     assert Counter(tuple(r) for r in out.collect()) == Counter(x[:4] for x in want)
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_round_of_adaptive_coverage_writes_its_imports_once(spark, monkeypatch):
+    written, kept = [], aggregates.checkpointed
+    monkeypatch.setattr(aggregates, "checkpointed", lambda df: written.append(1) or kept(df))
+    rows = [(o, n) for o in range(30) for n in range(o % 7 + 1)] + [(1, 0), (None, 1), (1, None)]
+    rounds = [tuple(r) for r in aggregates.adaptive_coverage(spark.createDataFrame(rows, "oid long, name long"), 0.95, 0.9, 0.0).collect()]
+    assert rounds[0] == (1, 1, 5) and rounds[-1][2] == 30 and len(written) <= 1 + 2 * len(rounds)
