@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
-from cairn.operators import aggregates, graph, joins, sets, text, windows
+from cairn.operators import aggregates, alike, graph, joins, sets, text, windows
 
 
 def greedy(pairs):
@@ -146,3 +146,28 @@ def test_a_round_of_adaptive_coverage_writes_its_imports_once(spark, monkeypatch
     rows = [(o, n) for o in range(30) for n in range(o % 7 + 1)] + [(1, 0), (None, 1), (1, None)]
     rounds = [tuple(r) for r in aggregates.adaptive_coverage(spark.createDataFrame(rows, "oid long, name long"), 0.95, 0.9, 0.0).collect()]
     assert rounds[0] == (1, 1, 5) and rounds[-1][2] == 30 and len(written) <= 1 + 2 * len(rounds)
+
+
+def test_copies_of_a_set_are_compared_once(spark, monkeypatch):
+    rnd = random.Random(4)
+    kinds = [sorted({f"g{rnd.randrange(30)}" for _ in range(rnd.choice([1, 6, 14]))}) for _ in range(60)]
+    # Set 0 is in one object only, set 1 in two and seldom in one of them, set 2 in all; the others have a copy or none.
+    items = [(0, 0)] * 200 + [(1, 1)] * 150 + [(2, 1)] * 2 + [(o, 2) for o in range(8)] * 40 + [(rnd.randrange(8), x) for x in range(3, 60) for _ in range(rnd.choice([1, 2]))]
+    rnd.shuffle(items)
+    given = [(o, i, kinds[x]) for i, (o, x) in enumerate(items)] + [(None, 9000, kinds[2]), (1, None, kinds[2]), (1, 9001, [None]), (1, 9002, ["alone"])]
+    like = lambda a, b: round(len(set(a) & set(b)) / len(set(a) | set(b)), 6)
+    whole = [(o, i, g) for o, i, g in given if o is not None and i is not None and g != [None]]
+    coded, kept = [], alike.checkpointed
+    monkeypatch.setattr(alike, "checkpointed", lambda df: coded.append(df.count() if "codes" in df.columns else 0) or kept(df))
+    monkeypatch.setattr(alike, "SETS_IN_BLOCK", 40)
+    monkeypatch.setattr(alike, "FEWEST_SETS", 16)
+    monkeypatch.setattr(alike, "BLOCKS_IN_STRIP", 2)
+    for k, least in ((1, 0.0), (3, 0.4)):
+        coded.clear()
+        want = set()
+        for o, i, g in whole:
+            near = sorted((-s, j) for p, j, h in whole if p != o and (s := like(g, h)) > 0 and s >= least)[:k]
+            want |= {(i, j, -s, r + 1) for r, (s, j) in enumerate(near)}
+        got = joins.closest(spark.createDataFrame(given, "object long, item long, grams array<string>"), k, least).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+        assert 0 < sum(coded) <= 2 * k * 61  # 800 items
