@@ -171,3 +171,28 @@ def test_copies_of_a_set_are_compared_once(spark, monkeypatch):
         got = joins.closest(spark.createDataFrame(given, "object long, item long, grams array<string>"), k, least).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
         assert 0 < sum(coded) <= 2 * k * 61  # 800 items
+
+
+def test_a_round_of_a_closure_writes_once(spark, monkeypatch):
+    rnd = random.Random(6)
+    edges = [(i, i + 1) for i in range(12)] + [(rnd.randrange(20, 90), rnd.randrange(20, 90)) for _ in range(70)] + [(3, 4)] * 5
+    start = [(a, rnd.randrange(20, 90)) for a in range(300)] + [(7, 0)]
+    ahead = {s: [d for x, d in edges if x == s] for s, _ in edges}
+    want = set()
+    for anchor, node in start:
+        seen, queue = {node}, [node]
+        for x in queue:
+            new = set(ahead.get(x, ())) - seen
+            seen |= new
+            queue.extend(new)
+        want |= {(anchor, x) for x in seen}
+    e, first = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(start, "anchor long, node long")
+    written, kept = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: written.append(1) or kept(df))
+    for most, rows in ((500_000, 500_000), (0, 50)):  # broadcast or not, in few tasks or many
+        monkeypatch.setattr(graph, "MOST_NEW", most, raising=False)
+        monkeypatch.setattr(graph, "ROWS_IN_TASK", rows)
+        written.clear()
+        got = [tuple(r) for r in graph.reachable_from_each(e, first).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert len(written) <= 20  # 13 rounds or some more
