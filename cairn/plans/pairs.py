@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import joins, sets, windows
+from cairn.operators.graph import checkpointed
 from cairn.plans.bindings import Bound
 from cairn.plans.registry import query
 
@@ -53,13 +54,12 @@ def _(t: Bound) -> DataFrame:
 
 @query("j6_pair_report")
 def _(t: Bound) -> DataFrame:
-    side = lambda s: t.members.where(f"name = '{s}'").select("oid")
-    by_id = t.documents.select("doc_id", "oid")
-    scored = t.matches.join(by_id.select(F.col("doc_id").alias("t"), F.col("oid").alias("to")), "t").join(by_id.select(F.col("doc_id").alias("b"), F.col("oid").alias("bo")), "b").groupBy(F.col("to").alias("t"), F.col("bo").alias("b")).agg(F.max("similarity").alias("score"))
-    named = lambda s: t.documents.where(f"source = '{s}'").select("oid", F.concat_ws("_", "lang", "n_chars").alias("name"))
-    both = side("src1").join(side("src0"), "oid", "left_semi")
-    pairs = joins.pair_by_name(named("src1").join(both, "oid", "left_anti"), named("src0").join(both, "oid", "left_anti"))
-    return joins.pair_files(side("src1"), side("src0"), pairs, scored)
+    files = checkpointed(t.documents.where("source IN ('src0', 'src1')").select("source", "oid", F.col("doc_id").alias("id"), F.concat_ws("_", "lang", "n_chars").alias("name")))
+    own = lambda s, *what: files.where(f"source = '{s}'").select(*what)
+    sides = [checkpointed(own(s, "oid").distinct()) for s in ("src1", "src0")]
+    both = sides[0].join(sides[1], "oid", "left_semi")
+    pairs = joins.pair_by_name(*[own(s, "oid", "name").join(both, "oid", "left_anti") for s in ("src1", "src0")])
+    return joins.pair_files(*sides, pairs, t.matches.withColumnRenamed("similarity", "score"), (own("src1", "id", "oid"), own("src0", "id", "oid")))
 
 
 @query("j7_function_mapping", "matches names", "SELECT t, b, tn.name AS t_name, bn.name AS b_name FROM matches LEFT JOIN names tn ON t = tn.doc_id LEFT JOIN names bn ON b = bn.doc_id")
