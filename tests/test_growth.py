@@ -1,8 +1,11 @@
 """What the rounds of an operator read and write must not outgrow its input."""
 
+import hashlib
 import random
 import time
+import uuid
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -228,3 +231,27 @@ def test_reports_of_numbered_pairs(spark):
     scored = [(1, 12, 1.0), (2, 12, 0.9), (3, 13, 0.9), (2, 14, 0.8), (4, 12, 0.85), (4, 13, 0.85), (5, 14, 1.0), (4, 16, 1.0), (2, 15, 1.0)]
     report = joins.pair_files(side("abcn"), side("axym"), spark.createDataFrame([("n", "m")], "t string, b string"), spark.createDataFrame(scored, "t long, b long, score double"), ids)
     assert {tuple(r) for r in report.collect()} == {("a", "a", "matched"), ("n", "m", "modified"), ("b", "y", "modified"), ("c", "x", "modified")}
+
+
+def test_imports_are_written_where_contents_are_read(spark, tmp_path, monkeypatch):
+    from cairn.plans import base
+    from cairn.plans.registry import QUERIES
+    from cairn.sources import files
+
+    texts = [f"text {i} é\r\n\n" for i in range(60)] + ["", None, "text 1", " \n ", "x" * 3_000_000]
+    rows = [(i, x, "en", "src0", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/in/documents.parquet")
+    want = sorted((hashlib.sha1(x.encode()).hexdigest(), len(x.encode())) for x in set(texts) if x)
+    run = lambda: sorted(map(tuple, QUERIES["s1_import_directory"](spark, f"file://{tmp_path}/in").collect()))
+    assert run() == want
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    made = max(shared.glob("files-*"), key=lambda p: p.stat().st_mtime)
+    assert not list(made.rglob("*.crc")) and {p.name.removesuffix(".txt") for p in made.rglob("*") if p.is_file()} == {x[0] for x in want}
+    monkeypatch.setattr(files, "MOST_LISTED", 7)
+    assert run() == want  # some folders at a time
+    monkeypatch.setattr(base, "_folder", lambda t, name: f"{shared}/other-{uuid.uuid4().hex}")  # a folder that only Spark may know
+    assert run() == want
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    monkeypatch.undo()
+    assert QUERIES["s1_import_directory"](spark, f"file://{tmp_path}/none").count() == 0
